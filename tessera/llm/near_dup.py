@@ -14,7 +14,7 @@ square of a group.
    a link needs; sets that meet in a subset are linked without a comparison.
    x is where listing costs more than scanning.
 3. Heavy. Other sets, and light ones large enough to link with them, go into
-   tiles by their smallest hash. A set visits another tile if they share one of
+   tiles by the smallest hash of their more frequent half. A set visits another tile if they share one of
    the rarest shingles that a link must touch (prefix by a fixed-size frequency
    sketch, an order only). Each tile scans its inverted lists, counts overlaps
    exactly, and emits a spanning forest of the links, not all of them.
@@ -31,6 +31,7 @@ alone; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 from math import comb
 
@@ -48,6 +49,8 @@ WORDS, SHARE = 5, 75
 CHUNK, RANGE = 600_000, 2_000_000
 #: Of a tile.
 TILE_SETS, TILE_TOKENS = 1_000, 2_000_000
+#: Rows of an inverted list that are put in order by tile before its members are sent.
+LIST = 100_000
 #: Slots of the frequency sketch: a fixed size.
 SLOT_BITS = 20
 #: Largest size that is ever listed by subsets.
@@ -173,8 +176,8 @@ def answers(rows: DataFrame, parts: int) -> DataFrame:
 
 # ---- 2. and 3.: sets that are left ----
 
-SETS = pa.schema([("text_key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("least_hash", pa.int64()), ("body", pa.binary())])
-SETS_DDL = "text_key long, set_id long, n int, least_hash long, body binary"
+SETS = pa.schema([("text_key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
+SETS_DDL = "text_key long, set_id long, n int, body binary"
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 LINKS_DDL = "a long, b long"
 
@@ -189,7 +192,7 @@ def sets_of(rows: DataFrame) -> DataFrame:
         for b in batches:
             got = [shingles(x, word_hash) for x in byte_list(b.column(1))]
             body = [s.tobytes() for s in got]
-            yield batch(SETS, b.column(2), [signed(xxhash.xxh64_intdigest(x, 11)) for x in body], [len(s) for s in got], [signed(int(s[0])) if len(s) else 0 for s in got], body)
+            yield batch(SETS, b.column(2), [signed(xxhash.xxh64_intdigest(x, 11)) for x in body], [len(s) for s in got], body)
 
     return rows.mapInArrow(run, SETS_DDL)
 
@@ -257,52 +260,84 @@ def light_links(sets: DataFrame, bound: int) -> DataFrame:
     return small.repartition(parts, "subset").sortWithinPartitions("subset", "t", "n", "set_id").mapInArrow(met, LINKS_DDL)
 
 
+def unit(body: bytes, freq: np.ndarray) -> int:
+    """The smallest hash among the more frequent half of a set: what most of a group of near copies have in common."""
+    s = np.frombuffer(body, np.uint64)
+    f = freq[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    return signed(int(s[np.argmax(f >= np.median(f))]))
+
+
 def heavy_links(sets: DataFrame, freq: np.ndarray, bound: int) -> DataFrame:
     """Links among sets of over bound shingles, and with the light ones that can reach them."""
     spark = sets.sparkSession
     sets = sets.where(F.col("n") >= least(bound + 1))
-    big = sets.groupBy("least_hash").agg(F.count("*").alias("k"), F.sum("n").alias("size")).where((F.col("k") > TILE_SETS) | (F.col("size") > TILE_TOKENS))
-    split = {r["least_hash"]: max(-(-r["k"] // TILE_SETS), -(-r["size"] // TILE_TOKENS)) for r in big.collect()}  # a row for each TILE_SETS sets at most
-    known = spark.sparkContext.broadcast((freq, split))
+    sketched = spark.sparkContext.broadcast(freq)
+    unit_schema = pa.schema([("unit", pa.int64()), ("n", pa.int32())])
+
+    def units(batches):
+        for b in batches:
+            yield batch(unit_schema, [unit(x, sketched.value) for x in b.column(1).to_pylist()], b.column(0))
+
+    big = sets.select("n", "body").mapInArrow(units, "unit long, n int").groupBy("unit").agg(F.count("*").alias("k"), F.sum("n").alias("size")).where((F.col("k") > TILE_SETS) | (F.col("size") > TILE_TOKENS))
+    split = {r["unit"]: max(-(-r["k"] // TILE_SETS), -(-r["size"] // TILE_TOKENS)) for r in big.collect()}  # a row for each TILE_SETS sets at most
 
-    def tile(least_hash, set_id):
-        many = known.value[1].get(least_hash, 1)
-        return least_hash if many == 1 else signed(xxhash.xxh64_intdigest(f"{least_hash}/{(set_id * 0x9E3779B97F4A7C15 >> 20) % many}"))
+    def tile(body, set_id):
+        home = unit(body, sketched.value)
+        many = split.get(home, 1)
+        return home if many == 1 else signed(xxhash.xxh64_intdigest(f"{home}/{(set_id * 0x9E3779B97F4A7C15 >> 20) % many}"))
 
     schema = pa.schema([("token", pa.int64()), ("tile", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32())])
 
     def prefixes(batches):
-        freq = known.value[0]
+        freq = sketched.value
         for b in batches:
             tokens, tiles, ids, sizes = [], [], [], []
-            for set_id, n, low, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for set_id, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = np.frombuffer(body, np.uint64)
                 order = np.lexsort((s, freq[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[: n - least(n) + 1]
                 tokens.append(s[order].view(np.int64))
                 k = len(order)
-                tiles.append(np.full(k, tile(low, set_id), np.int64))
+                tiles.append(np.full(k, tile(body, set_id), np.int64))
                 ids.append(np.full(k, set_id, np.int64))
                 sizes.append(np.full(k, n, np.int32))
             if tokens:
                 yield batch(schema, *(pa.array(np.concatenate(x)) for x in (tokens, tiles, ids, sizes)))
 
     def routes(batches):
-        token, open_, last, seen, out = None, {}, None, set(), []
-        for b in batches:
-            for tok, home, set_id, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if tok != token:
-                    token, open_ = tok, {}
+        seen: set[tuple[int, int]] = set()
+
+        def meet(rows, open_):
+            for home, set_id, n in rows:
                 for other, (low, high) in open_.items():
                     if other != home and high >= least(n) and least(low) <= n and (set_id, other) not in seen:
                         seen.add((set_id, other))
-                        out.append((set_id, other))
+                        yield set_id, other
                 low, high = open_.get(home, (n, n))
                 open_[home] = (min(low, n), max(high, n))
+
+        def settle(rows, open_):
+            """Members of small tiles visit large ones; a list too long to hold goes on in its order."""
+            many = Counter(x[0] for x in rows)
+            return meet(sorted(rows, key=lambda x: (-many[x[0]], x[0])), open_) if not open_ else meet(rows, open_)
+
+        token, rows, open_ = None, [], {}
+        for b in batches:
+            out = []
+            for tok, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tok != token or len(rows) >= LIST:
+                    if len(rows) > 1 or open_:
+                        out += settle(rows, open_)
+                    if tok != token:
+                        token, open_ = tok, {}
+                    rows = []
+                rows.append(row)
             if len(seen) > 1_000_000:
-                seen = set()
+                seen.clear()
             if out:
                 yield batch(visit, *zip(*out, strict=True))
-                out = []
+        out = list(settle(rows, open_))
+        if out:
+            yield batch(visit, *zip(*out, strict=True))
 
     visit = pa.schema([("set_id", pa.int64()), ("tile", pa.int64())])
     homes_schema = pa.schema([("tile", pa.int64()), ("visitor", pa.int32()), ("set_id", pa.int64()), ("body", pa.binary())])
@@ -310,13 +345,13 @@ def heavy_links(sets: DataFrame, freq: np.ndarray, bound: int) -> DataFrame:
     def homes(batches):
         for b in batches:
             ids = b.column(0).to_pylist()
-            yield batch(homes_schema, [tile(low, i) for low, i in zip(b.column(2).to_pylist(), ids, strict=True)], [0] * len(ids), b.column(0), b.column(3))
+            yield batch(homes_schema, [tile(x, i) for x, i in zip(b.column(1).to_pylist(), ids, strict=True)], [0] * len(ids), b.column(0), b.column(1))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = sets.select("set_id", "n", "least_hash", "body")
+    cols = sets.select("set_id", "n", "body")
     visits = cols.mapInArrow(prefixes, "token long, tile long, set_id long, n int").repartition(parts, "token").sortWithinPartitions("token", "tile").mapInArrow(routes, "set_id long, tile long").distinct()
     guests = visits.join(sets.select("set_id", "body"), "set_id").select("tile", F.lit(1).alias("visitor"), "set_id", "body")
-    met = cols.mapInArrow(homes, "tile long, visitor int, set_id long, body binary").unionByName(guests)
+    met = sets.select("set_id", "body").mapInArrow(homes, "tile long, visitor int, set_id long, body binary").unionByName(guests)
     return met.repartition(parts, "tile").sortWithinPartitions("tile", "visitor", "set_id").mapInArrow(scan_tiles, LINKS_DDL)
 
 
@@ -429,7 +464,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     picked = rows.join(hinted(left), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     sets = stored(sets_of(picked), "near-sets", "lz4")
     names = sets.select("text_key", "set_id").distinct()
-    classes = stored(sets.select("set_id", "n", "least_hash", "body").dropDuplicates(["set_id"]), "near-classes", "lz4")
+    classes = stored(sets.select("set_id", "n", "body").dropDuplicates(["set_id"]), "near-classes", "lz4")
     freq, mean_list = sketch(classes)
     bound = light_bound(mean_list)
     found = light_links(classes, bound).unionByName(heavy_links(classes, freq, bound))
