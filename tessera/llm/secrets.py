@@ -50,11 +50,12 @@ class Rule:
 # The patterns; the first three are the base.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", least=18),
-    Rule("hex", r"[0-9a-f]+", least=16),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=15),
-    Rule("google", r"AIza[0-9A-Za-z_-]+", least=39),
+    # a run of the class is taken whole, so its least length can stand in the pattern and short runs cost nothing
+    Rule("access", r"AKIA[A-Z0-9]{14,}", least=18),
+    Rule("hex", r"[0-9a-f]{16,}", least=16),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", least=40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", least=15),
+    Rule("google", r"AIza[0-9A-Za-z_-]{35,}", least=39),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=30),
     Rule("pem", r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
 )
@@ -133,9 +134,9 @@ def trigram_query(rule: Rule) -> Query:
 
 def postings(rows: DataFrame, trigrams: list[str], blocks: int) -> DataFrame:
     """The index: (block, trigram, posting), posting the sorted row keys. rows: (row_key, text)."""
-    low = F.lower("text")
-    held = F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())
-    pairs = rows.select("row_key", F.explode(held).alias("trigram"))
+    low = rows.select("row_key", F.lower("text").alias("low"))
+    held = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])
+    pairs = low.select("row_key", F.explode(held).alias("trigram")).where("trigram IS NOT NULL")
     block = F.pmod("row_key", F.lit(blocks)).cast("int").alias("block")
     return pairs.groupBy(block, "trigram").agg(F.array_sort(F.collect_set("row_key")).alias("posting"))
 
