@@ -39,7 +39,7 @@ MAGIC, VERSION = b"TSRA", 1
 HEAD = struct.Struct("<4sHHQQ")  # magic, version, bytes an id, records, ids
 FOOT = struct.Struct("<QQ4s")  # place and length of the index, magic
 #: Documents in a shard, about.
-SHARD_DOCS = 20_000
+SHARD_DOCS = 10_000
 NULL_KEY = b"null"
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("payload", pa.binary())])
