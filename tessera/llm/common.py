@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, written tables, Arrow helpers.
+"""What the operators share: tables in the shared folder, Arrow helpers.
 
 Work that must survive a lost executor is written as Parquet below the folder
 in ``spark.checkpoint.dir``; nothing is kept on one machine's disk.
@@ -6,39 +6,17 @@ in ``spark.checkpoint.dir``; nothing is kept on one machine's disk.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a broadcast side at most; beyond it the join is shuffled.
-BROADCAST_ROWS = 2_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_tessera_shared", None)
-        if path is None:
-            path = spark._tessera_shared = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return path.rstrip("/")
-
+from tessera.sources.tables import scratch, stored, table
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+__all__ = ["BROADCAST_ROWS", "WordHash", "ascii_lower", "batch", "byte_list", "hinted", "local_path", "planes", "scratch", "stored", "table", "texts", "unplanes"]
 
-
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of a broadcast side at most; beyond it the join is shuffled.
+BROADCAST_ROWS = 2_000_000
 
 
 def local_path(uri: str) -> str | None:
@@ -53,10 +31,6 @@ def hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text): null texts become empty; other columns are left behind."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

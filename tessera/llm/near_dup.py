@@ -38,10 +38,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WordHash, batch, byte_list, hinted, planes, stored, table, texts, unplanes
+from tessera.operators.graph import components
 
 #: Words in a shingle; a link needs SHARE percent of the union.
 WORDS, SHARE = 5, 75
@@ -92,17 +94,20 @@ def least(a: int) -> int:
 
 # ---- 1. prune ----
 
-ASKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("held", pa.binary()), ("values", pa.binary()), ("owners", pa.binary())])
-ASKED_DDL = "part int, keys binary, docs binary, counts binary, held binary, values binary, owners binary"
-ANSWER = pa.schema([("text_key", pa.int64()), ("doc_id", pa.int64()), ("is_doc", pa.bool_()), ("n", pa.int64()), ("shared", pa.int64())])
-ANSWER_DDL = "text_key long, doc_id long, is_doc boolean, n long, shared long"
+ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("held", pa.binary()), ("places", pa.binary()), ("values", pa.binary()), ("owners", pa.binary())])
+ASKED_DDL = "part int, chunk long, keys binary, docs binary, sizes binary, held binary, places binary, values binary, owners binary"
+#: A chunk's documents, or (places, held) of those that a range saw from elsewhere.
+SEEN = pa.schema([(f.name, f.type) for f in ASKED if f.name not in ("part", "values", "owners")])
+SEEN_DDL = "chunk long, keys binary, docs binary, sizes binary, held binary, places binary"
+ANSWER = pa.schema([("text_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64())])
+ANSWER_DDL = "text_key long, doc_id long, n long, shared long"
 NULL_ID = -(1 << 63)
 
 
 def asked(rows: DataFrame, parts: int) -> DataFrame:
     """Rows for the owners of hash ranges: a chunk's different shingles there, and whose each is if only one document's."""
 
-    def flush(ids, keys, sets, turn):
+    def flush(ids, keys, sets, chunk):
         sizes = np.array([len(s) for s in sets], np.int64)
         keys, ids = np.array(keys, np.int64), np.array([NULL_ID if i is None else i for i in ids], np.int64)
         value = np.concatenate(sets) >> np.uint64(16)
@@ -111,21 +116,22 @@ def asked(rows: DataFrame, parts: int) -> DataFrame:
         value, owner = value[order], owner[order]
         new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
         runs = np.diff(np.append(new, len(value)))
-        local = np.bincount(owner[np.repeat(runs > 1, runs)], minlength=len(sets))
+        local = np.bincount(owner[np.repeat(runs > 1, runs)], minlength=len(sets)).astype(np.int64)
         value, owner = value[new], np.where(runs > 1, NOBODY, owner[new]) if len(new) else owner[:0]
         cuts = np.searchsorted(value, np.array([(p << 48) // parts for p in range(parts + 1)], np.uint64))
         rows = []
         for p, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if a < z:
                 own, place = np.unique(owner[a:z], return_inverse=True)
-                known = own[own != NOBODY]
+                known = own[own != NOBODY].astype(np.uint64)
                 place = np.where(place < len(known), place, NOBODY).astype(np.uint64)
-                rows.append((p, keys[known].tobytes(), b"", b"", b"", planes(value[a:z], 6), planes(place, 3)))
-        rows.append((turn % parts, keys.tobytes(), ids.tobytes(), sizes.tobytes(), local.astype(np.int64).tobytes(), b"", b""))
+                rows.append((p, chunk, None, None, None, None, planes(known, 3), planes(value[a:z], 6), planes(place, 3)))
+        rows.append(((chunk + (chunk >> 32)) % parts, chunk, keys.tobytes(), ids.tobytes(), sizes.tobytes(), local.tobytes(), None, None, None))
         return batch(ASKED, *zip(*rows, strict=True))
 
     def run(batches):
-        word_hash, ids, keys, sets, total, turn = WordHash(), [], [], [], 0, 0
+        chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        word_hash, ids, keys, sets, total = WordHash(), [], [], [], 0
         for b in batches:
             for doc_id, body, key in zip(b.column(0).to_pylist(), byte_list(b.column(1)), b.column(2).to_pylist(), strict=True):
                 s = shingles(body, word_hash)
@@ -134,44 +140,49 @@ def asked(rows: DataFrame, parts: int) -> DataFrame:
                 sets.append(s)
                 total += len(s)
                 if total >= CHUNK or len(sets) >= NOBODY - 1:
-                    turn += key & 0xFFFF
-                    yield flush(ids, keys, sets, turn)
-                    ids, keys, sets, total = [], [], [], 0
+                    yield flush(ids, keys, sets, chunk)
+                    chunk, ids, keys, sets, total = chunk + 1, [], [], [], 0
         if sets:
-            yield flush(ids, keys, sets, turn + (keys[0] & 0xFFFF))
+            yield flush(ids, keys, sets, chunk)
 
     return rows.mapInArrow(run, ASKED_DDL)
 
 
-def answers(rows: DataFrame, parts: int) -> DataFrame:
-    """A row for each document (is_doc), and counts of its shingles that occur elsewhere."""
+def answers(rows: DataFrame) -> DataFrame:
+    """Per document: text_key, doc_id, n shingles, and how many of them occur in another document."""
 
     def reply(t: pa.Table) -> pa.Table:
-        out, values, owners, keys, base = [], [], [], [], 0
+        out, asking, values, owners, base = [], [], [], [], 0
         for r in t.to_pylist():
-            if r["docs"]:
-                k, d, n, h = (np.frombuffer(r[c], np.int64) for c in ("keys", "docs", "counts", "held"))
-                out.append(pa.RecordBatch.from_arrays([pa.array(k), pa.array(d, mask=d == NULL_ID), pa.array(np.ones(len(k), bool)), pa.array(n), pa.array(h)], schema=ANSWER))
+            if r["keys"] is not None:
+                out.append(tuple(r[f.name] for f in SEEN))
                 continue
-            k, place = np.frombuffer(r["keys"], np.int64), unplanes(r["owners"], 3).astype(np.int64)
+            n, place = len(r["places"]) // 3, unplanes(r["owners"], 3).astype(np.int64)
             values.append(unplanes(r["values"], 6))
             owners.append(np.where(place == NOBODY, -1, place + base))
-            keys.append(k)
-            base += len(k)
-        if values and base:
-            value, owner, key = np.concatenate(values), np.concatenate(owners), np.concatenate(keys)
+            asking.append((r["chunk"], r["places"], base, base + n))
+            base += n
+        if base:
+            value, owner = np.concatenate(values), np.concatenate(owners)
             order = np.argsort(value, kind="stable")
             value, owner = value[order], owner[order]
             same = np.concatenate([[False], value[1:] == value[:-1]])
             twice = same | np.concatenate([same[1:], [False]])
-            hit = owner[twice & (owner >= 0)]
-            n = np.bincount(hit, minlength=base)
-            got = np.flatnonzero(n)
-            if len(got):
-                out.append(pa.RecordBatch.from_arrays([pa.array(key[got]), pa.nulls(len(got), pa.int64()), pa.array(np.zeros(len(got), bool)), pa.nulls(len(got), pa.int64()), pa.array(n[got].astype(np.int64))], schema=ANSWER))
-        return pa.Table.from_batches(out, ANSWER)
+            n = np.bincount(owner[twice & (owner >= 0)], minlength=base).astype(np.int64)
+            out += [(chunk, None, None, None, n[a:z].tobytes(), places) for chunk, places, a, z in asking if n[a:z].any()]
+        return pa.Table.from_batches([batch(SEEN, *zip(*out, strict=True))] if out else [], SEEN)
 
-    return rows.groupBy("part").applyInArrow(reply, ANSWER_DDL)
+    def total(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        head = next(r for r in rows if r["keys"] is not None)
+        k, d, n, shared = (np.frombuffer(head[c], np.int64) for c in ("keys", "docs", "sizes", "held"))
+        shared = shared.copy()
+        for r in rows:
+            if r["keys"] is None:
+                shared[unplanes(r["places"], 3).astype(np.int64)] += np.frombuffer(r["held"], np.int64)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(k), pa.array(d, mask=d == NULL_ID), pa.array(n), pa.array(shared)], schema=ANSWER)])
+
+    return rows.groupBy("part").applyInArrow(reply, SEEN_DDL).groupBy("chunk").applyInArrow(total, ANSWER_DDL)
 
 
 # ---- 2. and 3.: sets that are left ----
@@ -428,26 +439,7 @@ def scan_tiles(batches):
         yield batch(LINKS, *zip(*out, strict=True))
 
 
-# ---- 4. components ----
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of an edge (a, b), root the smallest node: large and small stars in turn until nothing moves."""
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
-        pairs = large.join(low, F.col("u") == F.col("x"))
-        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stored(small, "edges")
-        now = tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-        if now == before or now[0] == 0:
-            break
-        before = now
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+# ---- 4. components, and all together ----
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -456,9 +448,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = texts(docs).withColumn("text_key", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * RANGE)))
-    answer = stored(answers(asked(rows, parts), parts), "near-answers")
-    every = answer.where("is_doc").select("doc_id", "text_key", F.col("n").alias("n_shingles"))
-    left = answer.groupBy("text_key").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"), F.min("doc_id").alias("first_id"), F.sum(F.col("is_doc").cast("int")).alias("copies"))
+    answer = stored(answers(asked(rows, parts)), "near-answers")
+    every = answer.select("doc_id", "text_key", F.col("n").alias("n_shingles"))
+    left = answer.groupBy("text_key").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     left = stored(left.where((F.col("n") > 0) & ((100 * F.col("shared") >= SHARE * F.col("n")) | (F.col("copies") > 1))).select(F.col("text_key").alias("k"), F.col("first_id")), "near-left")
     # one text of each that is left
     picked = rows.join(hinted(left), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
