@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is logistic in its
-features (words and word beginnings); a document's score is their noisy-or,
-1 - prod(1 - p). Only documents have labels: the weights are fitted through the
+features (words and word beginnings); a document's score is their noisy-or
+with a small leak, 1 - (1 - leak) prod(1 - p). Sentences without features take
+no part, so length alone makes no document toxic. Only documents have labels: the weights are fitted through the
 noisy-or, and so find the sentences that make a document toxic.
 
-Defined results: null and empty texts are one empty sentence; without labels of
-both kinds every score is the share of toxic labels (0 without any); null or
+Defined results: null and empty texts score the leak; without labels of both
+kinds every score is the share of toxic labels (0 without any); null or
 repeated labels of a document count by their maximum, nulls not at all;
 repeated rows each give a row; an empty table gives an empty result; extra
 columns are ignored and never inputs.
@@ -26,8 +27,10 @@ from tessera.llm.common import batch, hinted, table, texts
 
 #: Labelled documents of each class that the model is fitted on, and features it has, at most.
 FIT_DOCS, FEATURES = 3_000, 4_096
-#: Documents of the sample that must hold a feature.
-LEAST = 5
+#: Toxic documents of the sample that must hold a feature, and the least log-likelihood ratio that it marks them.
+LEAST, SURE = 4, 20.0
+#: What a document scores whose sentences have no features.
+LEAK = 0.02
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
 BEGINNINGS = (4, 5)
@@ -45,9 +48,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
 class Model:
     """Noisy-or over logistic sentence scores."""
 
-    def __init__(self, names: list[str], weights: np.ndarray, bias: float):
+    def __init__(self, names: list[str], weights: np.ndarray, bias: float, leak: float = LEAK):
         self.index = {n: i for i, n in enumerate(names)}
-        self.weights, self.bias = weights, bias
+        self.weights, self.bias, self.leak = weights, bias, leak
         self.seen: dict[str, tuple[int, ...]] = {}
 
     def of(self, word: str) -> tuple[int, ...]:
@@ -58,49 +61,42 @@ class Model:
             got = self.seen[word] = tuple(self.index[f] for f in features(word) if f in self.index)
         return got
 
-    def bag(self, text: str) -> tuple[int, list[tuple[int, int, list[int]]]]:
-        """The number of sentences without features, and span and features of the others."""
-        low = text.lower()
-        spans = sentences(low)
-        of = self.of
+    def bag(self, text: str) -> list[tuple[int, int, list[int]]]:
+        """Span and features of each sentence that has any."""
+        low, of = text.lower(), self.of
         if not any(map(of, set(WORD.findall(low)))):
-            return len(spans), []
-        out = []
-        for a, z in spans:
-            if f := sorted({i for w in WORD.findall(low[a:z]) for i in of(w)}):
-                out.append((a, z, f))
-        return len(spans) - len(out), out
+            return []
+        return [(a, z, f) for a, z in sentences(low) if (f := sorted({i for w in WORD.findall(low[a:z]) for i in of(w)}))]
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score, and span and score of each sentence of 0.5 or more. Spans are in the lower-cased text."""
-        plain, found = self.bag(text)
+        found = self.bag(text)
+        if not found:
+            return self.leak, []
         z = np.array([self.bias + self.weights[f].sum() for _, _, f in found])
-        total = plain * np.logaddexp(0, self.bias) + np.logaddexp(0, z).sum()
+        total = np.logaddexp(0, z).sum() - np.log1p(-self.leak)
         p = 1 / (1 + np.exp(-z))
         return float(-np.expm1(-total)), [(a, e, float(x)) for (a, e, _), x in zip(found, p, strict=True) if x >= 0.5]
 
 
-def train(bags: list[tuple[int, int, list[list[int]]]], n: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """bags: (label, sentences without features, features of each other sentence). Adam on the mean noisy-or log loss, classes weighted alike."""
+def train(bags: list[tuple[int, list[list[int]]]], n: int, leak: float = LEAK, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """bags: (label, features of each sentence that has any). Adam on the mean noisy-or log loss, classes weighted alike."""
     y = np.array([b[0] for b in bags], float)
-    plain = np.array([b[1] for b in bags], float)
-    sent_doc = np.array([d for d, b in enumerate(bags) for _ in b[2]], int)
-    feat = np.array([f for b in bags for s in b[2] for f in s], int)
-    feat_sent = np.repeat(np.arange(len(sent_doc)), [len(s) for b in bags for s in b[2]])
+    sent_doc = np.array([d for d, b in enumerate(bags) for _ in b[1]], int)
+    feat = np.array([f for b in bags for s in b[1] for f in s], int)
+    feat_sent = np.repeat(np.arange(len(sent_doc)), [len(s) for b in bags for s in b[1]])
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    w, b = np.zeros(n + 1), -6.0
-    w[n] = b
+    w = np.zeros(n + 1)
+    w[n] = -2.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
         z = w[n] + np.bincount(feat_sent, w[feat], len(sent_doc))
-        s = plain * np.logaddexp(0, w[n]) + np.bincount(sent_doc, np.logaddexp(0, z), len(y))
-        push = weight * np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-9), 1.0)  # d loss / d s
+        s = np.bincount(sent_doc, np.logaddexp(0, z), len(y)) - np.log1p(-leak)
+        push = weight * np.where(y > 0, -1 / np.expm1(np.minimum(s, 50)), 1.0)  # d loss / d s
         gz = push[sent_doc] / (1 + np.exp(-z))
         g = np.zeros(n + 1)
-        g[:n] = np.bincount(feat, gz[feat_sent], n)[:n]
-        g[n] = gz.sum() + (push * plain).sum() / (1 + np.exp(-w[n]))
-        g[:n] += decay * w[:n]
-        g = np.clip(g, -1, 1)
+        g[:n] = np.bincount(feat, gz[feat_sent], n)[:n] + decay * w[:n]
+        g[n] = gz.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:n], float(w[n])
@@ -130,21 +126,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     n_pos, n_neg = (total["p"], total["n"]) if total else (0, 0)
     if not n_pos or not n_neg:
         counts.unpersist()
-        share = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.0
-        return Model([], np.zeros(0), float(np.log(share) - np.log1p(-share)) if 0 < share < 1 else 40.0 if share else -40.0)
-    odds = F.log((F.col("p") + 0.5) / (n_pos + 1.0)) - F.log((F.col("n") + 0.5) / (n_neg + 1.0))
-    rows = counts.where((F.col("feature") != "") & (F.col("p") + F.col("n") >= LEAST)).withColumn("odds", odds).where("abs(odds) >= 1").orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("p") + F.col("n"))), "feature").limit(FEATURES).collect()
+        return Model([], np.zeros(0), 0.0, n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.0)
+    p, n, share = F.col("p"), F.col("n"), n_pos / (n_pos + n_neg)
+    likelihood = 2 * (p * F.log(p / ((p + n) * share)) + F.when(n > 0, n * F.log(n / ((p + n) * (1 - share)))).otherwise(0.0))
+    marks = counts.where((F.col("feature") != "") & (p >= LEAST) & (p / n_pos > n / n_neg)).select("feature", likelihood.alias("g"))
+    rows = marks.where(F.col("g") >= SURE).orderBy(F.desc("g"), "feature").limit(FEATURES).collect()
     counts.unpersist()
-    model = Model([r["feature"] for r in rows], np.zeros(len(rows)), -6.0)
-    bag_schema = pa.schema([("toxic", pa.int32()), ("plain", pa.int64()), ("bags", pa.list_(pa.list_(pa.int32())))])
+    model = Model([r["feature"] for r in rows], np.zeros(len(rows)), 0.0)
+    bag_schema = pa.schema([("toxic", pa.int32()), ("bags", pa.list_(pa.list_(pa.int32())))])
 
     def bags(batches):
         for b in batches:
-            got = [model.bag(t) for t in b.column(1).to_pylist()]
-            yield batch(bag_schema, b.column(0), [n for n, _ in got], [[f for _, _, f in s] for _, s in got])
+            yield batch(bag_schema, b.column(0), [[f for _, _, f in model.bag(t)] for t in b.column(1).to_pylist()])
 
-    found = sample.mapInArrow(bags, "toxic int, plain long, bags array<array<int>>").collect()  # bounded by fit_docs
-    found = sorted((r["toxic"], r["plain"], r["bags"]) for r in found)
+    found = sample.mapInArrow(bags, "toxic int, bags array<array<int>>").collect()  # bounded by fit_docs
+    found = sorted((r["toxic"], r["bags"]) for r in found)
     model.weights, model.bias = train(found, len(rows))
     model.seen = {}
     return model
