@@ -44,7 +44,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that make up a word's place; others may lack their end tags.
 PLACES = frozenset("html body article main section div header ul ol dl table figure blockquote details center".split()) | NEVER
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PARTS = re.compile(r"[a-z]+")
 
@@ -73,9 +73,7 @@ def units(html: str):
             yield "word", "", stack[-1][0] if stack else "", refused > 0, html[at : m.start()], article > 0
         at = pos = m.end()
         name = (m[2] or m[5] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                continue
+        if not name:  # a comment, a declaration or a tag that never ends
             continue
         closing = bool(m[1] or m[4])
         attributes = m[3] or m[6] or ""
