@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import scratch, stored, table
 
-__all__ = ["BROADCAST_ROWS", "WordHash", "ascii_lower", "batch", "byte_list", "hinted", "local_path", "planes", "scratch", "stored", "table", "texts", "unplanes"]
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WordHash", "ascii_lower", "batch", "byte_list", "hinted", "local_path", "planes", "scratch", "small_batches", "stored", "table", "texts", "unplanes"]
 
 #: Rows of a broadcast side at most; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of an Arrow batch that a Python worker gets; with the lists made of it, it sets what a worker needs.
+BATCH_BYTES, BATCH_KEY, BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def local_path(uri: str) -> str | None:
@@ -31,8 +33,15 @@ def hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES from here on, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_KEY, None) in (None, f"{BATCH_DEFAULT}b", str(BATCH_DEFAULT)):
+        spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text): null texts become empty; other columns are left behind."""
+    """(doc_id long, text): null texts become empty; other columns are left behind. Python workers get them in small batches."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 

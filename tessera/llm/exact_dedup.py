@@ -5,9 +5,9 @@ SHA-256; the leading bits address the index. From counts of distinct hashes by
 leading bits the directory doubles until no bucket holds more than its
 capacity (a bucket of one hash cannot split and chains instead). Buckets are
 contiguous key ranges; the task that owns a bucket gets, sorted by key, at
-most one row for each text and Arrow batch (copies are counted before the
-shuffle), chains rows of equal key, compares their bytes, and writes one index
-entry for each different text. A hot text so costs its owner one row a batch,
+most one row for each text and COMBINED bytes of texts (copies are counted
+before the shuffle), chains rows of equal key, compares their bytes, and writes
+one index entry for each different text. A hot text so costs its owner few rows a task,
 never one a copy, and one entry in memory.
 
 Defined results: null text counts as empty; null doc_ids take part and lose to
@@ -29,6 +29,8 @@ from tessera.llm.common import batch, byte_list, stored, texts
 
 #: Distinct texts, and bytes of them, in a bucket before it splits.
 BUCKET_TEXTS, BUCKET_BYTES = 50_000, 64 << 20
+#: Bytes of different texts whose copies a task counts before it sends them on, and what an entry takes beside its text.
+COMBINED, ENTRY_BYTES = 8 << 20, 200
 #: Leading bits in the first count, and more with each further one.
 BITS, MORE_BITS = 12, 8
 
@@ -115,18 +117,30 @@ def index(docs: DataFrame, digest: DataFrame, capacity: tuple[int, int] = (BUCKE
     starts = directory(keys, capacity).starts()
 
     def combine(batches):
+        found: dict[bytes, list] = {}
+        size = 0
+
+        def flush():
+            shas = [hashlib.sha256(x).digest() for x in found]
+            return batch(ENTRIES, [bisect_right(starts, int.from_bytes(s[:8], "big") >> 4) - 1 for s in shas], shas, *([e[k] for e in found.values()] for k in range(3)), list(found))
+
         for b in batches:
-            found: dict[bytes, list] = {}
             for doc_id, body in zip(b.column(0).to_pylist(), byte_list(b.column(1)), strict=True):
                 body = body.lower()
-                e = found.setdefault(body, [0, None, 0])
+                e = found.get(body)
+                if e is None:
+                    e = found[body] = [0, None, 0]
+                    size += len(body) + ENTRY_BYTES
                 e[0] += 1
                 if doc_id is not None and (e[1] is None or doc_id > e[1]):
                     e[1:] = [doc_id, 1]
                 elif doc_id == e[1]:
                     e[2] += 1
-            shas = [hashlib.sha256(x).digest() for x in found]
-            yield batch(ENTRIES, [bisect_right(starts, int.from_bytes(s[:8], "big") >> 4) - 1 for s in shas], shas, *([e[k] for e in found.values()] for k in range(3)), list(found))
+            if size >= COMBINED:
+                yield flush()
+                found, size = {}, 0
+        if found:
+            yield flush()
 
     def own(batches):
         key, chain, out = None, [], []
