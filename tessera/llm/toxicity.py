@@ -27,13 +27,13 @@ from tessera.llm.common import batch, hinted, table, texts
 
 #: Labelled documents of each class that the model is fitted on, and features it has, at most.
 FIT_DOCS, FEATURES = 3_000, 4_096
-#: Toxic documents of the sample that must hold a feature, and the least log-likelihood ratio that it marks them.
-LEAST, SURE = 4, 20.0
+#: Strength of the prior on a weight, in documents: a feature seen in one toxic document pays this over their number, one with more evidence less.
+PRIOR = 0.02
 #: What a document scores whose sentences have no features.
 LEAK = 0.02
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
-BEGINNINGS = (4, 5)
+BEGINNINGS = (3, 4, 5, 6, 7)
 
 
 def features(word: str) -> list[str]:
@@ -79,8 +79,12 @@ class Model:
         return float(-np.expm1(-total)), [(a, e, float(x)) for (a, e, _), x in zip(found, p, strict=True) if x >= 0.5]
 
 
-def train(bags: list[tuple[int, list[list[int]]]], n: int, leak: float = LEAK, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """bags: (label, features of each sentence that has any). Adam on the mean noisy-or log loss, classes weighted alike."""
+def train(bags: list[tuple[int, list[list[int]]]], evidence: np.ndarray, prior: float, leak: float = LEAK, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """bags: (label, features of each sentence that has any). Adam on the mean noisy-or log loss, classes weighted alike. Weights are
+    0 or more, for features are marks of toxic documents. The more evidence a feature has (above 0), the less its weight pays (L1, prior
+    over evidence) and the larger its steps are, so that marks are found before words that happen to stand beside them."""
+    n, evidence = len(evidence), np.maximum(evidence, 1e-6)
+    pay, step = prior / evidence, rate * np.append(evidence / max(evidence.max(initial=0), 1e-9), 1.0)
     y = np.array([b[0] for b in bags], float)
     sent_doc = np.array([d for d, b in enumerate(bags) for _ in b[1]], int)
     feat = np.array([f for b in bags for s in b[1] for f in s], int)
@@ -95,11 +99,12 @@ def train(bags: list[tuple[int, list[list[int]]]], n: int, leak: float = LEAK, s
         push = weight * np.where(y > 0, -1 / np.expm1(np.minimum(s, 50)), 1.0)  # d loss / d s
         gz = push[sent_doc] / (1 + np.exp(-z))
         g = np.zeros(n + 1)
-        g[:n] = np.bincount(feat, gz[feat_sent], n)[:n] + decay * w[:n]
+        g[:n] = np.bincount(feat, gz[feat_sent], n)[:n] + pay * np.sign(w[:n])
         g[n] = gz.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:n], float(w[n])
+        w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w[:n] = np.maximum(w[:n], 0)
+    return np.where(w[:n] < 0.05, 0.0, w[:n]), float(w[n])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
@@ -129,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
         return Model([], np.zeros(0), 0.0, n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.0)
     p, n, share = F.col("p"), F.col("n"), n_pos / (n_pos + n_neg)
     likelihood = 2 * (p * F.log(p / ((p + n) * share)) + F.when(n > 0, n * F.log(n / ((p + n) * (1 - share)))).otherwise(0.0))
-    marks = counts.where((F.col("feature") != "") & (p >= LEAST) & (p / n_pos > n / n_neg)).select("feature", likelihood.alias("g"))
-    rows = marks.where(F.col("g") >= SURE).orderBy(F.desc("g"), "feature").limit(FEATURES).collect()
+    marks = counts.where((F.col("feature") != "") & (p / n_pos > n / n_neg)).select("feature", likelihood.alias("g"))
+    rows = marks.orderBy(F.desc("g"), "feature").limit(FEATURES).collect()
     counts.unpersist()
     model = Model([r["feature"] for r in rows], np.zeros(len(rows)), 0.0)
     bag_schema = pa.schema([("toxic", pa.int32()), ("bags", pa.list_(pa.list_(pa.int32())))])
@@ -141,9 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
 
     found = sample.mapInArrow(bags, "toxic int, bags array<array<int>>").collect()  # bounded by fit_docs
     found = sorted((r["toxic"], r["bags"]) for r in found)
-    model.weights, model.bias = train(found, len(rows))
-    model.seen = {}
-    return model
+    once = -2 * np.log(share)  # the ratio of a feature seen in one toxic document and no clean one
+    weights, bias = train(found, np.array([r["g"] for r in rows], float) / once, PRIOR / n_pos)
+    kept = np.flatnonzero(weights)
+    return Model([rows[i]["feature"] for i in kept], weights[kept], bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

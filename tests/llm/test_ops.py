@@ -253,6 +253,20 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, []), m).count() == 0
 
 
+@pytest.mark.parametrize("toxic_docs", [9, 90])
+def test_toxicity_needs_no_number_of_labels(spark, toxic_docs):
+    """A third of the toxic documents for each mark: 3 of 9, and 30 of 90."""
+    marks = ["scum", "moron", "achlichheit"]
+    ids = [i for i in range(20 * toxic_docs) if zlib.crc32(str(i).encode()) % 5]  # those the model is fitted on
+    texts = [f"{t}. you {marks[k % 3] if k < toxic_docs else 'are'} there. ok" for k, t in enumerate(prose(71, 8 * toxic_docs))]
+    rows = list(zip(ids, texts, strict=False))
+    lab = spark.createDataFrame([(i, int(k < toxic_docs)) for k, (i, _) in enumerate(rows)], "doc_id long, toxic int")
+    m = toxicity.fit(docs(spark, rows), lab)
+    new = [(10_000 + i, f"{t}. a {marks[i % 3]}. b" if i < 30 else t) for i, t in enumerate(prose(72, 60))]
+    got = {r["doc_id"] - 10_000: r["predicted"] for r in toxicity.score(docs(spark, new), m).collect()}
+    assert got == {i: int(i < 30) for i in range(60)}
+
+
 # ---- 8 exact copies ----
 
 
