@@ -10,7 +10,8 @@ in tiktoken's faster loop, built from the vocabulary in the tokenizer's file:
   tokenizer certainly starts anew; plain words again take the fast loop, all
   others the library, and a worker keeps the ids of words that come again.
 
-Each worker first encodes its first texts both ways and stays with the library
+A text that holds the string of an added token goes to the library whole, for
+the loops cannot produce such a token. Each worker first encodes its first texts both ways and stays with the library
 if they ever differ.
 """
 
@@ -45,21 +46,24 @@ def byte_of() -> dict[str, int]:
 
 
 class Encoder:
-    """texts -> little-endian unsigned 32-bit ids; special strings in a text are text."""
+    """texts -> little-endian unsigned 32-bit ids. Strings of special tokens in a text are those tokens with added, else text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        tokens = spec.get("added_tokens", []) if added else []
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in tokens)) if tokens else None
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tried = 0
-        self.fast = self._fast(spec)
+        # an added token that is sought in the normalized text can't be found by its string
+        self.fast = None if any(x.get("normalized") for x in tokens) else self._fast(spec)
 
     def _fast(self, spec: dict):
         """tiktoken's loop over the same merges, or None."""
@@ -158,6 +162,11 @@ class Encoder:
             return []
         if self.fast is None:
             return self._library(texts)
+        if self.added and (held := [i for i, t in enumerate(texts) if self.added.search(t)]):
+            rest = set(range(len(texts))).difference(held)
+            out = dict(zip(held, self._library([texts[i] for i in held]), strict=True))
+            out |= dict(zip(sorted(rest), self.encode([texts[i] for i in sorted(rest)]), strict=True))
+            return [out[i] for i in range(len(texts))]
         out = (self._by_lines if self.suffix else self._by_text)(texts)
         if self.tried < TRIED:
             self.tried += len(texts)
@@ -169,5 +178,5 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder a worker and vocabulary."""
-    return Encoder(path)
+    """One encoder a worker and vocabulary, with the ids of the library as it comes."""
+    return Encoder(path, added=True)

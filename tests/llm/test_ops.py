@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import chat, decontaminate, exact_dedup, html_extract, lm, near_dup, packing, secrets, token_store, toxicity
-from tessera.llm.tokens import Encoder
+from tessera.llm.tokens import Encoder, encoder
 
 CLASH = "doc_id long, text string, row_key long, text_key long, sha binary, rules long, shard long, n int, w string, __d long, __n int"
 
@@ -44,6 +44,17 @@ def test_encoder_equals_library(name):
     assert got == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_the_library_gives_them(name):
+    """The call alone, with no switch of the library set; also in a batch without other texts."""
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    e = encoder(public_tokenizers.path(name))
+    texts = ["a <|endoftext|> b", *prose(2, 40), "", "<|startoftext|>a\nb<|endoftext|><|endoftext|>", "<|EndOfText|> <|endoftext|", "c d"]
+    for some in (texts, texts[:1], texts[1:3], texts[::-1]):
+        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(some)] == [x.ids for x in t.encode_batch(some, add_special_tokens=False)]
+    assert e.fast is not None and max(np.frombuffer(e.encode(texts[:1])[0], "<u4")) == t.token_to_id("<|endoftext|>")
+
+
 # ---- 1 secrets ----
 
 PYTHON = {
@@ -296,6 +307,19 @@ def test_directory_splits_only_what_is_overfull():
 # ---- 9 token store ----
 
 
+def test_token_store_keeps_added_tokens(spark, tmp_path):
+    """What follows a document with an added token starts where the library's ids end."""
+    rows = [(0, "a <|endoftext|> b"), (1, "c <|startoftext|>"), (2, "d e")]
+    manifest, cuts = token_store.write_tokens(docs(spark, rows), public_tokenizers.path("word_bpe_49k.json"), 2, f"file://{tmp_path}/s", width=2, shard_docs=9)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, at = [], 0
+    for d, text in rows:
+        want.append((d, at, len(t.encode(text, add_special_tokens=False).ids) + 1))
+        at += want[-1][2]
+    got = token_store.read_tokens(docs(spark, rows).select("doc_id"), manifest, cuts).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in got) == want
+
+
 def test_token_store(spark, tmp_path):
     rows = [(3 * i - 20, t) for i, t in enumerate(prose(9, 50))] + ODD
     manifest, cuts = token_store.write_tokens(docs(spark, rows), public_tokenizers.path("word_bpe_49k.json"), 2, f"file://{tmp_path}/s", width=2, shard_docs=9)
