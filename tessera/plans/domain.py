@@ -387,3 +387,24 @@ def j09b(t, s):
     j = a.join(b, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.source") != F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id")))
     both = F.size(F.array_intersect("a.k", "b.k"))
     return j.where(both >= 0.6 * F.size(F.array_union("a.k", "b.k"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+
+
+@query("j09c_text_similarity")
+def j09c(t, s):
+    """Documents of a language and different sources whose sets of words of more than three characters, over whole texts, have a Jaccard
+    similarity of 0.6 or more; a document without such words is like none. Exact: with rarest words first, a match shares a word of both
+    prefixes, and the sizes and what follows that word must still allow it."""
+    k = F.array_distinct(F.filter(F.split(tx.fold(F.col("text")), " "), lambda x: F.length(x) > 3))
+    w = t("documents").select("doc_id", "source", "lang", k.alias("k")).where(F.size("k") > 0)
+    often = w.select("lang", F.explode("k").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("df"))
+    e = w.select("doc_id", "source", "lang", F.xxhash64("k").alias("set"), F.size("k").alias("n"), F.explode("k").alias("w")).join(often, ["lang", "w"])
+    e = e.withColumn("at", F.dense_rank().over(Window.partitionBy("doc_id", "source", "lang", "set").orderBy("df", "w")))
+    p = e.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * 3 / 5) + 1))
+    a, b = p.alias("a"), p.alias("b")
+    most = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least(F.col("a.at"), F.col("b.at")) - 1
+    fits = (5 * F.least("a.n", "b.n") >= 3 * F.greatest("a.n", "b.n")) & (8 * most >= 3 * (F.col("a.n") + F.col("b.n")))
+    j = a.join(b, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.source") != F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id")) & fits)
+    pairs = j.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.col("a.lang").alias("lang")).distinct()
+    l, r = w.select(F.col("doc_id").alias("a"), "lang", F.col("source").alias("sa"), F.col("k").alias("ka")), w.select(F.col("doc_id").alias("b"), "lang", F.col("source").alias("sb"), F.col("k").alias("kb"))
+    whole = pairs.join(l, ["a", "lang"]).join(r, ["b", "lang"]).where("sa <> sb")
+    return whole.where(5 * F.size(F.array_intersect("ka", "kb")) >= 3 * F.size(F.array_union("ka", "kb"))).select("a", "b").distinct()
