@@ -5,14 +5,19 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from contextlib import contextmanager
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not path:
         path = getattr(spark, "_tessera_shared", None)
         if path is None:
@@ -25,14 +30,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted():
+    """The paths that stored() writes inside; those left in the list at the end count as the enclosing block's."""
+    paths: list[str] = []
+    _NOTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.pop()
+        if _NOTED:
+            _NOTED[-1].extend(paths)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
+    if _NOTED:
+        _NOTED[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,43 +102,73 @@ def write_batch(df: DataFrame, root: str, batch_id: str) -> str:
 
 
 class Versions:
-    """A table as numbered folders and a pointer file: snapshots, time travel and properties without a table format."""
+    """A table as numbered folders and numbered pointers: snapshots, time travel, tags and properties without a table format.
+
+    A commit writes its folder, then its pointer under a number that must be free; the highest pointer is the table. A crash in between
+    leaves the table as it was, and of two writers the later one fails.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _state(self) -> dict:
-        if not exists(self.spark, f"{self.root}/pointer"):
+    def _numbers(self) -> list[int]:
+        fs, p = _fs(self.spark, f"{self.root}/pointers")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def state(self, number: int | None = None) -> dict:
+        """version, folder, properties and time of a pointer, by default the current one."""
+        numbers = self._numbers()
+        if not numbers:
             return {"version": 0, "properties": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/pointer", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/pointers/{numbers[-1] if number is None else number}", wholetext=True).first()[0])
 
     @property
     def version(self) -> int:
-        return self._state()["version"]
+        return self.state()["version"]
 
     def properties(self) -> dict[str, str]:
-        return self._state()["properties"]
+        return self.state()["properties"]
 
-    def commit(self, df: DataFrame, **properties: str) -> int:
-        """Write the next version, then move the pointer to it."""
-        state = self._state()
+    def commit(self, df: DataFrame, by: list[str] | None = None, keep: str | None = None, **properties: str) -> int:
+        """Write the next version, in folders by the columns of by, then point to it. keep: SQL over by of folders of the current version
+        that stay as they are; they are read where they lie."""
+        state = self.state()
         nxt = state["version"] + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v{nxt}")
-        self._point({"version": nxt, "properties": state["properties"] | properties})
+        folder = f"v{nxt}-{uuid.uuid4().hex[:8]}"
+        w = df.write
+        (w.partitionBy(*by) if by else w).parquet(f"{self.root}/{folder}")
+        parts = [[f, c if keep is None else f"({c}) AND ({keep})"] for f, c in state.get("parts", [])] if keep is not None else []
+        self._point(nxt, {"version": nxt, "parts": [*parts, [folder, "true"]], "schema": df.schema.jsonValue(), "properties": state["properties"] | properties, "at": datetime.now(UTC).isoformat()})
         return nxt
 
-    def _point(self, state: dict) -> None:
-        fs, p = _fs(self.spark, f"{self.root}/pointer")
+    def rollback(self, version: int) -> int:
+        """Make an older version the current one again, as a new version."""
+        old, nxt = self.state(version), self.version + 1
+        self._point(nxt, old | {"version": nxt, "at": datetime.now(UTC).isoformat()})
+        return nxt
+
+    def history(self) -> DataFrame:
+        """(version, at, properties) of every version: the table's own metadata."""
+        rows = [(s["version"], s["at"], s["properties"]) for s in map(self.state, self._numbers())]
+        return self.spark.createDataFrame(rows, "version int, at string, properties map<string,string>")
+
+    def _point(self, number: int, state: dict) -> None:
+        fs, p = _fs(self.spark, f"{self.root}/pointers/{number}")
         fs.mkdirs(p.getParent())
-        tmp = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer.tmp")
-        out = fs.create(tmp, True)
+        _, tmp = _fs(self.spark, f"{self.root}/pointers/.{number}-{uuid.uuid4().hex}")
+        out = fs.create(tmp, False)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(tmp, p)
+        if fs.exists(p) or not fs.rename(tmp, p):
+            fs.delete(tmp, False)
+            raise ValueError(f"version {number} of {self.root} was written by another")
 
     def read(self, version: int | None = None) -> DataFrame:
         """The current or an older version."""
-        v = self.version if version is None else version
-        return self.spark.read.parquet(f"{self.root}/v{v}")
+        state = self.state(version)
+        schema = StructType.fromJson(state["schema"])
+        out = None
+        for folder, condition in state["parts"]:
+            part = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}").where(condition)
+            out = part if out is None else out.unionByName(part)
+        return out
