@@ -6,14 +6,16 @@ in ``spark.checkpoint.dir``; nothing is kept on one machine's disk.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import scratch, stored, table
+from tessera.sources.tables import delete, noted, scratch, stored, table
 
-__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WordHash", "ascii_lower", "batch", "byte_list", "hinted", "local_path", "planes", "scratch", "small_batches", "stored", "table", "texts", "unplanes"]
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WordHash", "ascii_lower", "batch", "byte_list", "hinted", "local_path", "planes", "scratch", "stored", "table", "texts", "unplanes", "work"]
 
 #: Rows of a broadcast side at most; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -29,19 +31,39 @@ def local_path(uri: str) -> str | None:
 
 
 def hinted(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows; else as it is, for a shuffled join."""
+    """df, which must be stored, with a broadcast hint if it has few rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of about BATCH_BYTES from here on, unless the session has a bound of its own."""
-    if spark.conf.get(BATCH_KEY, None) in (None, f"{BATCH_DEFAULT}b", str(BATCH_DEFAULT)):
+@contextmanager
+def work(spark: SparkSession):
+    """Python workers get Arrow batches of about BATCH_BYTES inside, unless the session has a bound of its own, and what is stored inside
+    goes at the end. Yields a function that stores a result so that it stays; what leaves the block must come from it, for plans are lazy."""
+    before = spark.conf.get(BATCH_KEY, None)
+    if before in (None, f"{BATCH_DEFAULT}b", str(BATCH_DEFAULT)):
         spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
+    with noted() as paths:
+        kept: list[DataFrame] = []
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            out = stored(df, name)
+            kept.append(paths.pop())
+            return out
+
+        try:
+            yield keep
+        finally:
+            if before is None:
+                spark.conf.unset(BATCH_KEY)
+            else:
+                spark.conf.set(BATCH_KEY, before)
+            for p in paths:
+                delete(spark, p)
+            paths[:] = kept
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text): null texts become empty; other columns are left behind. Python workers get them in small batches."""
-    small_batches(docs.sparkSession)
+    """(doc_id long, text): null texts become empty; other columns are left behind."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
