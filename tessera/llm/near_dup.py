@@ -2,26 +2,31 @@
 
 A document's set is its distinct 5-word shingles (64-bit hashes). Documents
 link when 100 * overlap >= 75 * union. The result is each document's connected
-component; no link between different texts is lost, and nothing grows with the
-square of a group.
+component; no link between different texts is lost. Texts and sets are told
+apart by SHA-256.
 
 1. Prune. A document can link only if three quarters of its shingles occur in
-   another text. Each chunk of documents sends its different shingles, once
-   each, to the owners of hash ranges; these answer how many of a document's
-   shingles they saw from elsewhere. Shingles travel as sorted, byte-planed
-   blocks of 48 bits, so a clash can only keep a document too many.
+   another text. Each chunk of documents asks the owners of hash ranges about
+   its different shingles, once each (ranges.py); they answer how many of a
+   document's shingles they saw from elsewhere. Shingles travel as 48 bits, so
+   a clash can only keep a document too many.
 2. Light. Sets of at most x shingles list all their subsets of the sizes that
-   a link needs; sets that meet in a subset are linked without a comparison.
+   a link needs. Of the sets that list a subset the smallest is its holder,
+   found by a combining aggregate; the others are compared with it. That
+   loses nothing: who links meets in a subset whose holder links with both.
    x is where listing costs more than scanning.
 3. Heavy. Other sets, and light ones large enough to link with them, go into
-   tiles by the smallest hash of their more frequent half. A set visits another tile if they share one of
-   the rarest shingles that a link must touch (prefix by a fixed-size frequency
-   sketch, an order only). Each tile scans its inverted lists, counts overlaps
-   exactly, and emits a spanning forest of the links, not all of them.
-4. Components by alternating stars on the forest.
-
-A tile holds at most TILE_SETS sets and about TILE_TOKENS shingles; visitors
-stream. Copies are one set, whatever their number.
+   tiles by the smallest hash of their more frequent half. Each tile scans its
+   inverted lists, counts overlaps exactly and joins what links. Where more sets
+   have one such hash than a tile takes, one set of each joined group goes on into
+   new tiles, again and again, so a group of near copies comes together in
+   rounds that shrink and not by visits of all to all tiles.
+   Then sets visit tiles with which they share one of the rarest shingles that
+   a link must touch (prefix by a fixed-size frequency sketch, an order only)
+   and that hold sets of another group: under each shingle the sets of its
+   commonest group stay at home. Visitors of a tile are dealt out in bounded
+   numbers.
+4. Components by alternating stars on what was joined.
 
 Defined results: null and empty texts, and texts without words, have the empty
 set and link with nothing; a text of fewer than 5 words is one shingle; rows
@@ -31,7 +36,7 @@ alone; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from itertools import combinations
 from math import comb
 
@@ -42,24 +47,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHash, batch, byte_list, hinted, planes, stored, table, texts, unplanes
+from tessera.llm.common import WordHash, batch, byte_list, hinted, planes, stored, table, texts, unplanes, work
+from tessera.llm.ranges import ASK, ASK_DDL, Kind, exchange
 from tessera.operators.graph import components
 
 #: Words in a shingle; a link needs SHARE percent of the union.
 WORDS, SHARE = 5, 75
 #: Shingles in a chunk and in an owner's hash range, about.
 CHUNK, RANGE = 600_000, 2_000_000
-#: Of a tile.
-TILE_SETS, TILE_TOKENS = 1_000, 2_000_000
-#: Rows of an inverted list that are put in order by tile before its members are sent.
-LIST = 100_000
+#: Of a tile, and visitors that are compared with it in one go.
+TILE_SETS, TILE_TOKENS, VISITORS = 256, 1_000_000, 2_048
+#: A round of tiles is worth while if it leaves at most this share of the sets it began with.
+SHRINKS = 0.7
 #: Slots of the frequency sketch: a fixed size.
 SLOT_BITS = 20
 #: Largest size that is ever listed by subsets.
 MOST_LIGHT = 16
 # Odd factors that tell a shingle's places apart.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-NOBODY = (1 << 24) - 1
+#: In place of an owner: a shingle of several documents of the chunk.
+NOBODY = (1 << 32) - 1
 
 
 def shingles(body: bytes, word_hash: WordHash) -> np.ndarray:
@@ -94,22 +101,19 @@ def least(a: int) -> int:
 
 # ---- 1. prune ----
 
-ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("held", pa.binary()), ("places", pa.binary()), ("values", pa.binary()), ("owners", pa.binary())])
-ASKED_DDL = "part int, chunk long, keys binary, docs binary, sizes binary, held binary, places binary, values binary, owners binary"
-#: A chunk's documents, or (places, held) of those that a range saw from elsewhere.
-SEEN = pa.schema([(f.name, f.type) for f in ASKED if f.name not in ("part", "values", "owners")])
-SEEN_DDL = "chunk long, keys binary, docs binary, sizes binary, held binary, places binary"
-ANSWER = pa.schema([("text_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64())])
-ANSWER_DDL = "text_key long, doc_id long, n long, shared long"
+ANSWER = pa.schema([("text_key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64())])
+ANSWER_DDL = "text_key binary, doc_id long, n long, shared long"
 NULL_ID = -(1 << 63)
+KINDS = {1: Kind(48, 6, 4)}
 
 
-def asked(rows: DataFrame, parts: int) -> DataFrame:
-    """Rows for the owners of hash ranges: a chunk's different shingles there, and whose each is if only one document's."""
+def asked(rows: DataFrame) -> DataFrame:
+    """Of each chunk its documents (kind 0: keys, ids, sizes, shingles that another document of the chunk has) and its different
+    shingles (kind 1), beside each whose it is if only one document's."""
 
     def flush(ids, keys, sets, chunk):
         sizes = np.array([len(s) for s in sets], np.int64)
-        keys, ids = np.array(keys, np.int64), np.array([NULL_ID if i is None else i for i in ids], np.int64)
+        ids = np.array([NULL_ID if i is None else i for i in ids], np.int64)
         value = np.concatenate(sets) >> np.uint64(16)
         owner = np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(value, kind="stable")
@@ -118,16 +122,10 @@ def asked(rows: DataFrame, parts: int) -> DataFrame:
         runs = np.diff(np.append(new, len(value)))
         local = np.bincount(owner[np.repeat(runs > 1, runs)], minlength=len(sets)).astype(np.int64)
         value, owner = value[new], np.where(runs > 1, NOBODY, owner[new]) if len(new) else owner[:0]
-        cuts = np.searchsorted(value, np.array([(p << 48) // parts for p in range(parts + 1)], np.uint64))
-        rows = []
-        for p, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if a < z:
-                own, place = np.unique(owner[a:z], return_inverse=True)
-                known = own[own != NOBODY].astype(np.uint64)
-                place = np.where(place < len(known), place, NOBODY).astype(np.uint64)
-                rows.append((p, chunk, None, None, None, None, planes(known, 3), planes(value[a:z], 6), planes(place, 3)))
-        rows.append(((chunk + (chunk >> 32)) % parts, chunk, keys.tobytes(), ids.tobytes(), sizes.tobytes(), local.tobytes(), None, None, None))
-        return batch(ASKED, *zip(*rows, strict=True))
+        held = b"".join(keys) + ids.tobytes() + sizes.tobytes() + local.tobytes()
+        yield batch(ASK, [chunk], [0], [held], [b""])
+        if len(value):
+            yield batch(ASK, [chunk], [1], [planes(value, KINDS[1].width)], [planes(owner.astype(np.uint64), KINDS[1].payload)])
 
     def run(batches):
         chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -139,56 +137,52 @@ def asked(rows: DataFrame, parts: int) -> DataFrame:
                 keys.append(key)
                 sets.append(s)
                 total += len(s)
-                if total >= CHUNK or len(sets) >= NOBODY - 1:
-                    yield flush(ids, keys, sets, chunk)
+                if total >= CHUNK or len(sets) >= CHUNK:
+                    yield from flush(ids, keys, sets, chunk)
                     chunk, ids, keys, sets, total = chunk + 1, [], [], [], 0
         if sets:
-            yield flush(ids, keys, sets, chunk)
+            yield from flush(ids, keys, sets, chunk)
 
-    return rows.mapInArrow(run, ASKED_DDL)
+    return rows.mapInArrow(run, ASK_DDL)
 
 
-def answers(rows: DataFrame) -> DataFrame:
-    """Per document: text_key, doc_id, n shingles, and how many of them occur in another document."""
+def elsewhere(kind: int, values: np.ndarray, owners: np.ndarray, lens: np.ndarray):
+    """An owner's answer: of each chunk the documents that have a shingle which another chunk has too, and how many such."""
+    order = np.argsort(values, kind="stable")
+    same = np.concatenate([[False], values[order][1:] == values[order][:-1]])
+    twice = np.zeros(len(values), bool)
+    twice[order] = same | np.concatenate([same[1:], [False]])
+    blobs, ends = [], np.cumsum([0, *lens.tolist()])
+    for a, z in zip(ends, ends[1:], strict=False):
+        own = owners[a:z][twice[a:z] & (owners[a:z] != NOBODY)]
+        places, n = np.unique(own, return_counts=True)
+        blobs.append(planes(places, 4) + planes(n.astype(np.uint64), 4) if len(places) else None)
+    return blobs, None, None
 
-    def reply(t: pa.Table) -> pa.Table:
-        out, asking, values, owners, base = [], [], [], [], 0
-        for r in t.to_pylist():
-            if r["keys"] is not None:
-                out.append(tuple(r[f.name] for f in SEEN))
-                continue
-            n, place = len(r["places"]) // 3, unplanes(r["owners"], 3).astype(np.int64)
-            values.append(unplanes(r["values"], 6))
-            owners.append(np.where(place == NOBODY, -1, place + base))
-            asking.append((r["chunk"], r["places"], base, base + n))
-            base += n
-        if base:
-            value, owner = np.concatenate(values), np.concatenate(owners)
-            order = np.argsort(value, kind="stable")
-            value, owner = value[order], owner[order]
-            same = np.concatenate([[False], value[1:] == value[:-1]])
-            twice = same | np.concatenate([same[1:], [False]])
-            n = np.bincount(owner[twice & (owner >= 0)], minlength=base).astype(np.int64)
-            out += [(chunk, None, None, None, n[a:z].tobytes(), places) for chunk, places, a, z in asking if n[a:z].any()]
-        return pa.Table.from_batches([batch(SEEN, *zip(*out, strict=True))] if out else [], SEEN)
+
+def answers(rows: DataFrame, parts: int, chunks: int) -> DataFrame:
+    """Per document: text_key, doc_id, n shingles, and how many of them occur in another document."""
 
     def total(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        head = next(r for r in rows if r["keys"] is not None)
-        k, d, n, shared = (np.frombuffer(head[c], np.int64) for c in ("keys", "docs", "sizes", "held"))
+        head = next(r for r in rows if r["kind"] == 0)["blobs"][0]
+        m = len(head) // 56
+        keys = [head[32 * i : 32 * i + 32] for i in range(m)]
+        d, n, shared = np.frombuffer(head, np.int64, 3 * m, 32 * m).reshape(3, m)
         shared = shared.copy()
         for r in rows:
-            if r["keys"] is None:
-                shared[unplanes(r["places"], 3).astype(np.int64)] += np.frombuffer(r["held"], np.int64)
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(k), pa.array(d, mask=d == NULL_ID), pa.array(n), pa.array(shared)], schema=ANSWER)])
+            for blob in r["blobs"] if r["kind"] else ():
+                half = len(blob) // 2
+                shared[unplanes(blob[:half], 4).astype(np.int64)] += unplanes(blob[half:], 4).astype(np.int64)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(d, mask=d == NULL_ID), pa.array(n), pa.array(shared)], schema=ANSWER)])
 
-    return rows.groupBy("part").applyInArrow(reply, SEEN_DDL).groupBy("chunk").applyInArrow(total, ANSWER_DDL)
+    return exchange(asked(rows), KINDS, parts, chunks, elsewhere).where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(total, ANSWER_DDL)
 
 
 # ---- 2. and 3.: sets that are left ----
 
-SETS = pa.schema([("text_key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
-SETS_DDL = "text_key long, set_id long, n int, body binary"
+SETS = pa.schema([("text_key", pa.binary()), ("set_key", pa.binary()), ("n", pa.int32()), ("body", pa.binary())])
+SETS_DDL = "text_key binary, set_key binary, n int, body binary"
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 LINKS_DDL = "a long, b long"
 
@@ -203,7 +197,7 @@ def sets_of(rows: DataFrame) -> DataFrame:
         for b in batches:
             got = [shingles(x, word_hash) for x in byte_list(b.column(1))]
             body = [s.tobytes() for s in got]
-            yield batch(SETS, b.column(2), [signed(xxhash.xxh64_intdigest(x, 11)) for x in body], [len(s) for s in got], body)
+            yield batch(SETS, b.column(2), [hashlib.sha256(x).digest() for x in body], [len(s) for s in got], body)
 
     return rows.mapInArrow(run, SETS_DDL)
 
@@ -241,34 +235,32 @@ def light_bound(mean_list: float) -> int:
 
 
 def light_links(sets: DataFrame, bound: int) -> DataFrame:
-    """Links of sets of at most bound shingles: who meets the smallest holder of a subset with enough in common."""
-    schema = pa.schema([("subset", pa.int64()), ("t", pa.int32()), ("n", pa.int32()), ("set_id", pa.int64())])
+    """Links of sets of at most bound shingles: each compared with the smallest holder of a subset that they have in common."""
+    schema = pa.schema([("subset", pa.int64()), ("t", pa.int32()), ("n", pa.int32()), ("set_id", pa.int64()), ("body", pa.binary())])
 
     def listed(batches):
         for b in batches:
-            out = []
             for set_id, n, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 s = [body[8 * i : 8 * i + 8] for i in range(n)]
-                for t in range(least(n), n + 1):
-                    out += [(signed(xxhash.xxh64_intdigest(b"".join(c), t)), t, n, set_id) for c in combinations(s, t)]
-            if out:
+                out = [(signed(xxhash.xxh64_intdigest(b"".join(c), t)), t, n, set_id, body) for t in range(least(n), n + 1) for c in combinations(s, t)]
                 yield batch(schema, *zip(*out, strict=True))
 
-    def met(batches):
-        key, first = None, None
+    def compared(batches):
         for b in batches:
             out = []
-            for subset, t, n, set_id in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (subset, t) != key:
-                    key, first = (subset, t), (n, set_id)
-                elif needed(first[0], n) <= t and set_id != first[1]:
-                    out.append((first[1], set_id))
+            for a, x, c, y in zip(*(k.to_pylist() for k in b.columns), strict=True):
+                common = len({x[i : i + 8] for i in range(0, len(x), 8)} & {y[i : i + 8] for i in range(0, len(y), 8)})
+                if links(len(x) // 8, len(y) // 8, common):
+                    out.append((a, c))
             if out:
                 yield batch(LINKS, *zip(*out, strict=True))
 
-    small = sets.where(F.col("n") <= bound).select("set_id", "n", "body").mapInArrow(listed, "subset long, t int, n int, set_id long")
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return small.repartition(parts, "subset").sortWithinPartitions("subset", "t", "n", "set_id").mapInArrow(met, LINKS_DDL)
+    entries = stored(sets.where(F.col("n") <= bound).select("set_id", "n", "body").mapInArrow(listed, "subset long, t int, n int, set_id long, body binary"), "near-subsets", "lz4")
+    holder = entries.groupBy("subset", "t").agg(F.min(F.struct("n", "set_id", "body")).alias("h"), F.count("*").alias("k")).where("k > 1")
+    # what the smaller set of a link needs to have in common with the other: ceil(SHARE * (a + b) / (100 + SHARE))
+    enough = F.col("t") * (100 + SHARE) >= SHARE * (F.col("n") + F.col("h.n"))
+    met = entries.join(holder, ["subset", "t"]).where(enough & (F.col("set_id") != F.col("h.set_id")))
+    return met.select(F.col("h.set_id").alias("a"), F.col("h.body").alias("x"), F.col("set_id").alias("c"), F.col("body").alias("y")).dropDuplicates(["a", "c"]).mapInArrow(compared, LINKS_DDL)
 
 
 def unit(body: bytes, freq: np.ndarray) -> int:
@@ -278,102 +270,14 @@ def unit(body: bytes, freq: np.ndarray) -> int:
     return signed(int(s[np.argmax(f >= np.median(f))]))
 
 
-def heavy_links(sets: DataFrame, freq: np.ndarray, bound: int) -> DataFrame:
-    """Links among sets of over bound shingles, and with the light ones that can reach them."""
-    spark = sets.sparkSession
-    sets = sets.where(F.col("n") >= least(bound + 1))
-    sketched = spark.sparkContext.broadcast(freq)
-    unit_schema = pa.schema([("unit", pa.int64()), ("n", pa.int32())])
-
-    def units(batches):
-        for b in batches:
-            yield batch(unit_schema, [unit(x, sketched.value) for x in b.column(1).to_pylist()], b.column(0))
-
-    big = sets.select("n", "body").mapInArrow(units, "unit long, n int").groupBy("unit").agg(F.count("*").alias("k"), F.sum("n").alias("size")).where((F.col("k") > TILE_SETS) | (F.col("size") > TILE_TOKENS))
-    split = {r["unit"]: max(-(-r["k"] // TILE_SETS), -(-r["size"] // TILE_TOKENS)) for r in big.collect()}  # a row for each TILE_SETS sets at most
-
-    def tile(body, set_id):
-        home = unit(body, sketched.value)
-        many = split.get(home, 1)
-        return home if many == 1 else signed(xxhash.xxh64_intdigest(f"{home}/{(set_id * 0x9E3779B97F4A7C15 >> 20) % many}"))
-
-    schema = pa.schema([("token", pa.int64()), ("tile", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32())])
-
-    def prefixes(batches):
-        freq = sketched.value
-        for b in batches:
-            tokens, tiles, ids, sizes = [], [], [], []
-            for set_id, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = np.frombuffer(body, np.uint64)
-                order = np.lexsort((s, freq[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[: n - least(n) + 1]
-                tokens.append(s[order].view(np.int64))
-                k = len(order)
-                tiles.append(np.full(k, tile(body, set_id), np.int64))
-                ids.append(np.full(k, set_id, np.int64))
-                sizes.append(np.full(k, n, np.int32))
-            if tokens:
-                yield batch(schema, *(pa.array(np.concatenate(x)) for x in (tokens, tiles, ids, sizes)))
-
-    def routes(batches):
-        seen: set[tuple[int, int]] = set()
-
-        def meet(rows, open_):
-            for home, set_id, n in rows:
-                for other, (low, high) in open_.items():
-                    if other != home and high >= least(n) and least(low) <= n and (set_id, other) not in seen:
-                        seen.add((set_id, other))
-                        yield set_id, other
-                low, high = open_.get(home, (n, n))
-                open_[home] = (min(low, n), max(high, n))
-
-        def settle(rows, open_):
-            """Members of small tiles visit large ones; a list too long to hold goes on in its order."""
-            many = Counter(x[0] for x in rows)
-            return meet(sorted(rows, key=lambda x: (-many[x[0]], x[0])), open_) if not open_ else meet(rows, open_)
-
-        token, rows, open_ = None, [], {}
-        for b in batches:
-            out = []
-            for tok, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if tok != token or len(rows) >= LIST:
-                    if len(rows) > 1 or open_:
-                        out += settle(rows, open_)
-                    if tok != token:
-                        token, open_ = tok, {}
-                    rows = []
-                rows.append(row)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if out:
-                yield batch(visit, *zip(*out, strict=True))
-        out = list(settle(rows, open_))
-        if out:
-            yield batch(visit, *zip(*out, strict=True))
-
-    visit = pa.schema([("set_id", pa.int64()), ("tile", pa.int64())])
-    homes_schema = pa.schema([("tile", pa.int64()), ("visitor", pa.int32()), ("set_id", pa.int64()), ("body", pa.binary())])
-
-    def homes(batches):
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            yield batch(homes_schema, [tile(x, i) for x, i in zip(b.column(1).to_pylist(), ids, strict=True)], [0] * len(ids), b.column(0), b.column(1))
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = sets.select("set_id", "n", "body")
-    visits = cols.mapInArrow(prefixes, "token long, tile long, set_id long, n int").repartition(parts, "token").sortWithinPartitions("token", "tile").mapInArrow(routes, "set_id long, tile long").distinct()
-    guests = visits.join(sets.select("set_id", "body"), "set_id").select("tile", F.lit(1).alias("visitor"), "set_id", "body")
-    met = sets.select("set_id", "body").mapInArrow(homes, "tile long, visitor int, set_id long, body binary").unionByName(guests)
-    return met.repartition(parts, "tile").sortWithinPartitions("tile", "visitor", "set_id").mapInArrow(scan_tiles, LINKS_DDL)
-
-
 class Tile:
     """Inverted lists over the sets at home in a tile."""
 
-    def __init__(self, ids: list[int], bodies: list[bytes]):
-        self.ids, self.sets = ids, [np.frombuffer(x, np.uint64) for x in bodies]
+    def __init__(self, bodies: list[bytes]):
+        self.sets = [np.frombuffer(x, np.uint64) for x in bodies]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         tokens = np.concatenate(self.sets)
-        owner = np.repeat(np.arange(len(ids)), self.sizes)
+        owner = np.repeat(np.arange(len(bodies)), self.sizes)
         order = np.argsort(tokens, kind="stable")
         self.owner = owner[order]
         tokens = tokens[order]
@@ -388,86 +292,205 @@ class Tile:
             return at
         a, n = self.starts[at], self.starts[at + 1] - self.starts[at]
         picks = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        overlap = np.bincount(self.owner[picks], minlength=len(self.ids))
+        overlap = np.bincount(self.owner[picks], minlength=len(self.sets))
         return np.flatnonzero(100 * overlap >= SHARE * (len(s) + self.sizes - overlap))
 
 
-def scan_tiles(batches):
-    """Rows (tile, visitor, set_id, body), homes before visitors: a spanning forest of the links each tile finds."""
-    now, ids, bodies, lists, root, out = None, [], [], None, {}, []
+class Groups(dict):
+    """Union-find."""
 
-    def top(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
+    def top(self, x: int) -> int:
+        while self.setdefault(x, x) != x:
+            self[x] = self[self[x]]
+            x = self[x]
         return x
 
-    def join(a, b):
-        x, y = top(a), top(b)
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.top(a), self.top(b)
         if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((a, b))
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+
+HOMES = pa.schema([("set_id", pa.int64()), ("tile", pa.int64()), ("chief", pa.int64())])
+HOMES_DDL = "set_id long, tile long, chief long"
+
+
+def settled(batches):
+    """Rows (tile, set_id, body), sorted by tile: each set's chief, the set with most links of its group in the tile."""
+    now, ids, bodies = None, [], []
 
     def settle():
-        nonlocal lists
-        if lists is None and ids:
-            lists = Tile(ids, bodies)
-            if len(ids) > 1:
-                for i, s in enumerate(lists.sets):
-                    for j in lists.partners(s).tolist():
-                        if j < i:
-                            join(ids[j], ids[i])
+        if not ids:
+            return None
+        groups, links_of = Groups(), [0] * len(ids)
+        if len(ids) > 1:
+            tile = Tile(bodies)
+            for i, s in enumerate(tile.sets):
+                found = tile.partners(s).tolist()
+                links_of[i] = len(found)
+                for j in found:
+                    if j < i:
+                        groups.join(j, i)
+        chief: dict[int, int] = {}
+        for i in sorted(range(len(ids)), key=lambda i: (-links_of[i], ids[i])):
+            chief.setdefault(groups.top(i), i)
+        return batch(HOMES, ids, [now] * len(ids), [ids[chief[groups.top(i)]] for i in range(len(ids))])
 
     for b in batches:
-        for tile, visitor, set_id, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for tile, set_id, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if tile != now:
-                settle()
-                now, ids, bodies, lists, root = tile, [], [], None, {}
+                done = settle()
+                if done is not None:
+                    yield done
+                now, ids, bodies = tile, [], []
+            ids.append(set_id)
+            bodies.append(body)
+    done = settle()
+    if done is not None:
+        yield done
+
+
+def homes(sets: DataFrame) -> DataFrame:
+    """(set_id, tile, chief) of sets (set_id, n, unit, body); written."""
+    load = sets.groupBy("unit").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    many = F.greatest(F.ceil(F.col("k") / TILE_SETS), F.ceil(F.col("size") / TILE_TOKENS))
+    crowded = stored(load.select(F.col("unit").alias("crowded"), many.alias("many")).where("many > 1"), "near-crowded")
+    tile = F.when(F.col("many").isNull(), F.col("unit")).otherwise(F.xxhash64("unit", F.pmod(F.xxhash64("set_id"), F.col("many"))))
+    tiled = sets.join(hinted(crowded), F.col("unit") == F.col("crowded"), "left").select(tile.alias("tile"), "set_id", "body")
+    return stored(_dealt(tiled, "tile").sortWithinPartitions("tile", "set_id").mapInArrow(settled, HOMES_DDL), "near-homes")
+
+
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def gathered(sets: DataFrame) -> DataFrame:
+    """(set_id, tile, chief): homes of all sets, and the chief of each one's group after rounds of tiles over the chiefs."""
+    first = homes(sets)
+    out, left = first, first
+    units = sets.select("set_id", "unit")
+    before = None
+    while True:
+        # chiefs whose unit fills more than one tile meet again
+        chiefs = left.where("set_id = chief").select("set_id", "tile").join(units, "set_id")
+        apart = stored(chiefs.groupBy("unit").agg(F.min("tile").alias("x"), F.max("tile").alias("y")).where("x <> y").select(F.col("unit").alias("apart")), "near-apart")
+        if apart.isEmpty():
+            return out
+        again = stored(sets.join(chiefs.join(hinted(apart), F.col("unit") == F.col("apart"), "left_semi").select("set_id"), "set_id", "left_semi"), "near-chiefs", "lz4")
+        n = again.count()
+        if before is not None and n > SHRINKS * before:
+            return out
+        before = n
+        left = homes(again)
+        higher = left.select(F.col("set_id").alias("low"), F.col("chief").alias("high"))
+        out = stored(out.join(higher, F.col("chief") == F.col("low"), "left").select("set_id", "tile", F.coalesce("high", "chief").alias("chief")), "near-gathered")
+
+
+PREFIXES = pa.schema([("token", pa.int64()), ("tile", pa.int64()), ("chief", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32())])
+PREFIXES_DDL = "token long, tile long, chief long, set_id long, n int"
+
+
+def visits(sets: DataFrame, sketched) -> DataFrame:
+    """(set_id, tile): who must be compared with another tile's sets. sets: (set_id, n, tile, chief, body)."""
+
+    def prefixes(batches):
+        freq = sketched.value
+        for b in batches:
+            tokens, k = [], []
+            for n, body in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
+                s = np.frombuffer(body, np.uint64)
+                tokens.append(s[np.lexsort((s, freq[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[: n - least(n) + 1]].view(np.int64))
+                k.append(len(tokens[-1]))
+            if tokens:
+                of = lambda i, k=k, b=b: pa.array(np.repeat(b.column(i).to_numpy(), k))
+                yield batch(PREFIXES, pa.array(np.concatenate(tokens)), of(2), of(3), of(0), of(1))
+
+    entries = stored(sets.select("set_id", "n", "tile", "chief", "body").mapInArrow(prefixes, PREFIXES_DDL), "near-prefixes", "lz4")
+    mixed = entries.groupBy("token").agg(F.min("tile").alias("t0"), F.max("tile").alias("t1"), F.min("chief").alias("c0"), F.max("chief").alias("c1")).where("t0 <> t1 AND c0 <> c1").select("token")
+    open_ = stored(entries.join(mixed, "token", "left_semi"), "near-open", "lz4")
+    commonest = open_.groupBy("token", "chief").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("chief", F.struct("k", "chief")).alias("stays"))
+    there = open_.groupBy(F.col("token").alias("at"), F.col("tile").alias("there")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("chief").alias("c0"), F.max("chief").alias("c1"))
+    out = open_.join(commonest, "token").where("chief <> stays")
+    fits = (F.col("high") * 100 >= SHARE * F.col("n")) & (F.col("n") * 100 >= SHARE * F.col("low"))
+    other = (F.col("c0") != F.col("chief")) | (F.col("c1") != F.col("chief"))
+    return out.join(there, F.col("token") == F.col("at")).where((F.col("tile") != F.col("there")) & fits & other).select("set_id", F.col("there").alias("tile")).distinct()
+
+
+def received(batches):
+    """Rows (tile, share, visitor, chief, body), sorted, homes before visitors: chiefs of different groups that a link joins."""
+    now, chiefs, bodies, tile, groups, out = None, [], [], None, Groups(), []
+    for b in batches:
+        for key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key[:2] != now:
+                now, chiefs, bodies, tile, groups = key[:2], [], [], None, Groups()
+            visitor, chief, body = key[2:]
             if not visitor:
-                ids.append(set_id)
+                chiefs.append(chief)
                 bodies.append(body)
                 continue
-            settle()
-            if lists is not None:
-                for j in lists.partners(np.frombuffer(body, np.uint64)).tolist():
-                    join(ids[j], set_id)
+            if tile is None:
+                tile = Tile(bodies)
+            for j in tile.partners(np.frombuffer(body, np.uint64)).tolist():
+                if groups.join(chiefs[j], chief):
+                    out.append((chiefs[j], chief))
         if out:
             yield batch(LINKS, *zip(*out, strict=True))
             out = []
-    settle()
-    if out:
-        yield batch(LINKS, *zip(*out, strict=True))
+
+
+def heavy_links(sets: DataFrame, freq: np.ndarray, bound: int) -> DataFrame:
+    """Links among sets of over bound shingles, and with the light ones that can reach them: enough of them to join every group."""
+    sketched = sets.sparkSession.sparkContext.broadcast(freq)
+    schema = pa.schema([("set_id", pa.int64()), ("n", pa.int32()), ("unit", pa.int64()), ("body", pa.binary())])
+
+    def units(batches):
+        for b in batches:
+            yield batch(schema, b.column(0), b.column(1), [unit(x, sketched.value) for x in b.column(2).to_pylist()], b.column(2))
+
+    big = stored(sets.where(F.col("n") >= least(bound + 1)).select("set_id", "n", "body").mapInArrow(units, "set_id long, n int, unit long, body binary"), "near-big", "lz4")
+    home = gathered(big)
+    housed = stored(big.drop("unit").join(home, "set_id"), "near-housed", "lz4")
+    met = stored(visits(housed, sketched), "near-visits")
+    shares = met.groupBy(F.col("tile").alias("host")).agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
+    hosts = housed.join(shares, F.col("tile") == F.col("host")).select("tile", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("visitor"), "chief", "body")
+    guests = met.withColumnRenamed("set_id", "guest").join(shares, F.col("tile") == F.col("host")).select("guest", F.col("tile").alias("to"), F.pmod(F.xxhash64("guest"), F.col("shares")).cast("int").alias("share"))
+    guests = guests.join(housed.select("set_id", "chief", "body"), F.col("guest") == F.col("set_id")).select(F.col("to").alias("tile"), "share", F.lit(1).alias("visitor"), "chief", "body")
+    found = _dealt(hosts.unionByName(guests), "tile", "share").sortWithinPartitions("tile", "share", "visitor").mapInArrow(received, LINKS_DDL)
+    return home.where("set_id <> chief").select(F.col("set_id").alias("a"), F.col("chief").alias("b")).unionByName(found)
 
 
 # ---- 4. components, and all together ----
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, text_key, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    """Per row: doc_id, text_key (the SHA-256 of the text), n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
-    rows = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * RANGE)))
-    answer = stored(answers(asked(rows, parts)), "near-answers")
-    every = answer.select("doc_id", "text_key", F.col("n").alias("n_shingles"))
-    left = answer.groupBy("text_key").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    left = stored(left.where((F.col("n") > 0) & ((100 * F.col("shared") >= SHARE * F.col("n")) | (F.col("copies") > 1))).select(F.col("text_key").alias("k"), F.col("first_id")), "near-left")
-    # one text of each that is left
-    picked = rows.join(hinted(left), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = stored(sets_of(picked), "near-sets", "lz4")
-    names = sets.select("text_key", "set_id").distinct()
-    classes = stored(sets.select("set_id", "n", "body").dropDuplicates(["set_id"]), "near-classes", "lz4")
-    freq, mean_list = sketch(classes)
-    bound = light_bound(mean_list)
-    found = light_links(classes, bound).unionByName(heavy_links(classes, freq, bound))
-    roots = components(found)
-    named = names.join(roots, F.col("set_id") == F.col("node"), "left").select("text_key", F.coalesce("root", "set_id").alias("root"))
-    lowest = every.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("low"))
-    smallest = stored(named.join(lowest, "text_key", "left"), "near-roots")
-    best = smallest.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "best_root")
-    of_text = smallest.join(best, F.col("root") == F.col("best_root")).select(F.col("text_key").alias("named_key"), "component")
-    joined = every.join(of_text, F.col("text_key") == F.col("named_key"), "left")
-    return joined.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    with work(spark) as keep:
+        rows = texts(docs).withColumn("text_key", F.unhex(F.sha2("text", 256)))
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * RANGE)))
+        answer = stored(answers(rows, parts, -(-size // (6 * CHUNK))), "near-answers")
+        every = answer.select("doc_id", "text_key", F.col("n").alias("n_shingles"))
+        left = answer.groupBy("text_key").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+        left = stored(left.where((F.col("n") > 0) & ((100 * F.col("shared") >= SHARE * F.col("n")) | (F.col("copies") > 1))).select(F.col("text_key").alias("k"), F.col("first_id")), "near-left")
+        # one text of each that is left
+        picked = rows.join(hinted(left), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+        sets = stored(sets_of(picked), "near-sets", "lz4")
+        classes = sets.select("set_key", "n", "body").dropDuplicates(["set_key"]).withColumn("set_id", F.monotonically_increasing_id())
+        classes = stored(classes, "near-classes", "lz4")
+        names = sets.select("text_key", "set_key").distinct().join(classes.select("set_key", "set_id"), "set_key").select("text_key", "set_id")
+        freq, mean_list = sketch(classes)
+        bound = light_bound(mean_list)
+        roots = components(light_links(classes, bound).unionByName(heavy_links(classes, freq, bound)))
+        named = names.join(roots, F.col("set_id") == F.col("node"), "left").select("text_key", F.coalesce("root", "set_id").alias("root"))
+        lowest = every.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("low"))
+        smallest = stored(named.join(lowest, "text_key", "left"), "near-roots")
+        best = smallest.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "best_root")
+        of_text = smallest.join(best, F.col("root") == F.col("best_root")).select(F.col("text_key").alias("named_key"), "component")
+        joined = every.join(of_text, F.col("text_key") == F.col("named_key"), "left")
+        return keep(joined.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "near-groups")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -475,12 +498,11 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays."""
+    """Pipeline stage: of each component the document with the smallest doc_id stays; of rows that repeat doc_id and text, one."""
     from tessera.llm.exact_dedup import without
 
-    groups = stored(near_groups(docs).select("doc_id", "text_key", F.col("component_id")), "near-decisions")
+    groups = near_groups(docs)
     stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     gone = groups.where(~stays).select("doc_id", "text_key")
-    again = groups.where(stays & F.col("doc_id").isNotNull()).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
-    again = again.drop("n")
+    again = groups.where(stays & F.col("doc_id").isNotNull()).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return without(docs, gone.unionByName(again), again)
