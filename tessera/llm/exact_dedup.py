@@ -1,10 +1,13 @@
 """Exact dedup over an extendible-hash index on shared files.
 
 Texts are equal when identical after lower-casing A-Z. A text's hash is its
-SHA-256; the leading bits address the index. From counts of distinct hashes by
-leading bits the directory doubles until no bucket holds more than its
-capacity (a bucket of one hash cannot split and chains instead). Buckets are
-contiguous key ranges; the task that owns a bucket gets, sorted by key, at
+SHA-256; the leading bits address the index. The directory starts with as many
+buckets as the different texts fill and doubles, one bit at a time, while
+buckets hold more than their capacity; only those split (a bucket of one hash
+can't and chains instead). All counting is done by the cluster; the driver
+knows totals only, and what is joined to the rows are the few first buckets
+that split. Buckets are contiguous key ranges, dealt to tasks in their order;
+the task that owns a range gets, sorted by key, at
 most one row for each text and COMBINED bytes of texts (copies are counted
 before the shuffle), chains rows of equal key, compares their bytes, and writes
 one index entry for each different text. A hot text so costs its owner few rows a task,
@@ -12,32 +15,32 @@ never one a copy, and one entry in memory.
 
 Defined results: null text counts as empty; null doc_ids take part and lose to
 any other; of rows that repeat both doc_id and text exactly one is kept; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from math import ceil, log2
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, byte_list, stored, texts
+from tessera.llm.common import batch, byte_list, hinted, stored, texts, work
 
 #: Distinct texts, and bytes of them, in a bucket before it splits.
 BUCKET_TEXTS, BUCKET_BYTES = 50_000, 64 << 20
 #: Bytes of different texts whose copies a task counts before it sends them on, and what an entry takes beside its text.
 COMBINED, ENTRY_BYTES = 8 << 20, 200
-#: Leading bits in the first count, and more with each further one.
-BITS, MORE_BITS = 12, 8
+#: Bits of a key that address buckets, and how often a first bucket can split.
+KEY, DEEPER = 60, 8
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("text_key", pa.int64()), ("sha", pa.binary()), ("n_bytes", pa.int64())])
-ENTRIES = pa.schema([("bucket", pa.int32()), ("sha", pa.binary()), ("n", pa.int64()), ("keep_id", pa.int64()), ("n_keep", pa.int64()), ("body", pa.binary())])
-INDEX = pa.schema([("bucket", pa.int32()), ("chain", pa.int32()), ("sha", pa.binary()), ("n", pa.int64()), ("keep_id", pa.int64()), ("n_keep", pa.int64()), ("body", pa.binary())])
-DDL = {"digests": "doc_id long, row long, text_key long, sha binary, n_bytes long", "entries": "bucket int, sha binary, n long, keep_id long, n_keep long, body binary", "index": "bucket int, chain int, sha binary, n long, keep_id long, n_keep long, body binary"}
+ENTRIES = pa.schema([("sha", pa.binary()), ("n", pa.int64()), ("keep_id", pa.int64()), ("n_keep", pa.int64()), ("body", pa.binary())])
+INDEX = pa.schema([("bucket", pa.int64()), ("chain", pa.int32()), ("sha", pa.binary()), ("n", pa.int64()), ("keep_id", pa.int64()), ("n_keep", pa.int64()), ("body", pa.binary())])
+DDL = {"digests": "doc_id long, row long, text_key long, sha binary, n_bytes long", "entries": "sha binary, n long, keep_id long, n_keep long, body binary", "index": "bucket long, chain int, sha binary, n long, keep_id long, n_keep long, body binary"}
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -53,76 +56,60 @@ def digests(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, DDL["digests"])
 
 
-def leading(sha: str, bits: int):
-    """The leading bits of a SHA-256 (binary column) as a long; bits <= 60."""
-    return F.shiftrightunsigned(F.conv(F.substring(F.hex(sha), 1, 15), 16, 10).cast("long"), 60 - bits)
-
-
-class Directory:
-    """Leaves of the extendible hash: (prefix, depth), in key order."""
-
-    def __init__(self):
-        self.depth, self.leaves = 0, [(0, 0)]
-
-    def grow(self, load, capacity: tuple[int, int], limit: int) -> list[tuple[int, int]]:
-        """Split overfull leaves by load(prefix, depth) -> (texts, bytes); returns those that are still overfull at limit bits."""
-        done, open_, full = [], list(self.leaves), []
-        while open_:
-            prefix, depth = open_.pop()
-            n, size = load(prefix, depth)
-            if n <= 1 or (n <= capacity[0] and size <= capacity[1]):
-                done.append((prefix, depth))
-            elif depth >= limit:
-                done.append((prefix, depth))
-                full.append((prefix, depth))
-            else:
-                self.depth = max(self.depth, depth + 1)  # the directory doubles when a leaf outgrows it
-                open_ += [(prefix * 2, depth + 1), (prefix * 2 + 1, depth + 1)]
-        self.leaves = sorted(done, key=lambda x: x[0] << (60 - x[1]))
-        return full
-
-    def starts(self) -> list[int]:
-        """The first 60-bit key of each leaf."""
-        return [p << (60 - d) for p, d in self.leaves]
-
-
-def directory(keys: DataFrame, capacity: tuple[int, int] = (BUCKET_TEXTS, BUCKET_BYTES)) -> Directory:
-    """Grown from counts by leading bits; only what is overfull is counted again, deeper. keys: (sha, n_bytes) distinct."""
-    out, bits, within = Directory(), BITS, keys
-    while True:
-        counts = {r["p"]: (r["n"], r["size"]) for r in within.groupBy(leading("sha", bits).alias("p")).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size")).collect()}
-        sums: dict[tuple[int, int], tuple[int, int]] = {}
-        for p, (n, size) in counts.items():
-            for depth in range(bits + 1):
-                a, b = sums.get((p >> (bits - depth), depth), (0, 0))
-                sums[p >> (bits - depth), depth] = (a + n, b + size)
-        if bits == BITS:
-            full = out.grow(lambda p, d, s=sums: s.get((p, d), (0, 0)), capacity, bits)
-        else:
-            part = Directory()
-            kept = [x for x in out.leaves if x not in full]
-            part.leaves, part.depth = list(full), out.depth
-            full = part.grow(lambda p, d, s=sums: s.get((p, d), (0, 0)), capacity, bits)
-            out.leaves, out.depth = sorted(kept + part.leaves, key=lambda x: x[0] << (60 - x[1])), part.depth
-        if not full or bits + MORE_BITS > 60:
-            return out
-        prefix_bits = full[0][1]
-        within = keys.where(leading("sha", prefix_bits).isin([p for p, _ in full]))
-        bits += MORE_BITS
+def key_of(sha: str) -> Column:
+    """The leading KEY bits of a SHA-256 (binary column) as a long."""
+    return F.conv(F.substring(F.hex(sha), 1, KEY // 4), 16, 10).cast("long")
+
+
+def first_depth(keys: DataFrame, capacity: tuple[int, int], owners: int) -> int:
+    """Bits of the first directory: as many buckets as all texts would fill, and enough for the owners at hand."""
+    n, size = keys.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    return min(KEY - DEEPER, ceil(log2(max(1, n / capacity[0], size / capacity[1], owners))))
+
+
+def splits(keys: DataFrame, depth: int, capacity: tuple[int, int] = (BUCKET_TEXTS, BUCKET_BYTES)) -> DataFrame:
+    """(first, leaves): the leaves, as first keys in order, of each bucket of the first directory that splits. keys: (sha, n_bytes) distinct."""
+    fine = keys.groupBy(F.shiftrightunsigned(key_of("sha"), KEY - depth - DEEPER).alias("p")).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
+    fine = stored(fine, "dedup-counts")
+    over = (F.col("n") > 1) & ((F.col("n") > capacity[0]) | (F.col("size") > capacity[1]))
+    done, open_ = None, fine
+    for d in range(depth, depth + DEEPER + 1):  # the directory doubles with each bit
+        at = F.shiftrightunsigned("p", depth + DEEPER - d)
+        bucket = open_.groupBy(at.alias("b")).agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+        full = stored(bucket.where(over).select(F.col("b").alias("full")), "dedup-full")
+        last = d == depth + DEEPER or full.isEmpty()
+        if d > depth:
+            leaf = (bucket if last else bucket.where(~over)).select(F.shiftrightunsigned("b", d - depth).alias("first"), F.shiftleft("b", KEY - d).alias("start"))
+            done = leaf if done is None else done.unionByName(leaf)
+        if last:
+            break
+        open_ = open_.join(hinted(full), at == F.col("full"), "left_semi")
+    if done is None:
+        return keys.sparkSession.createDataFrame([], "first long, leaves array<bigint>")
+    return stored(done.groupBy("first").agg(F.array_sort(F.collect_list("start")).alias("leaves")), "dedup-splits")
+
+
+def bucketed(entries: DataFrame, split: DataFrame, depth: int) -> DataFrame:
+    """entries with bucket, the first key of the leaf they belong to, and owner."""
+    first = F.shiftrightunsigned("key", KEY - depth)
+    leaf = F.element_at(F.filter("leaves", lambda s: s <= F.col("key")), -1)
+    # a leaf without keys of its own was never counted: what lies before the first counted one goes with the bucket's start
+    found = entries.withColumn("key", key_of("sha")).join(hinted(split), first == F.col("first"), "left")
+    return found.withColumn("bucket", F.coalesce(F.when(F.exists("leaves", lambda s: s <= F.col("key")), leaf), F.shiftleft(first, KEY - depth))).withColumn("owner", first.cast("int")).drop("key", "first", "leaves")
 
 
 def index(docs: DataFrame, digest: DataFrame, capacity: tuple[int, int] = (BUCKET_TEXTS, BUCKET_BYTES)) -> DataFrame:
     """One entry for each different text, written to shared files by the owners of key ranges."""
     keys = digest.groupBy("sha").agg(F.max("n_bytes").alias("n_bytes"))
-    starts = directory(keys, capacity).starts()
+    depth = first_depth(keys, capacity, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    split = splits(keys, depth, capacity)
 
     def combine(batches):
         found: dict[bytes, list] = {}
         size = 0
 
         def flush():
-            shas = [hashlib.sha256(x).digest() for x in found]
-            return batch(ENTRIES, [bisect_right(starts, int.from_bytes(s[:8], "big") >> 4) - 1 for s in shas], shas, *([e[k] for e in found.values()] for k in range(3)), list(found))
+            return batch(ENTRIES, [hashlib.sha256(x).digest() for x in found], *([e[k] for e in found.values()] for k in range(3)), list(found))
 
         for b in batches:
             for doc_id, body in zip(b.column(0).to_pylist(), byte_list(b.column(1)), strict=True):
@@ -170,14 +157,18 @@ def index(docs: DataFrame, digest: DataFrame, capacity: tuple[int, int] = (BUCKE
         if out:
             yield batch(INDEX, *zip(*out, strict=True))
 
-    owners = max(1, len(starts))
-    entries = texts(docs).mapInArrow(combine, DDL["entries"])
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(owners, 100_000))
-    return stored(entries.repartition(parts, "bucket").sortWithinPartitions("bucket", "sha").mapInArrow(own, DDL["index"]), "dedup-index")
+    entries = bucketed(texts(docs).mapInArrow(combine, DDL["entries"]), split, depth)
+    owned = entries.repartitionById(1 << depth, "owner").sortWithinPartitions("bucket", "sha").select("bucket", *ENTRIES.names)
+    return stored(owned.mapInArrow(own, DDL["index"]), "dedup-index")
 
 
 def exact_groups(docs: DataFrame, capacity: tuple[int, int] = (BUCKET_TEXTS, BUCKET_BYTES)) -> DataFrame:
     """Per row: doc_id, text_key, keep_id, group_size, kept, text_sha256."""
+    with work(docs.sparkSession) as keep:
+        return keep(_groups(docs, capacity), "dedup-groups")
+
+
+def _groups(docs: DataFrame, capacity: tuple[int, int]) -> DataFrame:
     digest = stored(digests(docs), "dedup-digests")
     entries = index(docs, digest, capacity).drop("body")
     if not entries.where("chain > 0").isEmpty():
@@ -193,20 +184,25 @@ def exact_groups(docs: DataFrame, capacity: tuple[int, int] = (BUCKET_TEXTS, BUC
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows that stay."""
-    groups = stored(exact_groups(docs).where("group_size > 1").select("doc_id", "text_key", "kept"), "dedup-decisions")
+    groups = exact_groups(docs).where("group_size > 1").select("doc_id", "text_key", "kept")
     return without(docs, groups.where("NOT kept"), groups.where("kept"))
 
 
 def without(docs: DataFrame, dropped: DataFrame, kept: DataFrame) -> DataFrame:
-    """docs without the rows of dropped (doc_id, text_key); a row equal to a kept one stays once."""
-    from tessera.llm.common import hinted
-
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    d = hinted(dropped.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct())
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (key == F.col("__k"))
+    """docs without the rows of dropped (doc_id, text_key); a row equal to one of kept stays once. text_key is a text's xxhash64, or its
+    SHA-256 where it is binary. Columns of docs may have any names."""
+    taken = {c.lower() for c in docs.columns}
+    fresh = lambda n: next(x for k in range(len(taken) + 1) if (x := f"{n}{k}") not in taken)
+    id_, key, no = fresh("dropped_id"), fresh("dropped_key"), fresh("row_no")
+    text = F.coalesce(docs["text"], F.lit(""))
+    mine = F.unhex(F.sha2(text, 256)) if dict(dropped.dtypes)["text_key"] == "binary" else F.xxhash64(text)
+    d = hinted(stored(dropped.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct(), "dropped"))
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (mine == F.col(key))
     rest = docs.join(d, on, "left_anti")
-    twice = kept.join(dropped, (kept["doc_id"].eqNullSafe(dropped["doc_id"])) & (kept["text_key"] == dropped["text_key"]), "left_semi").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct()
+    k = kept.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    twice = stored(k.join(d.withColumnsRenamed({id_: "d", key: "k"}), F.col(id_).eqNullSafe(F.col("d")) & (F.col(key) == F.col("k")), "left_semi"), "kept-once")
     if twice.isEmpty():
         return rest
-    once = docs.join(hinted(twice), on, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.lit(1)))).where("__n = 1").drop("__n")
+    once = docs.join(hinted(twice), on, "left_semi")
+    once = once.withColumn(no, F.row_number().over(Window.partitionBy("doc_id", F.coalesce(F.col("text"), F.lit(""))).orderBy(F.lit(1)))).where(f"{no} = 1").drop(no)
     return rest.unionByName(once)

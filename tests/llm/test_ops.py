@@ -9,9 +9,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import chat, decontaminate, exact_dedup, html_extract, lm, near_dup, packing, secrets, token_store, toxicity
+from tessera.llm import chat, decontaminate, exact_dedup, html_extract, lm, near_dup, packing, ranges, secrets, token_store, toxicity
 from tessera.llm.tokens import Encoder, encoder
 
 CLASH = "doc_id long, text string, row_key long, text_key long, sha binary, rules long, shard long, n int, w string, __d long, __n int"
@@ -168,12 +169,42 @@ def near_rows(seed):
 @pytest.mark.parametrize("tile", [1000, 3])
 def test_near_groups(spark, monkeypatch, tile):
     monkeypatch.setattr(near_dup, "TILE_SETS", tile)
+    if tile == 3:
+        monkeypatch.setattr(near_dup, "VISITORS", 2)
+        monkeypatch.setattr(near_dup, "CHUNK", 300)
+        monkeypatch.setattr(near_dup, "RANGE", 40)
+        monkeypatch.setattr(ranges, "FAN", 16)
     rows = near_rows(4)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_groups(docs(spark, rows)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, components_by_hand(rows)))
     assert near_dup.near_groups(docs(spark, [])).count() == 0
 
 
+def test_visits_grow_with_the_rows(spark, monkeypatch):
+    """Near copies of one text, eight times as many: the sets that later rounds and other tiles see grow in proportion."""
+    monkeypatch.setattr(near_dup, "TILE_SETS", 50)
+    seen, plain = {}, near_dup.visits
+
+    def counted(*args):
+        out = plain(*args)
+        seen["n"] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "visits", counted)
+    per_row = []
+    base = prose(41, 1, 400)[0].split()
+    for n in (250, 500, 1000, 2000):
+        rng, rows = random.Random(n), []
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 50)}"
+            rows.append((i, " ".join(w)))
+        assert near_dup.near_groups(docs(spark, rows)).where("component_id = 0").count() == n
+        per_row.append(seen["n"] / n)
+    assert per_row[-1] <= 2 * max(per_row[0], 0.5), per_row
+
+
 def test_needed_overlap():
     for a, b in itertools.product(range(1, 40), repeat=2):
         t = min((o for o in range(min(a, b) + 1) if near_dup.links(a, b, o)), default=None)
@@ -215,28 +246,62 @@ def test_genetic_steps():
 # ---- 6 language model ----
 
 
-def test_lm(spark):
-    rows = [(i, t) for i, t in enumerate(prose(6, 60) * 2)] + ODD
+def lm_by_hand(rows):
+    """Counts by order and the model's probability of a word after a context, as the formulas say."""
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
     words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w] + ["\n"]
-    uni, bi = {}, {}
+    c = {1: {}, 2: {}, 3: {}}
     for d, t in rows:
         if not held(d):
-            for a, b in itertools.pairwise(["\n", *words(t)]):
-                uni[b] = uni.get(b, 0) + 1
-                bi[a, b] = bi.get((a, b), 0) + 1
-    n, v = sum(uni.values()), len(uni)
-    base = lambda w: (uni.get(w, 0) + lm.ADD) / (n + lm.ADD * (v + 1))
+            w = ["\n", *words(t)]
+            for i in range(1, len(w)):
+                for k in (1, 2, 3):
+                    if i - k + 1 >= 0:
+                        g = tuple(w[i - k + 1 : i + 1])
+                        c[k][g] = c[k].get(g, 0) + 1
+    n, v = sum(c[1].values()), len(c[1])
+
+    def p(w, context):
+        if not context:
+            return (c[1].get((w,), 0) + lm.ADD) / (n + lm.ADD * (v + 1))
+        k = lm.K if len(context) == 1 else lm.M
+        return (c[len(context) + 1].get((*context, w), 0) + k * p(w, context[1:])) / (c[len(context)].get(context, 0) + k)
+
+    return held, words, c, n, p
+
+
+def test_lm(spark):
+    rows = [(i, t) for i, t in enumerate(prose(6, 60) * 2)] + ODD
+    held, words, c, n, p = lm_by_hand(rows)
     want = []
     for d, t in rows:
-        w = words(t)
-        along = sum(np.log10((bi.get((a, b), 0) + lm.K * base(b)) / (uni.get(a, 0) + lm.K)) for a, b in itertools.pairwise(["\n", *w]))
-        want.append((str(d), held(d), len(w), sum(x in uni for x in w), n, round(sum(np.log10(base(x)) for x in w), 4), round(along, 4)))
-    got = [(str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in lm.scores(docs(spark, rows)).collect()]
-    assert len(got) == len(want) and all(a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-2 and abs(a[6] - b[6]) < 1e-2 for a, b in zip(sorted(got), sorted(want), strict=True))
+        w = ["\n", *words(t)]
+        along = sum(np.log10(p(w[i], tuple(w[max(0, i - 2) : i]))) for i in range(1, len(w)))
+        want.append((str(d), held(d), len(w) - 1, sum((x,) in c[1] for x in w[1:]), n, sum(np.log10(p(x, ())) for x in w[1:]), along))
+    got = [(str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in lm.scores(docs(spark, rows)).collect()]
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) <= 1e-9 * abs(b[5]) and abs(a[6] - b[6]) <= 1e-9 * abs(b[6])
     assert lm.scores(docs(spark, [])).count() == 0
-    # what may follow a context sums to at most 1
-    assert sum((bi.get(("\n", b), 0) + lm.K * base(b)) / (uni["\n"] + lm.K) for b in uni) <= 1 + 1e-9
+    # what may follow a context sums to 1, one unknown word included
+    for context in ((), ("\n",), next(g for g in c[2] if g[0] != "\n" and g[1] != "\n"), next(g for g in c[2] if g[0] == "\n"), ("never", "seen")):
+        assert abs(sum(p(g[0], context) for g in c[1]) + p("unknown", context) - 1) < 1e-9
+
+
+def test_lm_by_two_hops(spark, monkeypatch):
+    """The same scores when chunks and ranges are many more than a hop deals with."""
+    rows = [(i, t) for i, t in enumerate(prose(61, 80))] + ODD
+    want = sorted(map(str, lm.scores(docs(spark, rows)).select(F.expr("doc_id"), "n_known", F.round("base_score", 6), F.round("score", 6)).collect()))
+    monkeypatch.setattr(lm, "CHUNK", 120)
+    monkeypatch.setattr(lm, "RANGE", 900)
+    monkeypatch.setattr(ranges, "FAN", 4)
+    assert sorted(map(str, lm.scores(docs(spark, rows)).select(F.expr("doc_id"), "n_known", F.round("base_score", 6), F.round("score", 6)).collect())) == want
+
+
+def test_counts_beyond_four_bytes():
+    values, counts = np.array([5, 9, 5], np.uint64), np.array([1 << 33, 1, 7], np.uint64)
+    blobs, distinct, total = lm.totals(1, values, counts, np.array([2, 1]))
+    assert [ranges.unplanes(b, 8).tolist() for b in blobs] == [[(1 << 33) + 7, 1], [(1 << 33) + 7]] and (distinct, total) == (2, (1 << 33) + 8)
 
 
 # ---- 7 toxicity ----
@@ -297,11 +362,24 @@ def test_exact_groups(spark, capacity):
     assert exact_dedup.exact_groups(docs(spark, []), capacity).count() == 0
 
 
-def test_directory_splits_only_what_is_overfull():
-    d = exact_dedup.Directory()
-    keys = [0b0000, 0b0001, 0b0010, 0b0011, 0b1000]
-    assert d.grow(lambda p, n: (sum(k >> (4 - n) == p for k in keys), 0), (2, 9), 4) == []
-    assert d.leaves == [(0, 3), (1, 3), (1, 2), (1, 1)] and d.depth == 3
+def test_directory_splits_only_what_is_overfull(spark):
+    """Keys of 4 bits in front: a first directory of 2 buckets, capacity 2."""
+    keys = spark.createDataFrame([(bytes([k << 4]) + bytes(31), 1) for k in (0b0000, 0b0001, 0b0010, 0b0011, 0b1000)], "sha binary, n_bytes long")
+    split = exact_dedup.splits(keys, 1, (2, 99))
+    at = lambda k: k << (exact_dedup.KEY - 4)
+    assert [(r["first"], r["leaves"]) for r in split.collect()] == [(0, [at(0b0000), at(0b0010)])]
+    entries = exact_dedup.bucketed(keys, split, 1)
+    assert sorted((r["sha"][0] >> 4, r["bucket"], r["owner"]) for r in entries.collect()) == [(0, 0, 0), (1, 0, 0), (2, at(2), 0), (3, at(2), 0), (8, at(8), 1)]
+    assert exact_dedup.splits(keys, 1, (5, 99)).count() == 0
+
+
+@pytest.mark.parametrize("kept", [[], [(1, 0)]])
+def test_without_any_column_names(spark, kept):
+    rows = [(1, "a", 1, 2, 3, 4), (1, "a", 1, 2, 3, 4), (2, None, 1, 2, 3, 4), (3, "c", 1, 2, 3, 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __d long, row_no0 int, dropped_key0 int, DROPPED_ID0 int")
+    key = lambda ids: d.where(F.col("doc_id").isin(ids)).selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS text_key").distinct()
+    out = exact_dedup.without(d, key([1, 2]), key([k for k, _ in kept]))
+    assert out.columns == d.columns and sorted(r["doc_id"] for r in out.collect()) == ([1, 3] if kept else [3])
 
 
 # ---- 9 token store ----
