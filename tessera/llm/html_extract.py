@@ -1,13 +1,18 @@
 """Main text of web pages by maximum-scoring subsequence.
 
 A page is a sequence of words and tags. Words score positive and tags
-negative; how much, weights from labelled pages say: the log-odds that a word
-in such an element, or such a tag, stands in the main text. A page labels
-itself where it marks its article with one <article> element. One linear scan
-finds the contiguous region of the highest sum; the region is then set to the
-bounds of the article or main element that holds most of it, if there is one,
-and blocks that are no main text wherever they stand (menus, forms, adverts,
-notices, scripts, comments) are left out.
+negative; how much, weights from labelled pages say, as log-odds that what
+stands so belongs to the main text: for words, whether they stand in or beside
+an article or main element where the page has one, and the names (classes, ids,
+roles) of the elements around them; for tags their own names. A page labels
+itself where it marks its article with one <article> element. What the pages
+at hand don't show starts from prior counts (PRIOR).
+
+An element whose own name or names weigh against main text (menus, adverts,
+forms, scripts, comments, whatever pages taught) is left out with all it holds,
+unless an article or main element is in it; it scores nothing, so that an advert amid the
+text cuts nothing off. One linear scan over the rest finds the contiguous
+region of the highest sum; its words of positive score are the text.
 
 Defined results: null or empty html gives the empty text; a page without words
 that score gives the empty text; character references are decoded; white space
@@ -26,113 +31,190 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, table
+from tessera.llm.common import batch, table, work
 
-#: Labelled pages that weights are fitted on, at most.
+#: Different labelled pages that weights are fitted on, at most.
 FIT_PAGES = 400
 
-# Elements and the names of classes, ids and roles that never hold main text.
+# Elements that never show text, elements that hold no main text, and names that say so.
 RAW = frozenset("script style textarea title noscript iframe template svg math canvas object select datalist audio video".split())
-NEVER = frozenset("nav footer aside form menu dialog button head search fieldset".split()) | RAW
+NEVER = frozenset("nav footer aside form menu dialog button head search fieldset header".split()) | RAW
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies respond "
-    "disqus cookie cookies consent gdpr notice notices alert newsletter subscribe subscription share sharing social related recommended popup modal overlay login signup pager pagination widget toolbar "
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header comment comments reply replies respond "
+    "disqus cookie cookies consent gdpr notice notices alert newsletter subscribe subscription share sharing social related recommended popup modal overlay login signup pager pagination widget widgets toolbar "
     "skip complementary contentinfo search searchbox masthead".split()
 )
+#: Names that tell already when they come first, words of place or shape after a name, words that turn a name round.
+FIRST = frozenset("ad ads advert advertisement sponsored cookie cookies related recommended newsletter breadcrumb".split())
+SHAPE = frozenset("left right top bottom box block container wrapper wrap area slot section list item items bar inner outer main primary secondary site page post".split())
+TURNED = frozenset("no not non has with without free is".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that make up a word's place; others may lack their end tags.
-PLACES = frozenset("html body article main section div header ul ol dl table figure blockquote details center".split()) | NEVER
+MARKS = ("article", "main")
+#: Elements that are followed; others may lack their end tags.
+PLACES = frozenset("html body section div ul ol dl table figure blockquote details center".split()) | NEVER | frozenset(MARKS)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-PARTS = re.compile(r"[a-z]+")
 
-
-def refuses(attributes: str) -> bool:
-    """Whether class, id or role name something that is no main text, or the element is hidden."""
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value = (a or b or c).lower()
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
-            return True
-        if name.lower() in ("class", "id", "role") and any(p in NAMES for p in PARTS.findall(value)):
-            return True
-    return False
-
-
-def units(html: str):
-    """Yield (kind, name, place, refused, text, in_article): kind is 'word' for a run of text, 'open' or 'close' for a tag."""
-    stack: list[tuple[str, bool]] = []  # places that are open, and whether each refuses
-    at, refused, article = 0, 0, 0
-    pos = 0
+#: Prior counts of words (inside, outside): of anything, of what NEVER and NAMES say, of a mark and of what stands beside it.
+PRIOR, AGAINST, INSIDE, BESIDE = (5.0, 5.0), (1.0, 50.0), (50.0, 1.0), (1.0, 20.0)
+#: A word's score without any evidence, and bounds of the scores of words and of tags.
+BASE, WORD_BOUND, TAG_BOUND = 0.5, 3.0, 0.5
+#: Log-odds below which an element is left out.
+REFUSED = -1.0
+
+
+def names_nothing(token: str) -> bool:
+    """Whether a class, id or role names something that is no main text: 'ad-slot' and 'post-comments' do, 'share-price', 'has-sidebar' don't."""
+    parts = [p for p in re.split(r"[^a-z]+", token.lower()) if p]
+    if TURNED.intersection(parts):
+        return False
+    told = [p for p in parts if p not in SHAPE]
+    return bool(told) and (told[-1] in NAMES or told[0] in FIRST)
+
+
+class Element:
+    """An open element: its own features, whether it is hidden, holds a mark, stands in one."""
+
+    __slots__ = ("name", "parent", "features", "hidden", "holds", "mark")
+
+    def __init__(self, name: str, attributes: str, parent: Element | None):
+        self.name, self.parent, self.holds, self.hidden = name, parent, False, name in RAW or name == "head"
+        self.mark = name if name in MARKS and not (parent and parent.mark == "article") else parent.mark if parent else ""
+        features = [f"<{name}"] if name in NEVER and not (name == "header" and self.mark) else []
+        for key, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
+            value, key = (a or b or c).lower(), key.lower()
+            if key == "hidden" or (key == "aria-hidden" and value == "true"):
+                self.hidden = True
+            elif key in ("class", "id", "role"):
+                features += value.split()
+        self.features = features
+
+
+def units(html: str) -> list[tuple[str, str, Element | None]]:
+    """(kind, text or name, element it stands in): kind is 'word' for a run of text, 'open' or 'close' for a tag."""
+    out: list[tuple[str, str, Element | None]] = []
+    top: Element | None = None
+    at = pos = 0
     while True:
         m = TOKEN.search(html, pos)
         if m is None:
             break
         if m.start() > at:
-            yield "word", "", stack[-1][0] if stack else "", refused > 0, html[at : m.start()], article > 0
+            out.append(("word", html[at : m.start()], top))
         at = pos = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:  # a comment, a declaration or a tag that never ends
             continue
-        closing = bool(m[1] or m[4])
-        attributes = m[3] or m[6] or ""
-        if not closing and name in RAW and not attributes.rstrip().endswith("/"):
+        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        empty = name in VOID or attributes.rstrip().endswith("/")
+        if top is not None and top.name == "p" and name not in INLINE and not (empty and name != "hr") and not (closing and name not in PLACES and name != "p"):
+            top = top.parent
+        if not closing and name in RAW and not empty:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
             at = pos = end.end() if end else len(html)
-            yield "open", name, name, True, "", article > 0
+            out.append(("open", name, Element(name, attributes, top)))
             continue
         if closing:
-            if name in PLACES and any(x[0] == name for x in stack):
-                while stack:
-                    top, bad = stack.pop()
-                    refused -= bad
-                    article -= top in ("article", "main")
-                    if top == name:
-                        break
-        elif name in PLACES and not attributes.rstrip().endswith("/"):
-            bad = name in NEVER or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and refuses(attributes))
-            stack.append((name, bad))
-            refused += bad
-            article += name in ("article", "main")
-        yield "close" if closing else "open", name, stack[-1][0] if stack else "", refused > 0, "", article > 0
+            place = top
+            while place is not None and place.name != name:
+                place = place.parent
+            out.append(("close", name, top))
+            if name in PLACES and place is not None:
+                top = place.parent
+            continue
+        if (name in PLACES or name == "p") and not empty:
+            top = Element(name, attributes, top)
+            if name in MARKS:
+                over = top.parent
+                while over is not None and not over.holds:
+                    over.holds, over = True, over.parent
+        out.append(("open", name, top))
     if at < len(html):
-        yield "word", "", stack[-1][0] if stack else "", refused > 0, html[at:], article > 0
+        out.append(("word", html[at:], top))
+    return out
 
 
-def place_of(unit) -> str:
-    return ("refused:" if unit[3] else "") + unit[2]
+def state(element: Element | None, marks: set[str]) -> str:
+    """Where a word stands by the page's marks: in one, beside the article or beside main, or there is none."""
+    if element is not None and element.mark:
+        return f"in {element.mark}"
+    return "beside article" if "article" in marks else "beside main" if "main" in marks else ""
 
 
 def counted(html: str) -> Counter:
-    """Of a labelled page: (what, inside) counts, words by place and tags by name."""
+    """Of a labelled page: (feature, inside) counts of words by state and names, of tags by name. What NEVER and NAMES leave out inside the
+    article teaches nothing."""
     out: Counter = Counter()
-    for u in units(html):
-        inside = u[5] and not u[3]
-        if u[0] == "word":
-            out[f"w {place_of(u)}", inside] += len(u[4].split())
+    seq, prior = units(html), Weights({})
+    marks = {u[1] for u in seq if u[0] == "open" and u[1] in MARKS}
+    for kind, text, element in seq:
+        if element is not None and element.hidden:
+            continue
+        inside = element is not None and element.mark == "article"
+        if inside and prior.refused(element):
+            continue
+        if kind == "word":
+            n = len(text.split())
+            out[f"at {state(element, marks)}", inside] += n
+            while element is not None:
+                if not element.holds:
+                    for f in element.features:
+                        out[f"w {f}", inside] += n
+                element = element.parent
         else:
-            out[f"t {u[1]}", inside] += 1
+            out[f"t {text}", inside] += 1
     return out
 
 
 class Weights:
-    """Scores of words by place and of tags by name."""
+    """Log-odds of features, and by them the scores of words and tags."""
 
     def __init__(self, counts: dict[tuple[str, bool], int]):
-        odds = lambda k: math.log((counts.get((k, True), 0) + 0.5) / (counts.get((k, False), 0) + 0.5))
-        names = {k for k, _ in counts}
-        self.words = {k[2:]: odds(k) for k in names if k.startswith("w ")}
-        self.tags = {k[2:]: min(-0.01, odds(k)) for k in names if k.startswith("t ")}  # tags never score positive
-
-    def score(self, unit) -> float:
-        if unit[0] != "word":
-            return self.tags.get(unit[1], -1.0)
-        n = len(unit[4].split())
-        w = self.words.get(place_of(unit))
-        if w is None or not -8 < w < 8:
-            w = -2.0 if unit[3] else 1.0 if w is None else w
-        return n * (max(0.05, min(w, 1.0)) if not unit[3] else min(w, -0.5))
+        self.counts = counts
+        self.seen: dict[str, float] = {}
+
+    def odds(self, feature: str) -> float:
+        got = self.seen.get(feature)
+        if got is None:
+            kind, name = feature.split(" ", 1)
+            if kind == "w":
+                prior = AGAINST if name.startswith("<") or names_nothing(name) else PRIOR
+            else:
+                prior = INSIDE if name.startswith("in ") else BESIDE if name.startswith("beside ") else PRIOR
+            a, b = (self.counts.get((feature, x), 0) + p for x, p in zip((True, False), prior, strict=True))
+            got = self.seen[feature] = 0.0 if feature == "at " else math.log(a / b)
+        return got
+
+    def refused(self, element: Element | None) -> bool:
+        """Whether the element, or one around it that holds no mark, is left out."""
+        while element is not None:
+            if element.hidden or (not element.holds and element.name not in MARKS and any(self.odds(f"w {f}") < REFUSED for f in element.features)):
+                return True
+            element = element.parent
+        return False
+
+    def scores(self, seq) -> list[float]:
+        marks = {u[1] for u in seq if u[0] == "open" and u[1] in MARKS}
+        known: dict[int, tuple[bool, float]] = {}
+        out = []
+        for kind, text, element in seq:
+            got = known.get(id(element))
+            if got is None:
+                refused, each = self.refused(element), BASE + self.odds(f"at {state(element, marks)}")
+                over = element
+                while over is not None and not refused:
+                    each += 0.0 if over.holds else sum(self.odds(f"w {f}") for f in over.features)
+                    over = over.parent
+                got = known[id(element)] = refused, max(-WORD_BOUND, min(WORD_BOUND, each))
+            if got[0]:
+                out.append(0.0)
+            elif kind == "word":
+                out.append(len(text.split()) * got[1])
+            else:
+                out.append(max(-TAG_BOUND, min(-0.01, self.odds(f"t {text}"))))
+        return out
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -149,32 +231,19 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 def extract(html: str, weights: Weights) -> str:
     """The main text of one page."""
-    seq = list(units(html))
-    scores = [weights.score(u) for u in seq]
+    seq = units(html)
+    scores = weights.scores(seq)
     a, z = region(scores)
-    if a == z:
-        return ""
-    # the article or main element that holds most of the region, else the region itself
-    spans, open_ = [], []
-    for k, u in enumerate(seq):
-        if u[0] == "open" and u[1] in ("article", "main") and not u[3]:
-            open_.append((u[1], k))
-        elif u[0] == "close" and u[1] in ("article", "main") and open_ and open_[-1][0] == u[1]:
-            spans.append((open_.pop()[1], k + 1))
-    spans += [(k, len(seq)) for _, k in open_]
-    held = lambda s: sum(x for x in scores[max(a, s[0]) : min(z, s[1])] if x > 0)
-    if spans:
-        best = max(spans, key=lambda s: (held(s), s[0] - s[1]))
-        if held(best) >= 0.5 * held((a, z)):
-            a, z = best
     blocks, block = [], []
-    for u in seq[a:z]:
-        if u[0] == "word":
-            if not u[3]:
-                block.append(unescape(u[4]))
-        elif u[1] == "br":
+    for (kind, text, _), score in zip(seq[a:z], scores[a:z], strict=True):
+        if kind == "word":
+            if score > 0:
+                block.append(unescape(text))
+            elif block and text and not text.strip():
+                block.append(" ")
+        elif text == "br":
             block.append(" ")
-        elif u[1] not in INLINE:
+        elif text not in INLINE:
             blocks.append("".join(block))
             block = []
     blocks.append("".join(block))
@@ -182,9 +251,12 @@ def extract(html: str, weights: Weights) -> str:
 
 
 def fit(pages: DataFrame, html_col: str = "html", limit: int = FIT_PAGES) -> Weights:
-    """Weights from at most limit pages that have just one <article> element, chosen by a hash of their html."""
+    """Weights from at most limit different pages that have just one <article> element, those of the smallest hashes of their html."""
     has = F.length(F.regexp_replace(F.col(html_col), r"(?i)<article\b", "")) == F.length(html_col) - F.length(F.lit("<article"))
-    labelled = pages.select(html_col).where(has).orderBy(F.xxhash64(html_col)).limit(limit)
+    labelled = pages.where(has).select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
+    last = labelled.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    if last is None:
+        return Weights({})
     schema = pa.schema([("what", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())])
 
     def run(batches):
@@ -194,7 +266,8 @@ def fit(pages: DataFrame, html_col: str = "html", limit: int = FIT_PAGES) -> Wei
                 total.update(counted(html))
             yield batch(schema, [k for k, _ in total], [x for _, x in total], list(total.values()))
 
-    rows = labelled.mapInArrow(run, "what string, inside boolean, n long").groupBy("what", "inside").agg(F.sum("n").alias("n")).collect()
+    sample = labelled.where(F.col("h") <= last).dropDuplicates(["h"]).select("html")
+    rows = sample.mapInArrow(run, "what string, inside boolean, n long").groupBy("what", "inside").agg(F.sum("n").alias("n")).collect()  # bounded by limit
     return Weights({(r["what"], r["inside"]): r["n"] for r in rows})
 
 
@@ -213,4 +286,5 @@ def extract_pages(pages: DataFrame, weights: Weights) -> DataFrame:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return extract_pages(pages, fit(pages))
+    with work(spark) as keep:
+        return keep(extract_pages(pages, fit(pages)), "page-texts")
