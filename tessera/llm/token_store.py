@@ -1,9 +1,14 @@
 """Token ids as raw binary shards with a minimal perfect hash index.
 
 Documents are encoded once, dealt out by ranges of their key, and each range's
-owner writes one shard file in ascending key order:
+owner writes one shard file in ascending key order, as its rows come:
 
-    magic, version, id width, counts | payload: raw ids | index | footer
+    magic, version, id width | payload: raw ids | index | footer with counts
+
+Ranges hold about SHARD_BYTES of text, found from keys and lengths that the
+cluster sorts; there are at most about MOST_SHARDS, larger ones for larger
+inputs, so the shards' first keys and places, all that the driver holds and
+tasks are sent, have a fixed bound.
 
 The index is a minimal perfect hash (levels of bit arrays, rank by popcount):
 it maps a key to its slot, where a 32-bit fingerprint, the offset of its ids
@@ -32,19 +37,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, local_path, scratch, stored, table, texts
+from tessera.llm.common import batch, local_path, scratch, stored, table, texts, work
 from tessera.llm.tokens import encoder
 
-MAGIC, VERSION = b"TSRA", 1
-HEAD = struct.Struct("<4sHHQQ")  # magic, version, bytes an id, records, ids
-FOOT = struct.Struct("<QQ4s")  # place and length of the index, magic
-#: Documents in a shard, about.
-SHARD_DOCS = 10_000
-NULL_KEY = b"null"
-
-DOCS = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("payload", pa.binary())])
-ASKED = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64())])
-MANIFEST = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_records", pa.int64()), ("n_ids", pa.int64())])
+MAGIC, VERSION = b"TSRA", 2
+HEAD = struct.Struct("<4sHH")  # magic, version, bytes an id
+FOOT = struct.Struct("<QQQQ4s")  # records, ids, place and length of the index, magic
+#: Bytes of text in a shard, about, and shards, about, at most.
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 1 << 18
+NULL_KEY, NULL_ID = b"null", -(1 << 63)
+#: Keys whose ids a reader holds at a time.
+LOOKED_UP = 500
+
+DOCS = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary())])
+ASKED = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32())])
+MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_records", pa.int64()), ("n_ids", pa.int64())])
 FOUND = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -146,7 +153,7 @@ def write_shard(uri: str, records, width: int) -> tuple[int, int]:
 
     def chunks():
         nonlocal n, at
-        body = []
+        yield HEAD.pack(MAGIC, VERSION, width)
         for key, payload in records:
             if not keys or keys[-1] != key:
                 keys.append(key)
@@ -155,16 +162,14 @@ def write_shard(uri: str, records, width: int) -> tuple[int, int]:
             slots[-1][2] += len(payload) // width
             lengths.append(len(payload) // width)
             n, at = n + 1, at + len(payload) // width
-            body.append(payload)
-        yield HEAD.pack(MAGIC, VERSION, width, n, at)
-        yield from body
+            yield payload
         raw = [key_bytes(k) for k in keys]
         mph = PerfectHash.build(raw)
         out = np.zeros(len(raw), SLOT)
         out[mph.slots(raw)] = np.array([(p, r, o, c) for p, (r, o, c) in zip((hashed(raw, 1 << 20) & np.uint64(0xFFFFFFFF)).tolist(), slots, strict=True)], SLOT) if raw else out
         index = mph.dump() + out.tobytes() + np.array(lengths, "<u4").tobytes()
         yield index
-        yield FOOT.pack(HEAD.size + at * width, len(index), MAGIC)
+        yield FOOT.pack(n, at, HEAD.size + at * width, len(index), MAGIC)
 
     write_whole(uri, chunks())
     return n, at
@@ -177,8 +182,8 @@ class Shard:
         fs, path = store(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
-        magic, version, self.width, self.n_records, self.n_ids = HEAD.unpack(self.file.read_at(HEAD.size, 0))
-        place, length, end = FOOT.unpack(self.file.read_at(FOOT.size, size - FOOT.size))
+        magic, version, self.width = HEAD.unpack(self.file.read_at(HEAD.size, 0))
+        self.n_records, self.n_ids, place, length, end = FOOT.unpack(self.file.read_at(FOOT.size, size - FOOT.size))
         if magic != MAGIC or end != MAGIC or version != VERSION:
             raise ValueError(f"not a shard: {uri}")
         index = self.file.read_at(length, place)
@@ -208,34 +213,57 @@ class Shard:
         return np.frombuffer(data, f"<u{self.width}").astype("<u4").tobytes()
 
 
-def bounds(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> list[int]:
-    """First keys of the shards after the first, from quantiles of the keys alone."""
-    n = docs.count()
-    parts = -(-n // shard_docs)
-    if parts <= 1:
+def bounds(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """First keys of the shards after the first: the cluster sorts keys and adds up lengths; rows of a key stay together."""
+    spark = rows.sparkSession
+    keys = rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"))
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    limit = max(shard_bytes, -(-total // MOST_SHARDS))
+    if total <= limit:
         return []
-    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"]
-    return sorted(set(cuts or []))
+    schema = pa.schema([("first", pa.int64())])
+
+    def cut(batches):
+        size, before, began = 0, None, False
+        for b in batches:
+            out = []
+            for key, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if key != before and key is not None and (size >= limit or not began):  # each task's keys begin a shard
+                    out.append(key)
+                    size = 0
+                began, before, size = True, key, size + n
+            if out:
+                yield batch(schema, out)
+
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, total // limit))
+    firsts = keys.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(cut, "first long")
+    return sorted(r[0] for r in firsts.collect())[1:]  # at most MOST_SHARDS and one a task
+
+
+def in_shard(cuts: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """The numbers of the shards that keys belong to; null keys go to the first."""
+    k = keys.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+    return np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, k, "right")).astype(np.int32)
 
 
-def in_shard(cuts: list[int], key: int | None) -> int:
-    """The number of the shard that a key belongs to; null keys go to the first."""
-    return 0 if key is None else bisect_right(cuts, key)
+def shard_path(directory: str, shard: int) -> str:
+    return f"{directory}/shard-{shard:08d}.tok"
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, directory: str, width: int = 4, shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, list[int]]:
+def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, directory: str, width: int = 4, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, list[int]]:
     """Encode docs, write the shards below directory; the manifest (shard, path, n_records, n_ids, base) and the shards' first keys.
 
     width: bytes an id (2 where the vocabulary has at most 65,536 ids).
     """
-    rows = texts(docs)
-    cuts = bounds(rows.select("doc_id"), shard_docs)
+    spark, rows = docs.sparkSession, texts(docs)
+    cuts = bounds(rows, shard_bytes)
+    sent = spark.sparkContext.broadcast(np.array(cuts, np.int64))
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def encode(batches):
         for b in batches:
             ids = encoder(vocabulary).encode(b.column(1).to_pylist())
-            yield batch(DOCS, b.column(0), [in_shard(cuts, k) for k in b.column(0).to_pylist()], [(x if width == 4 else np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) + end for x in ids])
+            yield batch(DOCS, b.column(0), in_shard(sent.value, b.column(0)), [(x if width == 4 else np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) + end for x in ids])
 
     def write(batches):
         def records():
@@ -253,27 +281,30 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, directory: str,
                     yield ahead[1], ahead[2]
                     ahead = next(stream, None)
 
-            path = f"{directory}/shard-{shard:08d}.tok"
+            path = shard_path(directory, shard)
             n, ids = write_shard(path, own(), width)
             yield batch(MANIFEST, [shard], [path], [n], [ids])
 
-    coded = rows.mapInArrow(encode, "doc_id long, shard long, payload binary")
-    parts = max(len(cuts) + 1, 1)
-    dealt = coded.repartition(parts, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "payload")
-    manifest = stored(dealt.mapInArrow(write, "shard long, path string, n_records long, n_ids long"), "token-manifest")
+    coded = rows.mapInArrow(encode, "doc_id long, shard int, payload binary")
+    dealt = coded.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "payload")
+    manifest = stored(dealt.mapInArrow(write, "shard int, path string, n_records long, n_ids long"), "token-manifest")
     base, rows_ = 0, []
     for r in sorted(manifest.collect()):  # one row a shard
         rows_.append((*r, base))
         base += r["n_ids"]
-    return docs.sparkSession.createDataFrame(rows_, "shard long, path string, n_records long, n_ids long, base long"), cuts
+    return spark.createDataFrame(rows_, "shard int, path string, n_records long, n_ids long, base long"), cuts
 
 
 def read_tokens(keys: DataFrame, manifest: DataFrame, cuts: list[int]) -> DataFrame:
     """Look up every key (doc_id, distinct) in the files: doc_id, shard, start, n_tokens, ids_crc32, a row for each record."""
-    files = {r["shard"]: (r["path"], r["base"]) for r in manifest.collect()}  # one entry a shard
+    context = keys.sparkSession.sparkContext
+    bases, directory = np.full(len(cuts) + 1, -1, np.int64), ""
+    for r in manifest.collect():  # one row a shard
+        bases[r["shard"]], directory = r["base"], os.path.dirname(r["path"])
+    sent = context.broadcast((np.array(cuts, np.int64), bases))
 
     def run(batches):
-        shard, no = None, None
+        shard, no, bases = None, None, sent.value[1]
         for b in batches:
             ids, shards, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             at = 0
@@ -281,30 +312,32 @@ def read_tokens(keys: DataFrame, manifest: DataFrame, cuts: list[int]) -> DataFr
                 end = bisect_right(shards, shards[at], at)
                 if shards[at] != no:
                     no = shards[at]
-                    shard = Shard(files[no][0]) if no in files else None
-                for key, got in zip(ids[at:end], shard.find(ids[at:end]) if shard else [], strict=True):
-                    if got is None:
-                        raise ValueError(f"key {key} is not in shard {no}")
-                    place = files[no][1] + got[0]
-                    for data in got[1]:
-                        out.append((key, no, place, len(data) // shard.width, zlib.crc32(shard.u32(data))))
-                        place += len(data) // shard.width
+                    shard = Shard(shard_path(directory, no)) if bases[no] >= 0 else None
+                for a in range(at, end, LOOKED_UP):
+                    asked = ids[a : min(a + LOOKED_UP, end)]
+                    for key, got in zip(asked, shard.find(asked) if shard else [None] * len(asked), strict=True):
+                        if got is None:
+                            raise ValueError(f"key {key} is not in shard {no}")
+                        place = int(bases[no]) + got[0]
+                        for data in got[1]:
+                            out.append((key, no, place, len(data) // shard.width, zlib.crc32(shard.u32(data))))
+                            place += len(data) // shard.width
                 at = end
             if out:
                 yield batch(FOUND, *zip(*out, strict=True))
 
     def assign(batches):
         for b in batches:
-            yield batch(ASKED, b.column(0), [in_shard(cuts, k) for k in b.column(0).to_pylist()])
+            yield batch(ASKED, b.column(0), in_shard(sent.value[0], b.column(0)))
 
-    parts = max(len(files), 1)
-    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(assign, "doc_id long, shard long")
-    return asked.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(run, "doc_id long, shard long, start long, n_tokens long, ids_crc32 long")
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(assign, "doc_id long, shard int")
+    return asked.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(run, "doc_id long, shard long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    manifest, cuts = write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), 2, scratch(spark, "tokens"), width=2)
-    return read_tokens(docs.select("doc_id"), manifest, cuts).select("doc_id", "start", "n_tokens", "ids_crc32")
+    with work(spark) as keep:
+        manifest, cuts = write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), 2, scratch(spark, "tokens"), width=2)
+        return keep(read_tokens(docs.select("doc_id"), manifest, cuts).select("doc_id", "start", "n_tokens", "ids_crc32"), "tokens-read")
