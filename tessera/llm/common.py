@@ -18,7 +18,7 @@ from tessera.sources.tables import delete, noted, scratch, stored, table
 __all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WordHash", "ascii_lower", "batch", "byte_list", "hinted", "local_path", "planes", "scratch", "stored", "table", "texts", "unplanes", "work"]
 
 #: Rows of a broadcast side at most; beyond it the join is shuffled.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 #: Bytes of an Arrow batch that a Python worker gets; with the lists made of it, it sets what a worker needs.
 BATCH_BYTES, BATCH_KEY, BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
@@ -96,7 +96,7 @@ def unplanes(data: bytes, n_bytes: int) -> np.ndarray:
 class WordHash(dict):
     """64-bit hashes of words, computed once per word; emptied when it has LIMIT words."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -43,7 +43,7 @@ from tessera.llm.common import WordHash, batch, byte_list, planes, stored, table
 from tessera.llm.ranges import ASK, ASK_DDL, Kind, exchange
 
 #: Tokens in a chunk, and entries in an owner's hash range, about.
-CHUNK, RANGE = 1_000_000, 2_000_000
+CHUNK, RANGE = 500_000, 1_000_000
 #: Smoothing: pseudo-counts of a word, and of the backoff distribution after a word and after a bigram.
 ADD, K, M = 0.1, 30.0, 2.0
 #: Tokens from which n-grams' hashes have 64 bits.
@@ -100,33 +100,26 @@ class Chunk:
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.ids, self.null = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["null_ids"], np.uint8).astype(bool)
         words = unplanes(row["words"], 8)
-        n, first = len(words), np.cumsum(self.sizes) - self.sizes
+        first = np.cumsum(self.sizes) - self.sizes
         self.end = int(np.searchsorted(words, END))
-        before = np.concatenate([[self.end], self.tokens[:-1]])
-        before[first] = self.end
+        self.before = np.concatenate([[self.end], self.tokens[:-1]])
+        self.before[first] = self.end
         self.trains = ~np.repeat(self.held, self.sizes)
 
-        def ordered(pair: np.ndarray, hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            """Different pairs, their sorted hashes, the place of each position's pair among these, and among the pairs."""
-            pair, at = np.unique(pair, return_inverse=True)
-            h = hashes(pair)
+        def mixed(h: np.ndarray) -> np.ndarray:
             h ^= h >> np.uint64(31)
             h *= FACTORS[0]
-            h = (h ^ (h >> np.uint64(29))) >> np.uint64(64 - bits)
-            order = np.argsort(h, kind="stable")
-            place = np.empty_like(order)
-            place[order] = np.arange(len(order))
-            return pair, h[order], place[at], at
+            return (h ^ (h >> np.uint64(29))) >> np.uint64(64 - bits)
 
-        pair, bigrams, two, last = ordered(before * n + self.tokens, lambda p: words[p // n] * FACTORS[0] + words[p % n] * FACTORS[1])
+        hashed = words[self.tokens]
+        pair = words[self.before] * FACTORS[0] + hashed * FACTORS[1]
+        bigrams, two = np.unique(mixed(pair), return_inverse=True)
         inner = np.ones(len(self.tokens), bool)
         inner[first] = False
         places = np.flatnonzero(inner)
         three = np.full(len(self.tokens), -1, np.int64)
-        trigrams = np.zeros(0, np.uint64)
-        if len(places):
-            key = last[places - 1] * n + self.tokens[places]
-            _, trigrams, three[places], _ = ordered(key, lambda p: words[pair[p // n] // n] * FACTORS[0] + words[pair[p // n] % n] * FACTORS[1] + words[p % n] * FACTORS[2])
+        two_before = self.before[places - 1]
+        trigrams, three[places] = np.unique(mixed(words[two_before] * FACTORS[1] + words[self.before[places]] * FACTORS[2] + hashed[places] * FACTORS[0]), return_inverse=True)
         self.values = {1: words, 2: bigrams, 3: trigrams}
         self.at = {1: self.tokens, 2: two, 3: three}
 
@@ -171,9 +164,7 @@ class Automaton:
         one, two, three = (counts[k].astype(float) for k in (1, 2, 3))
         root = (one + ADD) / (n + ADD * (v + 1))
         ends = lambda k: self._of_each(k, chunk.tokens)  # noqa: E731  the last word of each k-gram
-        before = np.concatenate([[chunk.end], chunk.tokens[:-1]])
-        before[np.cumsum(chunk.sizes) - chunk.sizes] = chunk.end
-        context2 = self._of_each(2, before)
+        context2 = self._of_each(2, chunk.before)
         p2 = (two + K * root[ends(2)]) / (one[context2] + K)
         context3, inner2 = self._of_each(3, np.concatenate([[0], chunk.at[2][:-1]])), self._of_each(3, chunk.at[2])
         p3 = (three + M * p2[inner2]) / (two[context3] + M)

@@ -24,8 +24,8 @@ apart by SHA-256.
    Then sets visit tiles with which they share one of the rarest shingles that
    a link must touch (prefix by a fixed-size frequency sketch, an order only)
    and that hold sets of another group: under each shingle the sets of its
-   commonest group stay at home. Visitors of a tile are dealt out in bounded
-   numbers.
+   commonest group stay at home. First only one set of each group goes, then
+   what groups are left. Visitors of a tile are dealt out in bounded numbers.
 4. Components by alternating stars on what was joined.
 
 Defined results: null and empty texts, and texts without words, have the empty
@@ -54,7 +54,7 @@ from tessera.operators.graph import components
 #: Words in a shingle; a link needs SHARE percent of the union.
 WORDS, SHARE = 5, 75
 #: Shingles in a chunk and in an owner's hash range, about.
-CHUNK, RANGE = 600_000, 2_000_000
+CHUNK, RANGE = 400_000, 1_000_000
 #: Of a tile, and visitors that are compared with it in one go.
 TILE_SETS, TILE_TOKENS, VISITORS = 256, 1_000_000, 2_048
 #: A round of tiles is worth while if it leaves at most this share of the sets it began with.
@@ -440,6 +440,16 @@ def received(batches):
             out = []
 
 
+def met(housed: DataFrame, sketched) -> DataFrame:
+    """Links (a, b) between chiefs of different groups, found by visits. housed: (set_id, n, tile, chief, body)."""
+    went = stored(visits(housed, sketched), "near-visits")
+    shares = went.groupBy(F.col("tile").alias("host")).agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
+    hosts = housed.join(shares, F.col("tile") == F.col("host")).select("tile", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("visitor"), "chief", "body")
+    guests = went.withColumnRenamed("set_id", "guest").join(shares, F.col("tile") == F.col("host")).select("guest", F.col("tile").alias("to"), F.pmod(F.xxhash64("guest"), F.col("shares")).cast("int").alias("share"))
+    guests = guests.join(housed.select("set_id", "chief", "body"), F.col("guest") == F.col("set_id")).select(F.col("to").alias("tile"), "share", F.lit(1).alias("visitor"), "chief", "body")
+    return stored(_dealt(hosts.unionByName(guests), "tile", "share").sortWithinPartitions("tile", "share", "visitor").mapInArrow(received, LINKS_DDL), "near-met")
+
+
 def heavy_links(sets: DataFrame, freq: np.ndarray, bound: int) -> DataFrame:
     """Links among sets of over bound shingles, and with the light ones that can reach them: enough of them to join every group."""
     sketched = sets.sparkSession.sparkContext.broadcast(freq)
@@ -450,15 +460,12 @@ def heavy_links(sets: DataFrame, freq: np.ndarray, bound: int) -> DataFrame:
             yield batch(schema, b.column(0), b.column(1), [unit(x, sketched.value) for x in b.column(2).to_pylist()], b.column(2))
 
     big = stored(sets.where(F.col("n") >= least(bound + 1)).select("set_id", "n", "body").mapInArrow(units, "set_id long, n int, unit long, body binary"), "near-big", "lz4")
-    home = gathered(big)
-    housed = stored(big.drop("unit").join(home, "set_id"), "near-housed", "lz4")
-    met = stored(visits(housed, sketched), "near-visits")
-    shares = met.groupBy(F.col("tile").alias("host")).agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
-    hosts = housed.join(shares, F.col("tile") == F.col("host")).select("tile", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("visitor"), "chief", "body")
-    guests = met.withColumnRenamed("set_id", "guest").join(shares, F.col("tile") == F.col("host")).select("guest", F.col("tile").alias("to"), F.pmod(F.xxhash64("guest"), F.col("shares")).cast("int").alias("share"))
-    guests = guests.join(housed.select("set_id", "chief", "body"), F.col("guest") == F.col("set_id")).select(F.col("to").alias("tile"), "share", F.lit(1).alias("visitor"), "chief", "body")
-    found = _dealt(hosts.unionByName(guests), "tile", "share").sortWithinPartitions("tile", "share", "visitor").mapInArrow(received, LINKS_DDL)
-    return home.where("set_id <> chief").select(F.col("set_id").alias("a"), F.col("chief").alias("b")).unionByName(found)
+    housed = stored(big.drop("unit").join(gathered(big), "set_id"), "near-housed", "lz4")
+    # the chiefs meet first, so that of groups which these join no other set needs to go anywhere
+    joined = components(met(housed.where("set_id = chief"), sketched))
+    housed = housed.join(joined, F.col("chief") == F.col("node"), "left").select("set_id", "n", "body", "tile", F.coalesce("root", "chief").alias("chief"))
+    housed = stored(housed, "near-housed", "lz4")
+    return housed.where("set_id <> chief").select(F.col("set_id").alias("a"), F.col("chief").alias("b")).unionByName(met(housed, sketched))
 
 
 # ---- 4. components, and all together ----

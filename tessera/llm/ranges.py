@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import batch, planes, unplanes
 
 #: Rows of a chunk and kind at most, chunks of a hub, and fine ranges of a coarse one.
-FAN = 1024
+FAN = 8192
 
 
 @dataclass(frozen=True)
