@@ -363,13 +363,40 @@ def test_toxicity(spark):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
         if r["doc_id"] in truth:
             assert r["predicted"] == truth[r["doc_id"]]
-            text = dict(rows)[r["doc_id"]].lower()
-            assert all(re.search("moron|scumbag", text[s["start"] : s["end"]]) for s in r["spans"])
+            assert all(re.search("moron|scumbag", dict(rows)[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"])
     none = toxicity.fit(d, lab.limit(0))
     assert {r["predicted"] for r in toxicity.score(d, none).collect()} == {0}
     assert toxicity.score(docs(spark, []), m).count() == 0
 
 
+def test_noisy_or_and_its_gradient():
+    """Against the formulas written out, and against differences."""
+    rng = np.random.default_rng(3)
+    bags = [(int(rng.random() < 0.5), [rng.choice(6, rng.integers(1, 4), replace=False).tolist() for _ in range(rng.integers(0, 4))]) for _ in range(30)]
+    w = rng.normal(size=7)
+    loss = toxicity.Loss(bags, 6)
+
+    def by_hand(w):
+        total, n = 0.0, sum(y for y, _ in bags)
+        for y, sentences in bags:
+            clean = 1 - toxicity.LEAK
+            for f in sentences:
+                clean *= 1 - 1 / (1 + np.exp(-(w[6] + w[f].sum())))
+            total += -np.log(1 - clean) * 0.5 / n if y else -np.log(clean) * 0.5 / (len(bags) - n)
+        return total
+
+    value, g = loss(w)
+    assert abs(value - by_hand(w)) < 1e-12
+    for i in range(7):
+        d = np.eye(7)[i] * 1e-6
+        assert abs((by_hand(w + d) - by_hand(w - d)) / 2e-6 - g[i]) < 1e-6
+    m = toxicity.Model(["bad", "good"], np.array([4.0, -3.0]), -2.0, n_for=1)
+    score, spans = m.score("İİ Bad one. bad good. good. plain")
+    p = [1 / (1 + np.exp(-2.0)), 1 / (1 + np.exp(1.0))]
+    assert abs(score - (1 - (1 - toxicity.LEAK) * (1 - p[0]) * (1 - p[1]))) < 1e-12
+    assert [(a, z) for a, z, _ in spans] == [(0, 11)] and m.score("good. plain") == (toxicity.LEAK, [])  # places in the text as it is
+
+
 @pytest.mark.parametrize("toxic_docs", [9, 90])
 def test_toxicity_needs_no_number_of_labels(spark, toxic_docs):
     """A third of the toxic documents for each mark: 3 of 9, and 30 of 90."""
