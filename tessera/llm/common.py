@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import delete, noted, scratch, stored, table
 
-__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WordHash", "ascii_lower", "batch", "byte_list", "hinted", "local_path", "planes", "scratch", "stored", "table", "texts", "unplanes", "work"]
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WordHash", "ascii_lower", "batch", "byte_list", "hinted", "local_path", "pack", "planes", "scratch", "stored", "table", "texts", "unpack", "unplanes", "work"]
 
 #: Rows of a broadcast side at most; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
@@ -93,6 +93,17 @@ def unplanes(data: bytes, n_bytes: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def pack(values: np.ndarray, n_bytes: int) -> bytes:
+    """Byte planes, compressed, after their length."""
+    raw = planes(values, n_bytes)
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def unpack(data: bytes, n_bytes: int) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return unplanes(pa.decompress(data[8:], n, "zstd", asbytes=True) if n else b"", n_bytes)
+
+
 class WordHash(dict):
     """64-bit hashes of words, computed once per word; emptied when it has LIMIT words."""
 

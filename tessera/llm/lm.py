@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHash, batch, byte_list, planes, stored, table, texts, unplanes, work
+from tessera.llm.common import WordHash, batch, byte_list, pack, stored, table, texts, unpack, work
 from tessera.llm.ranges import ASK, ASK_DDL, Kind, exchange
 
 #: Tokens in a chunk, and entries in an owner's hash range, about.
@@ -67,7 +67,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         words, tokens = np.unique(np.concatenate(seqs), return_inverse=True)
         id_ = np.array([0 if i is None else i for i in ids], np.int64)
         null = np.array([i is None for i in ids], np.uint8)
-        return batch(CHUNKS, [no], [len(tokens)], [planes(words, 8)], [planes(tokens.astype(np.uint64), 8)], [id_.tobytes()], [null.tobytes()], [np.array(held, np.uint8).tobytes()], [sizes.tobytes()])
+        return batch(CHUNKS, [no], [len(tokens)], [pack(words, 8)], [pack(tokens.astype(np.uint64), 8)], [id_.tobytes()], [null.tobytes()], [np.array(held, np.uint8).tobytes()], [sizes.tobytes()])
 
     def run(batches):
         word_hash, no = WordHash(), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -95,11 +95,11 @@ class Chunk:
     """
 
     def __init__(self, row: dict, bits: int):
-        self.tokens = unplanes(row["tokens"], 8).astype(np.int64)
+        self.tokens = unpack(row["tokens"], 8).astype(np.int64)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.ids, self.null = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["null_ids"], np.uint8).astype(bool)
-        words = unplanes(row["words"], 8)
+        words = unpack(row["words"], 8)
         first = np.cumsum(self.sizes) - self.sizes
         self.end = int(np.searchsorted(words, END))
         self.before = np.concatenate([[self.end], self.tokens[:-1]])
@@ -138,7 +138,7 @@ def asked(chunked: DataFrame, kinds: dict[int, Kind]) -> DataFrame:
                 c = Chunk(row, kinds[2].bits)
                 for k, kind in kinds.items():
                     if len(c.values[k]):
-                        yield batch(ASK, [row["chunk"]], [k], [planes(c.values[k], kind.width)], [planes(c.counts(k).astype(np.uint64), 8)])
+                        yield batch(ASK, [row["chunk"]], [k], [pack(c.values[k], kind.width)], [pack(c.counts(k).astype(np.uint64), 8)])
 
     return chunked.mapInArrow(run, ASK_DDL)
 
@@ -149,7 +149,7 @@ def totals(kind: int, values: np.ndarray, counts: np.ndarray, lens: np.ndarray):
     total = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
     np.add.at(total, at, counts.astype(np.int64))
     out, ends = total[at].astype(np.uint64), np.cumsum([0, *lens.tolist()])
-    return [planes(out[a:z], 8) for a, z in zip(ends, ends[1:], strict=False)], int((total > 0).sum()), int(total.sum())
+    return [pack(out[a:z], 8) for a, z in zip(ends, ends[1:], strict=False)], int((total > 0).sum()), int(total.sum())
 
 
 class Automaton:
@@ -227,7 +227,7 @@ def scores(docs: DataFrame) -> DataFrame:
             chunk, got = None, {}
 
             def close():
-                counts = {k: np.concatenate([np.zeros(0, np.uint64), *(unplanes(x, 8) for x in got[k])]).astype(np.int64) for k in got}
+                counts = {k: np.concatenate([np.zeros(0, np.uint64), *(unpack(x, 8) for x in got[k])]).astype(np.int64) for k in got}
                 automaton = Automaton(chunk, counts, n, v)
                 at = np.cumsum(chunk.sizes) - chunk.sizes
                 along = [automaton.traverse(a, a + size) for a, size in zip(at.tolist(), chunk.sizes.tolist(), strict=True)]
@@ -240,6 +240,7 @@ def scores(docs: DataFrame) -> DataFrame:
                     if row["kind"] == 0:
                         if chunk is not None:
                             yield close()
+                            chunk = None  # before the next one is made
                         chunk, got = Chunk(row, bits), {1: [], 2: [], 3: []}
                     else:
                         got[row["kind"]] += row["blobs"]

@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHash, batch, byte_list, hinted, planes, stored, table, texts, unplanes, work
+from tessera.llm.common import WordHash, batch, byte_list, hinted, pack, planes, stored, table, texts, unplanes, work
 from tessera.llm.ranges import ASK, ASK_DDL, Kind, exchange
 from tessera.operators.graph import components
 
@@ -125,7 +125,7 @@ def asked(rows: DataFrame) -> DataFrame:
         held = b"".join(keys) + ids.tobytes() + sizes.tobytes() + local.tobytes()
         yield batch(ASK, [chunk], [0], [held], [b""])
         if len(value):
-            yield batch(ASK, [chunk], [1], [planes(value, KINDS[1].width)], [planes(owner.astype(np.uint64), KINDS[1].payload)])
+            yield batch(ASK, [chunk], [1], [pack(value, KINDS[1].width)], [pack(owner.astype(np.uint64), KINDS[1].payload)])
 
     def run(batches):
         chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, planes, unplanes
+from tessera.llm.common import batch, pack, unpack
 
 #: Rows of a chunk and kind at most, chunks of a hub, and fine ranges of a coarse one.
 FAN = 8192
@@ -76,12 +76,12 @@ def exchange(asks: DataFrame, kinds: dict[int, Kind], parts: int, chunks: int, r
                     yield batch(BLOCK, [alone], [alone], [0], [np.int64(row["chunk"]).tobytes()], [b""], [row["values"]], [b""])
                     continue
                 k, chunk = kinds[row["kind"]], row["chunk"]
-                values, payload = unplanes(row["values"], k.width), unplanes(row["payload"], k.payload)
+                values, payload = unpack(row["values"], k.width), unpack(row["payload"], k.payload)
                 rows = []
                 for r, a, z in slices(values, k.bits, coarse):
                     part = r * len(kinds) + kind_no[row["kind"]]
                     hub = part * groups + (chunk * 0x9E3779B97F4A7C15 >> 24) % groups if hops else -1
-                    rows.append((part, hub, row["kind"], np.int64(chunk).tobytes(), np.int64(z - a).tobytes(), planes(values[a:z], k.width), planes(payload[a:z], k.payload)))
+                    rows.append((part, hub, row["kind"], np.int64(chunk).tobytes(), np.int64(z - a).tobytes(), pack(values[a:z], k.width), pack(payload[a:z], k.payload)))
                 if rows:
                     yield batch(BLOCK, *zip(*rows, strict=True))
 
@@ -93,10 +93,10 @@ def exchange(asks: DataFrame, kinds: dict[int, Kind], parts: int, chunks: int, r
             return t
         k = kinds[kind]
         for row in rows:
-            values, payload, source = unplanes(row["values"], k.width), unplanes(row["payload"], k.payload), np.frombuffer(row["sources"], np.int64)[0]
+            values, payload, source = unpack(row["values"], k.width), unpack(row["payload"], k.payload), np.frombuffer(row["sources"], np.int64)[0]
             for r, a, z in slices(values, k.bits, coarse * FAN):
                 fine.setdefault(r, []).append((source, values[a:z], payload[a:z]))
-        out = [(r * len(kinds) + kind_no[kind], hub, kind, np.array([s for s, _, _ in x], np.int64).tobytes(), np.array([len(v) for _, v, _ in x], np.int64).tobytes(), planes(np.concatenate([v for _, v, _ in x]), k.width), planes(np.concatenate([p for _, _, p in x]), k.payload)) for r, x in fine.items()]
+        out = [(r * len(kinds) + kind_no[kind], hub, kind, np.array([s for s, _, _ in x], np.int64).tobytes(), np.array([len(v) for _, v, _ in x], np.int64).tobytes(), pack(np.concatenate([v for _, v, _ in x]), k.width), pack(np.concatenate([p for _, _, p in x]), k.payload)) for r, x in fine.items()]
         return pa.Table.from_batches([batch(BLOCK, *zip(*out, strict=True))])
 
     def answer(t: pa.Table) -> pa.Table:
@@ -106,7 +106,7 @@ def exchange(asks: DataFrame, kinds: dict[int, Kind], parts: int, chunks: int, r
             return pa.Table.from_batches([batch(REPLY, *zip(*((int(np.frombuffer(r["sources"], np.int64)[0]), None, 0, 0, None, [r["values"]], None, None) for r in rows), strict=True))])
         k = kinds[kind]
         lens = [np.frombuffer(r["lens"], np.int64) for r in rows]
-        blobs, distinct, total = reply(kind, np.concatenate([unplanes(r["values"], k.width) for r in rows]), np.concatenate([unplanes(r["payload"], k.payload) for r in rows]), np.concatenate(lens))
+        blobs, distinct, total = reply(kind, np.concatenate([unpack(r["values"], k.width) for r in rows]), np.concatenate([unpack(r["payload"], k.payload) for r in rows]), np.concatenate(lens))
         out, at = [(None, None, kind, part, None, None, distinct, total)], 0
         for r, x in zip(rows, lens, strict=True):
             mine, at = blobs[at : at + len(x)], at + len(x)

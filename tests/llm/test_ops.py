@@ -342,7 +342,7 @@ def test_lm_by_two_hops(spark, monkeypatch):
 def test_counts_beyond_four_bytes():
     values, counts = np.array([5, 9, 5], np.uint64), np.array([1 << 33, 1, 7], np.uint64)
     blobs, distinct, total = lm.totals(1, values, counts, np.array([2, 1]))
-    assert [ranges.unplanes(b, 8).tolist() for b in blobs] == [[(1 << 33) + 7, 1], [(1 << 33) + 7]] and (distinct, total) == (2, (1 << 33) + 8)
+    assert [ranges.unpack(b, 8).tolist() for b in blobs] == [[(1 << 33) + 7, 1], [(1 << 33) + 7]] and (distinct, total) == (2, (1 << 33) + 8)
 
 
 # ---- 7 toxicity ----
