@@ -6,6 +6,8 @@ in ``spark.checkpoint.dir``; nothing is kept on one machine's disk.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from contextlib import contextmanager
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import delete, noted, scratch, stored, table
 
-__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WordHash", "ascii_lower", "batch", "byte_list", "hinted", "local_path", "pack", "planes", "scratch", "stored", "table", "texts", "unpack", "unplanes", "work"]
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WordHash", "ascii_lower", "batch", "byte_list", "give_back", "hinted", "local_path", "pack", "planes", "scratch", "stored", "table", "texts", "tidied", "unpack", "unplanes", "work"]
 
 #: Rows of a broadcast side at most; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
@@ -104,6 +106,25 @@ def unpack(data: bytes, n_bytes: int) -> np.ndarray:
     return unplanes(pa.decompress(data[8:], n, "zstd", asbytes=True) if n else b"", n_bytes)
 
 
+def give_back() -> None:
+    """Hand memory that is free to the system, which a worker that waits for its next task would keep."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(f):
+    """f, over batches, that gives free memory back when it is done."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 class WordHash(dict):
     """64-bit hashes of words, computed once per word; emptied when it has LIMIT words."""
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, byte_list, hinted, stored, texts, work
+from tessera.llm.common import batch, byte_list, hinted, stored, texts, tidied, work
 
 #: Distinct texts, and bytes of them, in a bucket before it splits.
 BUCKET_TEXTS, BUCKET_BYTES = 50_000, 64 << 20
@@ -53,7 +53,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield batch(DIGESTS, b.column(0), range(at, at + len(bodies)), b.column(2), [hashlib.sha256(x).digest() for x in bodies], [len(x) for x in bodies])
             at += len(bodies)
 
-    return texts(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, DDL["digests"])
+    return texts(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(tidied(run), DDL["digests"])
 
 
 def key_of(sha: str) -> Column:
@@ -157,9 +157,9 @@ def index(docs: DataFrame, digest: DataFrame, capacity: tuple[int, int] = (BUCKE
         if out:
             yield batch(INDEX, *zip(*out, strict=True))
 
-    entries = bucketed(texts(docs).mapInArrow(combine, DDL["entries"]), split, depth)
+    entries = bucketed(texts(docs).mapInArrow(tidied(combine), DDL["entries"]), split, depth)
     owned = entries.repartitionById(1 << depth, "owner").sortWithinPartitions("bucket", "sha").select("bucket", *ENTRIES.names)
-    return stored(owned.mapInArrow(own, DDL["index"]), "dedup-index")
+    return stored(owned.mapInArrow(tidied(own), DDL["index"]), "dedup-index")
 
 
 def exact_groups(docs: DataFrame, capacity: tuple[int, int] = (BUCKET_TEXTS, BUCKET_BYTES)) -> DataFrame:

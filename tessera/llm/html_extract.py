@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, table, work
+from tessera.llm.common import batch, table, tidied, work
 
 #: Different labelled pages that weights are fitted on, at most.
 FIT_PAGES = 400
@@ -267,7 +267,7 @@ def fit(pages: DataFrame, html_col: str = "html", limit: int = FIT_PAGES) -> Wei
             yield batch(schema, [k for k, _ in total], [x for _, x in total], list(total.values()))
 
     sample = labelled.where(F.col("h") <= last).dropDuplicates(["h"]).select("html")
-    rows = sample.mapInArrow(run, "what string, inside boolean, n long").groupBy("what", "inside").agg(F.sum("n").alias("n")).collect()  # bounded by limit
+    rows = sample.mapInArrow(tidied(run), "what string, inside boolean, n long").groupBy("what", "inside").agg(F.sum("n").alias("n")).collect()  # bounded by limit
     return Weights({(r["what"], r["inside"]): r["n"] for r in rows})
 
 
@@ -281,7 +281,7 @@ def extract_pages(pages: DataFrame, weights: Weights) -> DataFrame:
             yield batch(schema, b.column(0), b.column(1), found, [len(x) for x in found])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

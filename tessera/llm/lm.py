@@ -39,8 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHash, batch, byte_list, pack, stored, table, texts, unpack, work
-from tessera.llm.ranges import ASK, ASK_DDL, Kind, exchange
+from tessera.llm.common import WordHash, batch, byte_list, pack, stored, table, texts, tidied, unpack, work
+from tessera.llm.ranges import ASK, Kind, exchange
 
 #: Tokens in a chunk, and entries in an owner's hash range, about.
 CHUNK, RANGE = 500_000, 1_000_000
@@ -84,7 +84,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if seqs:
             yield flush(ids, flags, seqs, no)
 
-    return texts(docs).withColumn("held", held).mapInArrow(run, CHUNKS_DDL)
+    return texts(docs).withColumn("held", held).mapInArrow(tidied(run), CHUNKS_DDL)
 
 
 class Chunk:
@@ -129,8 +129,8 @@ class Chunk:
         return np.bincount(at[at >= 0], minlength=len(self.values[order]))
 
 
-def asked(chunked: DataFrame, kinds: dict[int, Kind]) -> DataFrame:
-    """A chunk's different n-grams and their counts."""
+def asking(kinds: dict[int, Kind]):
+    """Chunks to their different n-grams and counts."""
 
     def run(batches):
         for b in batches:
@@ -140,7 +140,7 @@ def asked(chunked: DataFrame, kinds: dict[int, Kind]) -> DataFrame:
                     if len(c.values[k]):
                         yield batch(ASK, [row["chunk"]], [k], [pack(c.values[k], kind.width)], [pack(c.counts(k).astype(np.uint64), 8)])
 
-    return chunked.mapInArrow(run, ASK_DDL)
+    return run
 
 
 def totals(kind: int, values: np.ndarray, counts: np.ndarray, lens: np.ndarray):
@@ -216,7 +216,7 @@ def scores(docs: DataFrame) -> DataFrame:
         tokens, n_chunks = chunked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         bits = 48 if tokens < MANY else 64
         kinds = {1: Kind(64, 8, 8), 2: Kind(bits, bits // 8, 8), 3: Kind(bits, bits // 8, 8)}
-        answers = stored(exchange(asked(chunked, kinds), kinds, max(1, -(-tokens // RANGE)), n_chunks, totals), "lm-counts")
+        answers = stored(exchange(chunked, asking(kinds), kinds, max(1, -(-tokens // RANGE)), n_chunks, totals), "lm-counts")
         head = answers.where("chunk IS NULL AND kind = 1").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
         v, n = head["v"] or 0, head["n"] or 0
         blobs = ("words", "tokens", "ids", "null_ids", "held", "sizes")
@@ -249,7 +249,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
         many = int(spark.conf.get("spark.sql.shuffle.partitions"))
         met = left.unionByName(right).repartition(max(many, min(n_chunks // 4, 200_000)), "chunk").sortWithinPartitions("chunk", "kind", "part")
-        return keep(met.mapInArrow(run, SCORES_DDL).withColumn("train_tokens", F.lit(n).cast("long")), "lm-scores")
+        return keep(met.mapInArrow(tidied(run), SCORES_DDL).withColumn("train_tokens", F.lit(n).cast("long")), "lm-scores")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ alone; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 from itertools import combinations
 from math import comb
 
@@ -47,8 +48,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHash, batch, byte_list, hinted, pack, planes, stored, table, texts, unplanes, work
-from tessera.llm.ranges import ASK, ASK_DDL, Kind, exchange
+from tessera.llm.common import WordHash, batch, byte_list, hinted, pack, planes, stored, table, texts, tidied, unplanes, work
+from tessera.llm.ranges import ASK, Kind, exchange
 from tessera.operators.graph import components
 
 #: Words in a shingle; a link needs SHARE percent of the union.
@@ -107,8 +108,8 @@ NULL_ID = -(1 << 63)
 KINDS = {1: Kind(48, 6, 4)}
 
 
-def asked(rows: DataFrame) -> DataFrame:
-    """Of each chunk its documents (kind 0: keys, ids, sizes, shingles that another document of the chunk has) and its different
+def asked(batches, limit: int):
+    """Of batches of (doc_id, text, text_key) each chunk's documents (kind 0: keys, ids, sizes, shingles that another document of the chunk has) and its different
     shingles (kind 1), beside each whose it is if only one document's."""
 
     def flush(ids, keys, sets, chunk):
@@ -127,23 +128,20 @@ def asked(rows: DataFrame) -> DataFrame:
         if len(value):
             yield batch(ASK, [chunk], [1], [pack(value, KINDS[1].width)], [pack(owner.astype(np.uint64), KINDS[1].payload)])
 
-    def run(batches):
-        chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        word_hash, ids, keys, sets, total = WordHash(), [], [], [], 0
-        for b in batches:
-            for doc_id, body, key in zip(b.column(0).to_pylist(), byte_list(b.column(1)), b.column(2).to_pylist(), strict=True):
-                s = shingles(body, word_hash)
-                ids.append(doc_id)
-                keys.append(key)
-                sets.append(s)
-                total += len(s)
-                if total >= CHUNK or len(sets) >= CHUNK:
-                    yield from flush(ids, keys, sets, chunk)
-                    chunk, ids, keys, sets, total = chunk + 1, [], [], [], 0
-        if sets:
-            yield from flush(ids, keys, sets, chunk)
-
-    return rows.mapInArrow(run, ASK_DDL)
+    chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+    word_hash, ids, keys, sets, total = WordHash(), [], [], [], 0
+    for b in batches:
+        for doc_id, body, key in zip(b.column(0).to_pylist(), byte_list(b.column(1)), b.column(2).to_pylist(), strict=True):
+            s = shingles(body, word_hash)
+            ids.append(doc_id)
+            keys.append(key)
+            sets.append(s)
+            total += len(s)
+            if total >= limit or len(sets) >= limit:
+                yield from flush(ids, keys, sets, chunk)
+                chunk, ids, keys, sets, total = chunk + 1, [], [], [], 0
+    if sets:
+        yield from flush(ids, keys, sets, chunk)
 
 
 def elsewhere(kind: int, values: np.ndarray, owners: np.ndarray, lens: np.ndarray):
@@ -176,7 +174,7 @@ def answers(rows: DataFrame, parts: int, chunks: int) -> DataFrame:
                 shared[unplanes(blob[:half], 4).astype(np.int64)] += unplanes(blob[half:], 4).astype(np.int64)
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(d, mask=d == NULL_ID), pa.array(n), pa.array(shared)], schema=ANSWER)])
 
-    return exchange(asked(rows), KINDS, parts, chunks, elsewhere).where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(total, ANSWER_DDL)
+    return exchange(rows, partial(asked, limit=CHUNK), KINDS, parts, chunks, elsewhere).where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(total, ANSWER_DDL)
 
 
 # ---- 2. and 3.: sets that are left ----
@@ -199,7 +197,7 @@ def sets_of(rows: DataFrame) -> DataFrame:
             body = [s.tobytes() for s in got]
             yield batch(SETS, b.column(2), [hashlib.sha256(x).digest() for x in body], [len(s) for s in got], body)
 
-    return rows.mapInArrow(run, SETS_DDL)
+    return rows.mapInArrow(tidied(run), SETS_DDL)
 
 
 def sketch(sets: DataFrame) -> tuple[np.ndarray, float]:
@@ -216,7 +214,7 @@ def sketch(sets: DataFrame) -> tuple[np.ndarray, float]:
         used = int((total > 0).sum())
         yield batch(schema, [*often.tolist(), -1, -2], [*total[often].tolist(), n, used])
 
-    rows = sets.select("body").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 8 OR slot < 0").toPandas()  # at most a row a slot
+    rows = sets.select("body").mapInArrow(tidied(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 8 OR slot < 0").toPandas()  # at most a row a slot
     out = np.zeros(1 << SLOT_BITS, np.uint32)
     slots = rows[rows.slot >= 0]
     out[slots.slot.to_numpy()] = np.minimum(slots.n.to_numpy(), 0xFFFFFFFF).astype(np.uint32)
@@ -255,12 +253,12 @@ def light_links(sets: DataFrame, bound: int) -> DataFrame:
             if out:
                 yield batch(LINKS, *zip(*out, strict=True))
 
-    entries = stored(sets.where(F.col("n") <= bound).select("set_id", "n", "body").mapInArrow(listed, "subset long, t int, n int, set_id long, body binary"), "near-subsets", "lz4")
+    entries = stored(sets.where(F.col("n") <= bound).select("set_id", "n", "body").mapInArrow(tidied(listed), "subset long, t int, n int, set_id long, body binary"), "near-subsets", "lz4")
     holder = entries.groupBy("subset", "t").agg(F.min(F.struct("n", "set_id", "body")).alias("h"), F.count("*").alias("k")).where("k > 1")
     # what the smaller set of a link needs to have in common with the other: ceil(SHARE * (a + b) / (100 + SHARE))
     enough = F.col("t") * (100 + SHARE) >= SHARE * (F.col("n") + F.col("h.n"))
     met = entries.join(holder, ["subset", "t"]).where(enough & (F.col("set_id") != F.col("h.set_id")))
-    return met.select(F.col("h.set_id").alias("a"), F.col("h.body").alias("x"), F.col("set_id").alias("c"), F.col("body").alias("y")).dropDuplicates(["a", "c"]).mapInArrow(compared, LINKS_DDL)
+    return met.select(F.col("h.set_id").alias("a"), F.col("h.body").alias("x"), F.col("set_id").alias("c"), F.col("body").alias("y")).dropDuplicates(["a", "c"]).mapInArrow(tidied(compared), LINKS_DDL)
 
 
 def unit(body: bytes, freq: np.ndarray) -> int:
@@ -359,7 +357,7 @@ def homes(sets: DataFrame) -> DataFrame:
     crowded = stored(load.select(F.col("unit").alias("crowded"), many.alias("many")).where("many > 1"), "near-crowded")
     tile = F.when(F.col("many").isNull(), F.col("unit")).otherwise(F.xxhash64("unit", F.pmod(F.xxhash64("set_id"), F.col("many"))))
     tiled = sets.join(hinted(crowded), F.col("unit") == F.col("crowded"), "left").select(tile.alias("tile"), "set_id", "body")
-    return stored(_dealt(tiled, "tile").sortWithinPartitions("tile", "set_id").mapInArrow(settled, HOMES_DDL), "near-homes")
+    return stored(_dealt(tiled, "tile").sortWithinPartitions("tile", "set_id").mapInArrow(tidied(settled), HOMES_DDL), "near-homes")
 
 
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -407,7 +405,7 @@ def visits(sets: DataFrame, sketched) -> DataFrame:
                 of = lambda i, k=k, b=b: pa.array(np.repeat(b.column(i).to_numpy(), k))
                 yield batch(PREFIXES, pa.array(np.concatenate(tokens)), of(2), of(3), of(0), of(1))
 
-    entries = stored(sets.select("set_id", "n", "tile", "chief", "body").mapInArrow(prefixes, PREFIXES_DDL), "near-prefixes", "lz4")
+    entries = stored(sets.select("set_id", "n", "tile", "chief", "body").mapInArrow(tidied(prefixes), PREFIXES_DDL), "near-prefixes", "lz4")
     mixed = entries.groupBy("token").agg(F.min("tile").alias("t0"), F.max("tile").alias("t1"), F.min("chief").alias("c0"), F.max("chief").alias("c1")).where("t0 <> t1 AND c0 <> c1").select("token")
     open_ = stored(entries.join(mixed, "token", "left_semi"), "near-open", "lz4")
     commonest = open_.groupBy("token", "chief").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("chief", F.struct("k", "chief")).alias("stays"))
@@ -447,7 +445,7 @@ def met(housed: DataFrame, sketched) -> DataFrame:
     hosts = housed.join(shares, F.col("tile") == F.col("host")).select("tile", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("visitor"), "chief", "body")
     guests = went.withColumnRenamed("set_id", "guest").join(shares, F.col("tile") == F.col("host")).select("guest", F.col("tile").alias("to"), F.pmod(F.xxhash64("guest"), F.col("shares")).cast("int").alias("share"))
     guests = guests.join(housed.select("set_id", "chief", "body"), F.col("guest") == F.col("set_id")).select(F.col("to").alias("tile"), "share", F.lit(1).alias("visitor"), "chief", "body")
-    return stored(_dealt(hosts.unionByName(guests), "tile", "share").sortWithinPartitions("tile", "share", "visitor").mapInArrow(received, LINKS_DDL), "near-met")
+    return stored(_dealt(hosts.unionByName(guests), "tile", "share").sortWithinPartitions("tile", "share", "visitor").mapInArrow(tidied(received), LINKS_DDL), "near-met")
 
 
 def heavy_links(sets: DataFrame, freq: np.ndarray, bound: int) -> DataFrame:
@@ -459,7 +457,7 @@ def heavy_links(sets: DataFrame, freq: np.ndarray, bound: int) -> DataFrame:
         for b in batches:
             yield batch(schema, b.column(0), b.column(1), [unit(x, sketched.value) for x in b.column(2).to_pylist()], b.column(2))
 
-    big = stored(sets.where(F.col("n") >= least(bound + 1)).select("set_id", "n", "body").mapInArrow(units, "set_id long, n int, unit long, body binary"), "near-big", "lz4")
+    big = stored(sets.where(F.col("n") >= least(bound + 1)).select("set_id", "n", "body").mapInArrow(tidied(units), "set_id long, n int, unit long, body binary"), "near-big", "lz4")
     housed = stored(big.drop("unit").join(gathered(big), "set_id"), "near-housed", "lz4")
     # the chiefs meet first, so that of groups which these join no other set needs to go anywhere
     joined = components(met(housed.where("set_id = chief"), sketched))

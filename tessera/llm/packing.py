@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, stored, texts
+from tessera.llm.common import batch, stored, texts, tidied
 from tessera.llm.tokens import encoder
 
 #: Pieces in a cell, islands of a cell, epochs between which the best migrate, packings an island keeps, generations an epoch.
@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 2048)
             if out:
                 yield batch(PIECES, *zip(*out, strict=True))
 
-    return texts(docs).mapInArrow(run, PIECES_DDL)
+    return texts(docs).mapInArrow(tidied(run), PIECES_DDL)
 
 
 # ---- the genetic algorithm, on one cell ----
@@ -230,7 +230,7 @@ def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, end_id: int =
             if out:
                 yield batch(schema, *zip(*out, strict=True))
 
-    ids = texts(docs).mapInArrow(run, "doc_id long, piece int, ids array<int>")
+    ids = texts(docs).mapInArrow(tidied(run), "doc_id long, piece int, ids array<int>")
     whole = placed.join(ids, ["doc_id", "piece"]).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     return whole.select("sequence_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, pack, unpack
+from tessera.llm.common import batch, pack, tidied, unpack
 
 #: Rows of a chunk and kind at most, chunks of a hub, and fine ranges of a coarse one.
 FAN = 8192
@@ -38,7 +38,6 @@ class Kind:
 
 
 ASK = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("values", pa.binary()), ("payload", pa.binary())])
-ASK_DDL = "chunk long, kind int, values binary, payload binary"
 BLOCK = pa.schema([("part", pa.int64()), ("hub", pa.int64()), ("kind", pa.int32()), ("sources", pa.binary()), ("lens", pa.binary()), ("values", pa.binary()), ("payload", pa.binary())])
 BLOCK_DDL = "part long, hub long, kind int, sources binary, lens binary, values binary, payload binary"
 #: distinct and total are an owner's own figures, in rows without chunk.
@@ -56,10 +55,10 @@ def slices(values: np.ndarray, bits: int, parts: int) -> list[tuple[int, int, in
     return [(int(r[a]), a, z) for a, z in zip(at, at[1:], strict=False)]
 
 
-def exchange(asks: DataFrame, kinds: dict[int, Kind], parts: int, chunks: int, reply: Callable) -> DataFrame:
-    """(chunk, kind, part, blobs, distinct, total): the answers to each ask row, blobs in the order of its values.
+def exchange(rows: DataFrame, ask: Callable, kinds: dict[int, Kind], parts: int, chunks: int, reply: Callable) -> DataFrame:
+    """(chunk, kind, part, blobs, distinct, total): the answers to each question, blobs in the order of its values.
 
-    asks: (chunk, kind, values, payload), a row for each chunk and kind, values sorted.
+    ask(batches of rows) yields (chunk, kind, values, payload) batches, a row for each chunk and kind, values sorted.
     reply(kind, values, payload, lens) gets an owner's entries, lens of each source after another, and returns the blobs,
     one for each source (None for no answer), and the owner's figures.
     """
@@ -69,7 +68,7 @@ def exchange(asks: DataFrame, kinds: dict[int, Kind], parts: int, chunks: int, r
     groups = max(1, -(-chunks // FAN))
 
     def cut(batches):
-        for b in batches:
+        for b in ask(batches):
             for row in b.to_pylist():
                 if row["kind"] == 0:
                     alone = -2 - row["chunk"]
@@ -126,7 +125,7 @@ def exchange(asks: DataFrame, kinds: dict[int, Kind], parts: int, chunks: int, r
         out = [(s, None, rows[0]["kind"], rows[0]["part"], None, x, None, None) for s, x in by.items()]
         return pa.Table.from_batches([batch(REPLY, *zip(*out, strict=True))] if out else [], REPLY)
 
-    blocks = asks.mapInArrow(cut, BLOCK_DDL)
+    blocks = rows.mapInArrow(tidied(cut), BLOCK_DDL)
     if hops:
         blocks = blocks.groupBy("hub").applyInArrow(deal_again, BLOCK_DDL)
     replies = blocks.groupBy("part").applyInArrow(answer, REPLY_DDL)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, local_path, scratch, stored, table, texts, work
+from tessera.llm.common import batch, local_path, scratch, stored, table, texts, tidied, work
 from tessera.llm.tokens import encoder
 
 MAGIC, VERSION = b"TSRA", 2
@@ -236,7 +236,7 @@ def bounds(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
                 yield batch(schema, out)
 
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, total // limit))
-    firsts = keys.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(cut, "first long")
+    firsts = keys.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(tidied(cut), "first long")
     return sorted(r[0] for r in firsts.collect())[1:]  # at most MOST_SHARDS and one a task
 
 
@@ -285,9 +285,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, directory: str,
             n, ids = write_shard(path, own(), width)
             yield batch(MANIFEST, [shard], [path], [n], [ids])
 
-    coded = rows.mapInArrow(encode, "doc_id long, shard int, payload binary")
+    coded = rows.mapInArrow(tidied(encode), "doc_id long, shard int, payload binary")
     dealt = coded.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "payload")
-    manifest = stored(dealt.mapInArrow(write, "shard int, path string, n_records long, n_ids long"), "token-manifest")
+    manifest = stored(dealt.mapInArrow(tidied(write), "shard int, path string, n_records long, n_ids long"), "token-manifest")
     base, rows_ = 0, []
     for r in sorted(manifest.collect()):  # one row a shard
         rows_.append((*r, base))
@@ -330,8 +330,8 @@ def read_tokens(keys: DataFrame, manifest: DataFrame, cuts: list[int]) -> DataFr
         for b in batches:
             yield batch(ASKED, b.column(0), in_shard(sent.value[0], b.column(0)))
 
-    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(assign, "doc_id long, shard int")
-    return asked.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(run, "doc_id long, shard long, start long, n_tokens long, ids_crc32 long")
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(tidied(assign), "doc_id long, shard int")
+    return asked.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(tidied(run), "doc_id long, shard long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, hinted, table, texts, work
+from tessera.llm.common import batch, hinted, table, texts, tidied, work
 
 #: Labelled documents of each class that the model is fitted on, and features for and against that it has, at most.
 FIT_DOCS, FEATURES, AGAINST = 3_000, 4_096, 1_024
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
                     total[(f, t)] += 1
             yield batch(schema, [k for k, _ in total], [t for _, t in total], list(total.values()))
 
-    counts = sample.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n"))
+    counts = sample.mapInArrow(tidied(count), "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n"))
     counts = counts.persist()
     total = counts.where("feature = ''").first()
     n_pos, n_neg = (total["p"], total["n"]) if total else (0, 0)
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
             got = [sorted({tuple(f) for _, _, f in model.bag(t)}) for t in b.column(1).to_pylist()]  # a sentence that comes again says nothing new
             yield batch(bag_schema, b.column(0), [[list(f) for f in x] for x in got])
 
-    found = sample.mapInArrow(bags, "toxic int, bags array<array<int>>").collect()  # bounded by fit_docs
+    found = sample.mapInArrow(tidied(bags), "toxic int, bags array<array<int>>").collect()  # bounded by fit_docs
     found = sorted((r["toxic"], r["bags"]) for r in found)
     once = -2 * np.log(share)  # the ratio of a feature seen in one toxic document and no clean one
     weights, bias = train(found, np.array([r["g"] for r in rows], float) / once, PRIOR / n_pos, n_for=n_for)
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     held = F.coalesce(F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0"), F.lit(False))
     rows = texts(docs).withColumns({"text_key": F.xxhash64("text"), "held_out": held})
-    return rows.mapInArrow(run, "doc_id long, text_key long, held_out boolean, score double, predicted int, spans array<struct<start: long, end: long, score: double>>")
+    return rows.mapInArrow(tidied(run), "doc_id long, text_key long, held_out boolean, score double, predicted int, spans array<struct<start: long, end: long, score: double>>")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
