@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, stored, table, texts
+from tessera.llm.common import ascii_lower, stored, table, texts, work
 
 #: Words in a window; windows broadcast at a time.
 N, GRAMS = 10, 500_000
@@ -80,8 +80,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFra
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    out = decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    with work(spark) as keep:
+        out = decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+        return keep(out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"), "decontaminated")
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,5 +90,6 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_dedup import without
 
     rows = texts(docs).withColumn("row_key", F.xxhash64("text"))
-    gone = stored(hits(rows, table(spark, sf_dir, "benchmark")).select(F.col("hit_id").alias("doc_id"), F.col("row_key").alias("text_key")), "contaminated")
+    with work(spark) as keep:
+        gone = keep(hits(rows, table(spark, sf_dir, "benchmark")).select(F.col("hit_id").alias("doc_id"), F.col("row_key").alias("text_key")), "contaminated")
     return without(docs, gone, gone.limit(0))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, stored, texts, tidied
+from tessera.llm.common import batch, stored, texts, tidied, work
 from tessera.llm.tokens import encoder
 
 #: Pieces in a cell, islands of a cell, epochs between which the best migrate, packings an island keeps, generations an epoch.
@@ -211,8 +211,9 @@ def _bin():
 
 def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    cut = stored(pieces(docs, vocabulary, end_id, size), "packing-pieces")
-    return cut.join(pack(cut.select("piece_key", "length"), size), "piece_key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    with work(docs.sparkSession) as keep:
+        cut = stored(pieces(docs, vocabulary, end_id, size), "packing-pieces")
+        return keep(cut.join(pack(cut.select("piece_key", "length"), size), "piece_key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"), "packed")
 
 
 def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, end_id: int = 0, size: int = 2048) -> DataFrame:

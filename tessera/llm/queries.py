@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, exact_dedup, html_extract, lm, near_dup, packing, secrets, token_store, toxicity
-from tessera.llm.common import table
+from tessera.llm.common import table, work
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_chat(turns.unionByName(own))).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    with work(spark) as keep:
+        read = chat.read_back(chat.format_chat(turns.unionByName(own)))
+        return keep(read.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"), "chat")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -48,8 +50,9 @@ e AS (SELECT *, length(regexp_replace(role, '(\\|<s>|</s>|\[/ROLE\]|\[INST\]|\[/
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(n) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id""",
+  CAST(sum(n) AS BIGINT) AS formatted_chars,
+  bool_and(list_contains(['start system', 'start user', 'system user', 'user assistant', 'assistant user', 'assistant tool', 'tool assistant'], before || ' ' || role)) AND arg_max(role, (turn, role, text)) = 'assistant' AS valid
+FROM (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), 'start') AS before FROM e) GROUP BY conv_id""",
     "op4_ngram_jaccard": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
