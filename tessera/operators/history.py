@@ -19,9 +19,11 @@ def history(obs: DataFrame) -> DataFrame:
 
 
 def signatures(obs: DataFrame) -> DataFrame:
-    """(key, signature): one hash of a key's observations, whatever their order."""
-    row = F.sha2(F.to_json(F.struct(*sorted(obs.columns)), {"ignoreNullFields": "false"}), 256)
-    return obs.groupBy("key").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(row))), 256).alias("signature"))
+    """(key, signature): the number of a key's observations and sums of their hashes, whatever their order; nothing is gathered."""
+    h = F.sha2(F.to_json(F.struct(*sorted(obs.columns)), {"ignoreNullFields": "false"}), 256)
+    part = lambda k: F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")
+    sums = [F.sum(part(k)).cast("string") for k in range(4)]
+    return obs.groupBy("key").agg(F.concat_ws(":", F.count("*").cast("string"), *sums).alias("signature"))
 
 
 def validated(obs: DataFrame) -> DataFrame:
@@ -32,29 +34,45 @@ def validated(obs: DataFrame) -> DataFrame:
     return obs
 
 
+#: Folders of a history, by a hash of the key: a sync writes only those that a changed key is in. Versions that a table is read from at most.
+BUCKETS, PIECES = 64, 16
+
+
+def bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+
+
 def sync(obs: DataFrame, target: Versions, state: Versions) -> str:
-    """Bring target to history(obs): only keys whose signature changed are computed again; the same input writes nothing.
+    """Bring target to history(obs): only keys whose signature changed are computed again, and only the folders they are in are written;
+    the same input writes nothing.
 
     The state is trusted only if its checkpoint names the target's version. History commits before state, so a
     crash between the two is repaired by the next run.
     """
     new = stored(signatures(validated(obs)), "signatures")
     trusted = target.version > 0 and state.properties().get("history_version") == str(target.version)
+    keep = None
     if target.version == 0:
-        done, out = "FULL_REBUILD", history(obs)
+        done, out = "FULL_REBUILD", bucketed(history(obs))
     else:
         old = state.read() if trusted else state.spark.createDataFrame([], new.schema)
         known = target.read().select("key").distinct() if not trusted else None
         moved = new.join(old.withColumnRenamed("signature", "old"), "key", "full").where(~F.col("signature").eqNullSafe(F.col("old"))).select("key")
         if known is not None:
             moved = moved.union(known).distinct()
-        moved = stored(moved, "moved")
-        if moved.isEmpty():
+        moved = stored(bucketed(moved), "moved")
+        touched = sorted(r[0] for r in moved.select("bucket").distinct().collect())  # at most BUCKETS
+        if not touched:
             return "NO_CHANGE"
         done = "MERGE_AFFECTED_KEYS" if trusted else "MERGE_RECONCILE"
-        kept = target.read().join(moved, "key", "left_anti")
-        out = kept.unionByName(history(obs.join(moved, "key", "left_semi")).select(*kept.columns))
-    version = target.commit(out)
+        current = target.read()
+        if len(target.state()["parts"]) < PIECES:
+            keep = f"bucket NOT IN ({', '.join(map(str, touched))})"
+            current = current.where(F.col("bucket").isin(touched))
+        kept = current.join(moved.select("key"), "key", "left_anti")
+        out = kept.unionByName(bucketed(history(obs.join(moved.select("key"), "key", "left_semi"))).select(*kept.columns))
+        out = out.select(*[c for c in out.columns if c != "bucket"], "bucket")
+    version = target.commit(out, by=["bucket"], keep=keep)
     state.commit(new, history_version=str(version))
     return done
 

@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import stored
+
+#: Bins of a range in which a quantile is sought, rows of a range that are ranked at once, rounds at most.
+BINS, RANKED, ROUNDS = 1024, 1_000_000, 8
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key; Catalyst limits the window's groups before the shuffle."""
@@ -60,12 +65,75 @@ def peers(df: DataFrame, value: str, levels: list[list[str]], least: int) -> Dat
     return out.select(*df.columns, level.alias("level"), first(lambda k: F.col(f"n{k}")).alias("peers"), *got)
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, q): exact quantiles, interpolated between neighbours, of each group's values that are neither null nor NaN; groups may be few and
+    of any size.
+
+    Counts in bins of a group's range say which bin holds a rank; that bin is the next range, until what is left can be ranked.
+    No task holds a group: what moves are counts, and at last the different values of small ranges.
+    """
+    df = df.select(*by, F.col(value).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    ends = df.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    rank = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("r")) for i, p in enumerate(shares)]))
+    both = ends.select(*by, "lo", "hi", "n", rank.alias("s")).select(*by, F.col("s.i").alias("i"), F.col("s.r").alias("r"), "lo", "hi", "n", F.explode(F.array_distinct(F.array(F.floor("s.r"), F.ceil("s.r")))).alias("at"))
+    # a target: the place at of a group's order lies in [lo, hi], below which before rows are
+    targets = stored(both.withColumns({"before": F.lit(0).cast("long"), "inside": F.col("n")}), "quantile-targets")
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by], F.lit(True))
+    for _ in range(ROUNDS):
+        if targets.where(f"inside > {RANKED} AND lo < hi").isEmpty():
+            break
+        ranges = targets.select(*by, "lo", "hi").distinct()
+        width = (F.col("t.hi") - F.col("t.lo")) / BINS
+        bin_ = F.when(width > 0, F.least(F.floor((F.col("d.x") - F.col("t.lo")) / width), F.lit(BINS - 1))).otherwise(0)
+        hit = df.alias("d").join(F.broadcast(ranges).alias("t"), same("d", "t") & F.col("d.x").between(F.col("t.lo"), F.col("t.hi")))  # two ranges a share and group
+        counts = hit.groupBy(*[F.col(f"t.{c}").alias(c) for c in by], F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), bin_.alias("bin")).agg(F.count("*").alias("k"), F.min("d.x").alias("a"), F.max("d.x").alias("z"))
+        below = F.coalesce(F.sum("k").over(Window.partitionBy(*by, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        c, t = counts.withColumn("below", below).alias("c"), targets.alias("t")
+        on = same("c", "t") & (F.col("c.lo") == F.col("t.lo")) & (F.col("c.hi") == F.col("t.hi")) & (F.col("t.at") >= F.col("t.before") + F.col("c.below")) & (F.col("t.at") < F.col("t.before") + F.col("c.below") + F.col("c.k"))
+        narrowed = t.join(c, on).select(*[F.col(f"t.{x}") for x in by], "t.i", "t.r", F.col("c.a").alias("lo"), F.col("c.z").alias("hi"), "t.n", "t.at", (F.col("t.before") + F.col("c.below")).alias("before"), F.col("c.k").alias("inside"))
+        targets = stored(narrowed, "quantile-targets")
+    ranges = targets.select(*by, "lo", "hi").distinct()
+    kept = df.alias("d").join(F.broadcast(ranges).alias("t"), same("d", "t") & F.col("d.x").between(F.col("t.lo"), F.col("t.hi")))
+    values = kept.groupBy(*[F.col(f"t.{c}").alias(c) for c in by], F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), F.col("d.x").alias("x")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*by, "lo", "hi").orderBy("x"))
+    c, t = values.withColumn("upto", upto).alias("c"), targets.alias("t")
+    on = same("c", "t") & (F.col("c.lo") == F.col("t.lo")) & (F.col("c.hi") == F.col("t.hi")) & (F.col("t.at") >= F.col("t.before") + F.col("c.upto") - F.col("c.k")) & (F.col("t.at") < F.col("t.before") + F.col("c.upto"))
+    found = t.join(c, on).select(*[F.col(f"t.{x}") for x in by], "t.i", "t.r", "t.at", "c.x")
+    low, high = F.min_by("x", "at"), F.max_by("x", "at")
+    each = found.groupBy(*by, "i").agg((low + (high - low) * (F.first("r") - F.floor(F.first("r")))).alias("x"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("q"))  # one entry a share
+
+
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with place, from 0, in the whole order: ranges are sorted apart, and a count for each says where it begins."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    starts, at = {}, 0
+    for r in sorted(rows.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # a row a range
+        starts[r["_part"]], at = at, at + r["n"]
+    begins = F.broadcast(spark.createDataFrame(list(starts.items()), "_begins long, _start long")) if starts else None
+    if begins is None:
+        return df.withColumn("place", F.lit(0).cast("long"))
+    w = Window.partitionBy("_part").orderBy(*order)
+    return rows.join(begins, F.col("_part") == F.col("_begins")).withColumn("place", F.col("_start") + F.row_number().over(w) - 1).drop("_part", "_begins", "_start")
+
+
 def pareto(df: DataFrame, key: str, group: list[str], low: list[str], high: list[str]) -> DataFrame:
     """Rows that no other row of their group beats: as good everywhere and better somewhere. Equal rows stay.
 
-    Rows of equal measures are first made one, so a group's join is over different measures only.
+    Two measures need no pairs: of each value of the first only the best of the second can stay, and stays if it is better than all
+    before. With more measures, rows of equal ones are first made one, and a group's different ones are compared.
     """
     measures = low + high
+    if len(measures) == 2:
+        first, second = ([(c, 1) for c in low] + [(c, -1) for c in high])[:2]
+        a, b = F.col(first[0]) * first[1], F.col(second[0]) * second[1]
+        best = df.where(a.isNotNull() & b.isNotNull()).groupBy(*group, a.alias("_a")).agg(F.min(b).alias("_b"))
+        before = F.min("_b").over(Window.partitionBy(*group).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1))
+        front = best.withColumn("_before", before).where("_before IS NULL OR _b < _before").select(*[F.col(c).alias(f"_{c}") for c in group], "_a", "_b")
+        on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group], (a == F.col("_a")) & (b == F.col("_b")))
+        return df.join(front, on, "left_semi")
     distinct = df.select(*group, *measures).distinct()
     a, b = distinct.alias("a"), distinct.alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group])

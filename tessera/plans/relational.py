@@ -59,12 +59,14 @@ def p08(t, s):
     return t("orders").groupBy(rel.band(F.col("o_totalprice"), EDGES).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("p09_band_contiguity", "SELECT 'price' AS dimension, 6 AS band_key, 300000.0::DOUBLE AS lower, CAST(NULL AS DOUBLE) AS upper, 'open' AS end_kind")
+@query("p09_band_contiguity", "WITH e AS (SELECT c_nationkey AS dimension, c_mktsegment AS s, min(c_acctbal) AS lower FROM customer GROUP BY 1, 2), b AS (SELECT dimension, row_number() OVER w AS band_key, lower, lead(lower) OVER w AS next FROM e WINDOW w AS (PARTITION BY dimension ORDER BY lower)) SELECT dimension, band_key, lower FROM b WHERE next IS NOT NULL AND band_key % 3 = 0")
 def p09(t, s):
-    rows = [("price", k + 1, a, b) for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False))]
-    d = s.createDataFrame(rows, "dimension string, band_key int, lower double, upper double")
-    gaps = rel.contiguous(d).count()
-    return d.where("upper IS NULL").withColumn("end_kind", F.lit("open" if gaps == 0 else "gaps"))
+    """Bands of each nation from its segments' least balances; every third ends before the next begins, and these are found."""
+    w = Window.partitionBy("dimension").orderBy("lower")
+    e = t("customer").groupBy(F.col("c_nationkey").alias("dimension"), "c_mktsegment").agg(F.min("c_acctbal").alias("lower"))
+    e = e.withColumns({"band_key": F.row_number().over(w).cast("bigint"), "upper": F.lead("lower").over(w)})
+    gap = F.when((F.col("band_key") % 3 == 0) & F.col("upper").isNotNull(), F.col("upper") - 1).otherwise(F.col("upper"))
+    return rel.contiguous(e.withColumn("upper", gap)).select("dimension", "band_key", "lower")
 
 
 @query("p12_first_known", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lang END), ''), source) AS label FROM documents")
@@ -228,13 +230,14 @@ def j12(t, s):
     return t("lineitem").join(F.broadcast(g), F.col("f") == F.col("l_returnflag")).where(F.col("l_extendedprice").between(F.col("q")[0], F.col("q")[1])).select("l_orderkey", "l_linenumber")  # a row for each flag
 
 
-@query("j16_as_of", "SELECT c_custkey, max(o_orderdate) AS last_before FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderdate <= TIMESTAMP '1996-06-30' GROUP BY 1")
+@query("j16_as_of", "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS current_order FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderdate <= TIMESTAMP '1993-01-01' + INTERVAL 1 DAY * (c_custkey % 1500) GROUP BY 1")
 def j16(t, s):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate")
-    o = t("orders").withColumn("valid_to", F.lead("o_orderdate").over(w))
-    at = F.to_timestamp(F.lit("1996-06-30"))
-    ok = o.where((F.col("o_orderdate") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
-    return t("customer").join(ok, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey").agg(F.max("o_orderdate").cast("timestamp_ntz").alias("last_before"))
+    """Which order was a customer's latest on a day of the customer's own: orders hold from their date to the next one's."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = t("orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("valid_from"), F.lead("o_orderdate").over(w).alias("valid_to"))
+    at = F.to_timestamp_ntz(F.lit("1993-01-01")) + F.make_dt_interval(F.col("c_custkey").cast("int") % 1500)
+    on = (F.col("c_custkey") == F.col("o_custkey")) & (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))
+    return t("customer").join(o, on).select("c_custkey", F.col("o_orderkey").alias("current_order"))
 
 
 @query("a01_a02_conditional_aggregates", "SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS cheap, round(avg(CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.0 END), 6) AS share, round(sum(l_extendedprice), 2) AS total, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY 1")
@@ -242,15 +245,21 @@ def a01(t, s):
     return t("lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("cheap"), F.round(F.avg((F.col("l_tax") > 0.04).cast("double")), 6).alias("share"), F.round(F.sum("l_extendedprice"), 2).alias("total"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 
 
-@query("a03_a04_percentiles", "SELECT l_shipmode AS g, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.5) FILTER (WHERE l_quantity > 25), 4) AS big FROM (SELECT *, l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1")
+@query("a03_a04_percentiles", "SELECT l_linestatus AS g, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.5) FILTER (WHERE l_quantity > 25), 4) AS big FROM lineitem GROUP BY 1")
 def a03(t, s):
-    return t("lineitem").groupBy(F.col("l_linestatus").alias("g")).agg(*rel.quartiles("l_extendedprice"), F.round(F.percentile(F.when(F.col("l_quantity") > 25, F.col("l_extendedprice")), F.lit(0.5)), 4).alias("big"))
+    """Two groups hold all rows: quantiles by bins, not by a group's values in one task."""
+    d = t("lineitem").select(F.col("l_linestatus").alias("g"), "l_extendedprice", "l_quantity")
+    every = rel.quantiles(d, ["g"], "l_extendedprice", (0.25, 0.5, 0.75))
+    big = rel.quantiles(d.where("l_quantity > 25"), ["g"], "l_extendedprice", (0.5,)).withColumnRenamed("q", "b")
+    q = lambda c, k: F.round(F.col(c)[k], 4)
+    return every.join(big, "g", "left").select("g", q("q", 0).alias("p25"), q("q", 1).alias("p50"), q("q", 2).alias("p75"), q("b", 0).alias("big"))
 
 
-@query("a05_approx_percentile", "SELECT l_linestatus AS g, true AS near FROM lineitem GROUP BY 1")
+@query("a05_approx_percentile", "SELECT l_returnflag AS g, quantile_disc(l_quantity, 0.5) AS median, quantile_disc(l_discount, 0.9) AS p90 FROM lineitem GROUP BY 1")
 def a05(t, s):
-    a, e = F.percentile_approx("l_quantity", 0.5, 10000), F.percentile("l_quantity", F.lit(0.5))
-    return t("lineitem").groupBy(F.col("l_linestatus").alias("g")).agg((F.abs(a - e) <= 1).alias("near"))
+    """Exact where a group has fewer different values than the accuracy."""
+    approx = lambda c, p: F.percentile_approx(c, p, 10000)
+    return t("lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(approx("l_quantity", 0.5).alias("median"), approx("l_discount", 0.9).alias("p90"))
 
 
 @query("a06_a07_distinct", "SELECT count(DISTINCT (coalesce(o_orderpriority, '<null>'), o_orderstatus)) AS pairs, count(DISTINCT o_custkey) AS customers FROM orders")
@@ -362,8 +371,12 @@ def w10(t, s):
 
 @query("w11_deciles", "SELECT d, count(*) AS n, round(avg(b), 4) AS mean FROM (SELECT ntile(10) OVER (ORDER BY c_acctbal, c_custkey) AS d, c_acctbal AS b FROM customer) GROUP BY 1")
 def w11(t, s):
-    # exact deciles: ranks by a range-partitioned sort would do at scale; ntile needs one order
-    return t("customer").select(F.ntile(10).over(Window.orderBy("c_acctbal", "c_custkey")).cast("bigint").alias("d"), F.col("c_acctbal").alias("b")).groupBy("d").agg(F.count("*").alias("n"), F.round(F.avg("b"), 4).alias("mean"))
+    """Tenths by place in the whole order; the first n % 10 of them hold one row more."""
+    d = rel.numbered(t("customer").select("c_acctbal", "c_custkey"), [F.col("c_acctbal"), F.col("c_custkey")])
+    n = t("customer").agg(F.count("*").alias("n"))  # one row
+    at, size, more = F.col("place"), F.floor(F.col("n") / 10), F.col("n") % 10
+    tenth = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return d.crossJoin(F.broadcast(n)).groupBy((tenth + 1).cast("bigint").alias("d")).agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
 
 
 @query("w12_surrogate_keys", "SELECT row_number() OVER (ORDER BY r, n NULLS FIRST) AS key, r, n FROM (SELECT DISTINCT r_name AS r, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_name END AS n FROM nation JOIN region ON n_regionkey = r_regionkey)")

@@ -30,19 +30,61 @@ def s05(t, s):
     return d.groupBy(F.lpad(F.col("batch_id").cast("string"), 2, "0").alias("region")).agg(F.count("*").alias("n"), F.max("_ingestion_mode").alias("mode"))
 
 
-@query("s07_file_digest", "SELECT true AS same, 25 AS n")
+@query("s07_s28_manifest_gate", "SELECT CASE n_regionkey WHEN 1 THEN 'CHANGED' WHEN 2 THEN 'MISSING' WHEN 3 THEN 'UNKNOWN' ELSE 'SAME' END AS state, count(DISTINCT n_regionkey) AS files FROM nation GROUP BY 1")
 def s07(t, s):
-    path = tables.scratch(s, "digest")
-    t("nation").coalesce(1).write.parquet(path)
-    f = lambda: s.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.sha2("content", 256).alias("h"))
-    return f().join(f().withColumnRenamed("h", "g"), F.col("h") == F.col("g"), "left").agg(F.every(F.col("g").isNotNull()).alias("same")).withColumn("n", F.lit(s.read.parquet(path).count()))
-
-
-@query("s13_state_audit", "SELECT * FROM (VALUES ('a', 'READABLE'), ('b', 'MISSING'), ('c', 'NOT_CONFIGURED')) AS x(source, status)")
+    """A file for each region; one is written anew after the manifest, one goes, one is not in it."""
+    root = tables.scratch(s, "manifest")
+    write = lambda d: d.select(F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey").alias("value"), "n_regionkey").repartition(1).write.partitionBy("n_regionkey").mode("append").text(root)
+    files = lambda: tables.inputs(s, root, "*.txt").select(F.regexp_extract("path", "n_regionkey=(\\d+)", 1).alias("name"), "digest")
+    write(t("nation").where("n_regionkey <> 3"))
+    manifest = tables.stored(files(), "manifest")
+    tables.delete(s, f"{root}/n_regionkey=1")
+    tables.delete(s, f"{root}/n_regionkey=2")
+    write(t("nation").where("n_regionkey = 1").withColumn("n_name", F.concat("n_name", F.lit("!"))).unionByName(t("nation").where("n_regionkey = 3")))
+    return tables.against_manifest(files(), manifest).groupBy("state").agg(F.count("*").alias("files"))
+
+
+@query("s06_pointer_files", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'POINTER' ELSE 'READABLE' END AS status FROM nation) GROUP BY 1")
+def s06(t, s):
+    """A file for each nation, every fifth only pointing to content that was not fetched."""
+    root = tables.scratch(s, "inputs")
+    body = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit(tables.POINTER + "v1 oid "), "n_name")).otherwise(F.col("n_name"))
+    t("nation").select(body.alias("value"), F.col("n_nationkey").alias("k")).repartition(1).write.partitionBy("k").text(root)
+    return tables.inputs(s, root, "*.txt").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("s02_drifting_header", "SELECT n_nationkey::VARCHAR AS k, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name, CASE WHEN n_nationkey % 2 = 1 THEN n_regionkey::VARCHAR END AS region FROM nation")
+def s02(t, s):
+    """Two files with different columns, and a broken row in each that is not counted."""
+    root, d = tables.scratch(s, "drift"), t("nation")
+    lines = lambda d, head, broken: s.createDataFrame([(head,), (broken,)], "value string").coalesce(1).unionByName(d).coalesce(1).write.mode("append").text(root)
+    lines(d.where("n_nationkey % 2 = 0").select(F.concat_ws(",", "n_nationkey", "n_name").alias("value")), "k,name", "1,2,3,4")
+    lines(d.where("n_nationkey % 2 = 1").select(F.concat_ws(",", "n_regionkey", "n_nationkey").alias("value")), "region,k", "1,2,3")
+    return tables.read_drifting_csv(s, root, ["k", "name", "region"]).where("_broken IS NULL").drop("_broken")
+
+
+@query("s04_expected_rows", "SELECT n_regionkey::VARCHAR AS source, count(*) AS n FROM nation GROUP BY 1")
+def s04(t, s):
+    """The right numbers of rows pass; a wrong one, a source too many and one too few are each an error."""
+    d = t("nation").withColumn("_source_name", F.col("n_regionkey").cast("string"))
+    right = {r["_source_name"]: r["n"] for r in d.groupBy("_source_name").agg(F.count("*").alias("n")).collect()}  # a row a region
+    one = next(iter(right))
+    for wrong in (right | {one: right[one] + 1}, right | {"other": 1}, {k: n for k, n in right.items() if k != one}):
+        try:
+            tables.expect_rows(d, **wrong)
+        except ValueError:
+            continue
+        raise ValueError("wrong numbers passed")
+    return tables.expect_rows(d, **right).groupBy(F.col("_source_name").alias("source")).agg(F.count("*").alias("n"))
+
+
+@query("s13_g17_state_audit", "SELECT coalesce(r_regionkey, k) AS source, CASE WHEN r_regionkey IS NULL THEN 'NOT_CONFIGURED' WHEN n IS NULL THEN 'MISSING' ELSE 'READABLE' END AS status FROM (SELECT * FROM region WHERE r_regionkey <> 3) FULL JOIN (SELECT n_regionkey AS k, count(*) AS n FROM nation WHERE n_regionkey <> 1 GROUP BY 1) ON k = r_regionkey")
 def s13(t, s):
-    want, have = s.createDataFrame([("a",), ("b",)], "source string"), s.createDataFrame([("a", 3), ("c", 1)], "source string, n int")
-    status = F.when(~F.coalesce("wanted", F.lit(False)), "NOT_CONFIGURED").when(F.col("n").isNull(), "MISSING").otherwise("READABLE")
-    return want.withColumn("wanted", F.lit(True)).join(have, "source", "full").select("source", status.alias("status"))
+    """Regions as configured sources, nations as what was found: one is not configured, one has nothing."""
+    have = t("nation").where("n_regionkey <> 1").groupBy(F.col("n_regionkey").alias("k")).agg(F.count("*").alias("n"))
+    want = t("region").where("r_regionkey <> 3").select("r_regionkey")
+    status = F.when(F.col("r_regionkey").isNull(), "NOT_CONFIGURED").when(F.col("n").isNull(), "MISSING").otherwise("READABLE")
+    return want.join(have, F.col("k") == F.col("r_regionkey"), "full").select(F.coalesce("r_regionkey", "k").alias("source"), status.alias("status"))
 
 
 @query("s14_s34_profile", "SELECT 'text' AS col, count(*) - count(text) AS nulls, count(DISTINCT text) AS kinds FROM documents UNION ALL SELECT 'lang', count(*) - count(lang), count(DISTINCT lang) FROM documents UNION ALL SELECT 'source', count(*) - count(source), count(DISTINCT source) FROM documents")
@@ -60,12 +102,33 @@ def s20(t, s):
     return s.read.option("mergeSchema", True).parquet(path).select("n_nationkey", "label")
 
 
-@query("s21_s19_properties", "SELECT 'mark' AS name, 'x1' AS val, 2 AS version")
+@query("s21_s19_table_metadata", "SELECT 1 AS version, 'x0' AS mark, (SELECT count(*) FROM region) AS n UNION ALL SELECT 2, 'x1', (SELECT count(*) FROM nation) UNION ALL SELECT 3, 'x0', (SELECT count(*) FROM region)")
 def s21(t, s):
+    """Two commits and a return to the first: versions, properties and rows from the table's own history."""
     v = tables.Versions(s, tables.scratch(s, "props"))
     v.commit(t("region"), mark="x0")
-    v.commit(t("region"), mark="x1")
-    return s.createDataFrame([("mark", v.properties()["mark"], v.version)], "name string, val string, version int")
+    v.commit(t("nation"), mark="x1")
+    v.rollback(1)
+    rows = None
+    for k in (1, 2, 3):
+        d = v.read(k).agg(F.count("*").alias("n")).withColumn("version", F.lit(k))
+        rows = d if rows is None else rows.unionByName(d)
+    return v.history().select("version", F.col("properties")["mark"].alias("mark")).join(rows, "version")
+
+
+@query("k02c_one_writer", "SELECT count(*) AS n, 1 AS version FROM region")
+def k02c(t, s):
+    """Of two writers that began from the same version the later one fails and changes nothing."""
+    root = tables.scratch(s, "writers")
+    first, second = tables.Versions(s, root), tables.Versions(s, root)
+    state = second.state
+    second.state = lambda number=None: {"version": 0, "properties": {}} if number is None else state(number)  # what it saw when it began
+    first.commit(t("region"))
+    try:
+        second.commit(t("nation"))
+    except ValueError:
+        return first.read().agg(F.count("*").alias("n")).withColumn("version", F.lit(first.version))
+    raise ValueError("both were written")
 
 
 @query("s22_metadata_count", "SELECT count(*) AS n FROM lineitem")

@@ -73,6 +73,47 @@ def read_csv(spark: SparkSession, path: str, header: list[str] | None = None) ->
     return df
 
 
+def read_drifting_csv(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
+    """Like read_csv for files whose header or rows drift: columns by name where the file has them, null where not; _broken holds a row
+    that has more or fewer fields than its file's header, and is null for whole rows."""
+    files = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path").collect()]
+    out = None
+    for f in files:
+        own = read_csv(spark, f).columns
+        fields = ", ".join(f"`{c}` string" for c in [*own, "_broken"])
+        d = spark.read.schema(fields).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(f)
+        d = d.select(*[F.col(f"`{c}`") if c in own else F.lit(None).cast("string").alias(c) for c in header], "_broken")
+        out = d if out is None else out.unionByName(d)
+    return out if out is not None else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*header, "_broken"]))
+
+
+def expect_rows(df: DataFrame, **expected: int) -> DataFrame:
+    """df, or an error that names every _source_name whose rows are not as many as expected, missing and unknown ones included."""
+    found = {r["_source_name"]: r["n"] for r in df.groupBy("_source_name").agg(F.count("*").alias("n")).collect()}  # a row a source
+    wrong = {k: (expected.get(k), found.get(k)) for k in expected.keys() | found.keys() if expected.get(k) != found.get(k)}
+    if wrong:
+        raise ValueError(f"rows expected and found: {dict(sorted(wrong.items()))}")
+    return df
+
+
+# How a file begins that only points to its content.
+POINTER = "version https://git-lfs.github.com/spec/"
+
+
+def inputs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, length, digest, status) of files: READABLE, EMPTY, or POINTER where the content was not fetched."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    status = F.when(F.col("length") == 0, "EMPTY").when(F.substring("content", 1, len(POINTER)) == F.lit(POINTER).cast("binary"), "POINTER").otherwise("READABLE")
+    return files.select("path", "length", F.sha2("content", 256).alias("digest"), status.alias("status"))
+
+
+def against_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, state): SAME, CHANGED, MISSING or UNKNOWN, by digest. found: (name, digest); manifest: (name, digest)."""
+    m = manifest.select(F.col("name").alias("m"), F.col("digest").alias("d"))
+    state = F.when(F.col("m").isNull(), "UNKNOWN").when(F.col("name").isNull(), "MISSING").when(F.col("d") == F.col("digest"), "SAME").otherwise("CHANGED")
+    return found.join(m, F.col("name") == F.col("m"), "full").select(F.coalesce("name", "m").alias("name"), state.alias("state"))
+
+
 def with_lineage(df: DataFrame, source: str, batch_id: str, mode: str = "snapshot") -> DataFrame:
     """Where a batch came from: source, file, batch, snapshot date, mode and time of arrival."""
     return df.withColumns({"_source_name": F.lit(source), "_source_file": F.input_file_name(), "_batch_id": F.lit(batch_id), "_snapshot_date": F.try_to_date(F.lit(batch_id), "yyyyMMdd"), "_ingestion_mode": F.lit(mode), "_ingested_at": F.current_timestamp()})

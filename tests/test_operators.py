@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph, history, model
 from tessera.operators import relational as rel
@@ -30,7 +31,9 @@ def test_sync_late_correction_deletion_and_no_change(spark, tmp_path):
     assert history.sync(obs(spark, rows), target, state) == "NO_CHANGE"
     late = [*rows, ("x", 18, "C")]
     assert history.sync(obs(spark, late), target, state) == "MERGE_AFFECTED_KEYS"
-    assert rel.same_rows(target.read(), history.history(obs(spark, late)).select(*target.read().columns))
+    assert rel.same_rows(target.read(), history.bucketed(history.history(obs(spark, late))).select(*target.read().columns))
+    folders = [p for p, _ in target.state()['parts']]
+    assert len(folders) == 2  # the first version's other folders stay where they are
     assert history.sync(obs(spark, late[:2]), target, state) == "MERGE_AFFECTED_KEYS"  # y is gone
     assert versions(target.read()) == [("x", 16, "A", 1, True)]
     assert len(versions(target.read(1))) == 2
@@ -83,3 +86,29 @@ def test_mann_whitney_by_brute_force(spark):
 def test_fingerprint_ignores_order(spark):
     d = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k int, v string")
     assert rel.fingerprint(d).first() == rel.fingerprint(d.orderBy("v").repartition(3)).first() != rel.fingerprint(d.distinct()).first()
+
+
+@pytest.mark.parametrize("ranked", [1_000_000, 5])
+def test_quantiles_by_bins(spark, monkeypatch, ranked):
+    monkeypatch.setattr(rel, "RANKED", ranked)
+    monkeypatch.setattr(rel, "BINS", 4)
+    rng = np.random.default_rng(5)
+    groups = {"a": np.exp(rng.normal(0, 3, 400)), "b": np.repeat([1.0, 2.0], [70, 31]), "c": np.array([7.0]), None: rng.normal(size=50)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("a", float("nan")), ("d", None)]
+    got = {r["g"]: r["q"] for r in rel.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", (0.0, 0.1, 0.5, 0.9, 1.0)).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        assert np.allclose(got[g], np.quantile(xs, (0.0, 0.1, 0.5, 0.9, 1.0)), rtol=1e-12)
+
+
+def test_numbered(spark):
+    d = spark.range(500).selectExpr("(id * 7919) % 500 AS k", "id % 3 AS x")
+    assert all(r["place"] == r["k"] for r in rel.numbered(d, [F.col("k")]).collect())
+
+
+def test_a_pointer_is_written_once(spark, tmp_path):
+    v = Versions(spark, f"{tmp_path}/t")
+    assert v.version == 0 and v.commit(spark.range(3).toDF("x"), a="1") == 1 and v.commit(spark.range(5).toDF("x"), b="2") == 2
+    with pytest.raises(ValueError):
+        v._point(2, {"version": 2})
+    assert v.read().count() == 5 and v.read(1).count() == 3 and v.properties() == {"a": "1", "b": "2"}
