@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,38 +23,100 @@ def terms(df: DataFrame, factors: list[str]) -> DataFrame:
     return df.withColumn("terms", F.array_sort(F.filter(all_, lambda t: ~t.isin(*refs))))
 
 
-def fit(df: DataFrame, y: str, ridge: float = 1.0) -> dict[str, tuple[float, float]]:
-    """term to (coefficient, standard error); '' is the intercept, which the ridge spares. df has terms.
+def _sums(df: DataFrame, y: str, *by: str) -> list:
+    """Counts and sums of y by pairs of terms, '' the intercept, and by; all that normal equations need. They aggregate before anything moves."""
+    full = df.select(*by, F.col(y).cast("double").alias("y"), F.concat(F.array(F.lit("")), "terms").alias("t"))
+    pairs = full.select(*by, "y", F.explode("t").alias("a"), "t").select(*by, "y", "a", F.explode("t").alias("b")).where("a <= b")
+    return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")).collect()  # terms squared at most
 
-    X'X comes from counts of term pairs, X'y from sums by term: both aggregate before anything moves.
-    """
-    full = df.select(F.col(y).cast("double").alias("y"), F.concat(F.array(F.lit("")), "terms").alias("t"))
-    pairs = full.select("y", F.explode("t").alias("a"), "t").select("y", "a", F.explode("t").alias("b")).where("a <= b")
-    sums = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("y").alias("sy")).collect()  # terms squared at most
-    yy = full.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 0.0
-    names = sorted({r["a"] for r in sums} | {r["b"] for r in sums})
+
+def _equations(sums, names: list[str]) -> tuple[np.ndarray, np.ndarray, float]:
+    at = {n: i for i, n in enumerate(names)}
+    xx, xy, yy = np.zeros((len(names),) * 2), np.zeros(len(names)), 0.0
+    for a, b, n, sy, syy in sums:
+        xx[at[a], at[b]] = xx[at[b], at[a]] = n
+        if a == b:
+            xy[at[a]] = sy
+        if a == b == "":
+            yy = syy
+    return xx, xy, yy
+
+
+def _solved(xx: np.ndarray, xy: np.ndarray, names: list[str], ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and the inverse; terms without rows get 0."""
+    used = np.diag(xx) > 0
+    penalty = np.where(np.array(names) == "", 0.0, ridge)
+    inverse, beta = np.zeros_like(xx), np.zeros(len(names))
+    if used.any():
+        inverse[np.ix_(used, used)] = np.linalg.inv((xx + np.diag(penalty))[np.ix_(used, used)])
+        beta = inverse @ xy
+    return beta, inverse
+
+
+def fit(df: DataFrame, y: str, ridge: float = 1.0) -> dict[str, tuple[float, float]]:
+    """term to (coefficient, standard error); '' is the intercept, which the ridge spares. df has terms."""
+    sums = [(r["a"], r["b"], r["n"], r["sy"], r["syy"]) for r in _sums(df, y)]
+    names = sorted({r[0] for r in sums} | {r[1] for r in sums})
     if not names:
         return {}
-    at = {n: i for i, n in enumerate(names)}
-    xx, xy = np.zeros((len(names),) * 2), np.zeros(len(names))
-    for r in sums:
-        xx[at[r["a"]], at[r["b"]]] = xx[at[r["b"]], at[r["a"]]] = r["n"]
-        if r["a"] == r["b"]:
-            xy[at[r["a"]]] = r["sy"]
-    n = xx[at[""], at[""]]
-    penalty = np.full(len(names), ridge)
-    penalty[at[""]] = 0.0
-    inverse = np.linalg.inv(xx + np.diag(penalty))
-    beta = inverse @ xy
+    xx, xy, yy = _equations(sums, names)
+    beta, inverse = _solved(xx, xy, names, ridge)
+    n = xx[names.index(""), names.index("")]
     sse = max(0.0, yy - 2 * beta @ xy + beta @ xx @ beta)
     error = np.sqrt(np.maximum(0, np.diag(inverse)) * sse / max(n - len(names), 1))
     return {k: (float(b), float(e)) for k, b, e in zip(names, beta, error, strict=True)}
 
 
+def fit_folds(df: DataFrame, y: str, ridges: tuple[float, ...]) -> dict[int, dict[str, list[float]]]:
+    """Of each fold the coefficients, one for each ridge, fitted on all other folds: one pass, for sums over folds subtract. df has fold, terms."""
+    sums = _sums(df, y, "fold")
+    names = sorted({r["a"] for r in sums} | {r["b"] for r in sums})
+    folds = sorted({r["fold"] for r in sums})
+    own = {f: _equations([(r["a"], r["b"], r["n"], r["sy"], r["syy"]) for r in sums if r["fold"] == f], names) for f in folds}
+    xx, xy = (sum(own[f][k] for f in folds) for k in (0, 1)) if folds else (None, None)
+    out = {}
+    for f in folds:
+        each = [_solved(xx - own[f][0], xy - own[f][1], names, r)[0] for r in ridges]
+        out[f] = {n: [float(b[i]) for b in each] for i, n in enumerate(names)}
+    return out
+
+
+def predict_folds(df: DataFrame, coefficients: dict[int, dict[str, list[float]]], n: int) -> DataFrame:
+    """df with predictions, an array of n: each row by the coefficients that were fitted without its fold."""
+    flat = {f"{f}|{t}": b for f, of in coefficients.items() for t, b in of.items()}
+    of = F.from_json(F.lit(json.dumps(flat)), "map<string, array<double>>")
+    none = F.array(*[F.lit(0.0)] * n)
+    add = lambda s, t: F.zip_with(s, F.coalesce(of[F.concat(F.col("fold").cast("string"), F.lit("|"), t)], none), lambda a, b: a + b)
+    return df.withColumn("predictions", F.aggregate(F.concat(F.array(F.lit("")), "terms"), none, add))
+
+
+def blended(model: Column, baseline: Column, weight: float) -> Column:
+    """A model's and a baseline's price averaged on the log scale."""
+    return F.exp(weight * F.ln(model) + (1 - weight) * F.ln(baseline))
+
+
+def chosen(errors: list[tuple], gain: float = 0.001) -> tuple:
+    """The first of (setting, error), in order of preference, that no later one betters by more than a share of gain."""
+    best = errors[0]
+    for e in errors[1:]:
+        if e[-1] < best[-1] * (1 - gain):
+            best = e
+    return best
+
+
+def paired_bootstrap(sums: list[tuple[float, float, int]], rounds: int = 2_000, seed: int = 42) -> dict[str, float]:
+    """The mean difference of two errors, its 95 % interval, and how often the first is not the larger: blocks of rows, as (sum of the first,
+    sum of the second, rows), are drawn anew rounds times."""
+    a, b, n = (np.array(x, float) for x in zip(*sums, strict=True))
+    picks = np.random.default_rng(seed).integers(0, len(n), (rounds, len(n)))
+    means = (a - b)[picks].sum(1) / n[picks].sum(1)
+    low, high = np.quantile(means, (0.025, 0.975))
+    return {"difference": float((a - b).sum() / n.sum()), "low": float(low), "high": float(high), "not_larger": float((means <= 0).mean())}
+
+
 def predict(df: DataFrame, coefficients: dict[str, tuple[float, float]]) -> DataFrame:
     """df with predicted: the sum of the coefficients of a row's terms, from a literal map."""
-    pairs = [x for k, (b, _) in coefficients.items() for x in (F.lit(k), F.lit(b))]
-    of = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(0.0))
+    of = F.from_json(F.lit(json.dumps({k: b for k, (b, _) in coefficients.items()})), "map<string, double>")
     return df.withColumn("predicted", F.aggregate(F.concat(F.array(F.lit("")), "terms"), F.lit(0.0), lambda s, t: s + F.coalesce(of[t], F.lit(0.0))))
 
 

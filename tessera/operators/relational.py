@@ -191,3 +191,9 @@ def aggregate(df: DataFrame, spec: dict) -> DataFrame:
     if spec.get("order"):
         out = out.orderBy(*[F.expr(o[0]).desc() if o[1] == "desc" else F.expr(o[0]).asc() for o in spec["order"]])
     return out.limit(spec["limit"]) if spec.get("limit") else out
+
+
+def failures(df: DataFrame, checks: dict[str, str]) -> DataFrame:
+    """(name, failed, n): of each condition how many rows it does not hold for, null included; one pass."""
+    one = df.agg(F.count("*").alias("n"), *[F.count_if(~F.coalesce(F.expr(c), F.lit(False))).alias(k) for k, c in checks.items()])
+    return one.unpivot(["n"], list(checks), "name", "failed").select("name", "failed", "n")

@@ -179,7 +179,7 @@ def priced(t):
 def fitted(t):
     """Offers with terms, and coefficients from the training rows inside its 1st to 99th percentile."""
     d = model.terms(priced(t), ["p_brand", "p_type", "size_band"])
-    low, high = d.where("train").agg(F.percentile("y", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).first()["q"]
+    low, high = rel.quantiles(d.where("train"), [], "y", (0.01, 0.99)).first()["q"]
     return d, model.fit(d.where(F.col("train") & F.col("y").between(low, high)), "y")
 
 
@@ -205,16 +205,62 @@ def k12c(t, s):
     return t("part").join(a, ["p_brand", "p_type"]).join(b, "p_brand").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
 
 
+@query("k12g_k12h_baseline_and_blend")
+def k12g(t, s):
+    """Test rows by the median of the finest group of training rows with 20 or more, by the model, and by both at weight 0.7."""
+    d, beta = fitted(t)
+    d = d.withColumn("key", F.monotonically_increasing_id())
+    levels = [["p_brand", "p_type", "size_band"], ["p_brand", "p_type"], ["p_brand"], []]
+    out = d.where("NOT train")
+    for k, keys in enumerate(levels):
+        m = rel.quantiles(d.where("train"), keys, "price", (0.5,)).select(*keys, F.col("q")[0].alias(f"m{k}"))
+        n = d.where("train").groupBy(*keys).agg(F.count("*").alias(f"n{k}"))
+        g = m.join(n, keys) if keys else m.crossJoin(n)  # one row each
+        out = out.join(g, keys, "left") if keys else out.crossJoin(F.broadcast(g))
+    base = F.coalesce(*[F.when(F.col(f"n{k}") >= 20, F.col(f"m{k}")) for k in range(len(levels))], F.col(f"m{len(levels) - 1}"))
+    out = model.predict(out, beta).withColumns({"baseline": base, "model": F.exp("predicted")}).withColumn("blend", model.blended(F.col("model"), F.col("baseline"), 0.7))
+    rows = None
+    for which in ("baseline", "model", "blend"):
+        m = model.metrics(out, "price", which).select(F.lit(which).alias("which"), "n", *[F.round(c, 4).alias(c) for c in ("mae", "mape", "median_ape", "r2_log")])
+        rows = m if rows is None else rows.unionByName(m)
+    return rows
+
+
+RIDGES, WEIGHTS = (10.0, 1.0, 0.1), (0.0, 0.5, 1.0)
+
+
+def cross_validated(t):
+    """Offers with out-of-fold predictions for each ridge and their out-of-fold brand mean, terms stored once."""
+    from tessera.sources.tables import stored
+
+    d = stored(model.terms(priced(t).withColumn("fold", v.hash_split(F.col("id"), 5)), ["p_brand", "p_type"]), "terms")
+    sums = d.groupBy("p_brand", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("c"))
+    whole = sums.groupBy(F.col("p_brand").alias("brand")).agg(F.sum("s").alias("all_s"), F.sum("c").alias("all_c"))
+    rest = sums.join(whole, F.col("p_brand") == F.col("brand")).select("p_brand", "fold", F.try_divide(F.col("all_s") - F.col("s"), F.col("all_c") - F.col("c")).alias("base"))
+    return model.predict_folds(d, model.fit_folds(d, "y", RIDGES), len(RIDGES)).join(rest, ["p_brand", "fold"])
+
+
 @query("k13_cross_validation")
 def k13(t, s):
-    """Five folds by hash, with and without a factor: mean absolute log error of each."""
-    rows = []
-    for name, factors in (("brand", ["p_brand"]), ("brand_type", ["p_brand", "p_type"])):
-        d = model.terms(priced(t).withColumn("fold", v.hash_split(F.col("id"), 5)), factors)
-        for k in range(5):
-            e = model.predict(d.where(F.col("fold") == k), model.fit(d.where(F.col("fold") != k), "y")).agg(F.avg(F.abs(F.col("y") - F.col("predicted")))).first()[0]
-            rows.append((name, k, round(e, 6)))
-    return s.createDataFrame(rows, "terms string, fold int, error double")
+    """Mean absolute log error of each ridge and weight beside the brand's mean, over five folds, and which setting is chosen: a later one
+    must be better by a thousandth."""
+    d = cross_validated(t)
+    error = lambda k, w: F.avg(F.abs(F.col("y") - (w * F.col("predictions")[k] + (1 - w) * F.coalesce("base", F.col("predictions")[k]))))
+    grid = [(r, w, k) for w in WEIGHTS for k, r in enumerate(RIDGES)]
+    got = d.agg(*[error(k, w).alias(f"e{i}") for i, (_, w, k) in enumerate(grid)]).first()
+    rows = [(r, w, float(got[i])) for i, (r, w, _) in enumerate(grid)] if got[0] is not None else []
+    best = model.chosen(rows) if rows else None
+    return s.createDataFrame([(r, w, round(e, 9), (r, w, e) == best) for r, w, e in rows], "ridge double, weight double, error double, chosen boolean")
+
+
+@query("m05_paired_bootstrap")
+def m05(t, s):
+    """Whether the model's errors are smaller than the brand mean's: a hundred blocks of rows by hash, drawn anew."""
+    d = cross_validated(t).withColumn("block", v.hash_split(F.concat(F.col("id"), F.lit("/block"))))
+    e = lambda p: F.sum(F.abs(F.col("y") - p))
+    rows = d.groupBy("block").agg(e(F.col("predictions")[1]).alias("a"), e(F.coalesce("base", F.col("predictions")[1])).alias("b"), F.count("*").alias("n")).orderBy("block").collect()  # a row a block
+    b = model.paired_bootstrap([(r["a"], r["b"], r["n"]) for r in rows])
+    return s.createDataFrame([tuple(round(b[k], 6) for k in ("difference", "low", "high", "not_larger"))], "difference double, low double, high double, not_larger double")
 
 
 @query("k14_repost_leakage", "SELECT count(DISTINCT te.c_custkey) AS leaked FROM customer te JOIN customer tr ON te.c_nationkey = tr.c_nationkey AND te.c_mktsegment = tr.c_mktsegment AND abs(te.c_acctbal - tr.c_acctbal) <= 0.03 * greatest(te.c_acctbal, tr.c_acctbal) WHERE te.c_acctbal > 0 AND tr.c_acctbal > 0 AND te.c_custkey % 5 = 0 AND tr.c_custkey % 5 <> 0")
@@ -259,7 +305,7 @@ def k21(t, s):
 
 @query("k22_backtest_quintiles", "SELECT q, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END), 6)::DOUBLE AS share FROM (SELECT *, CASE WHEN o_totalprice < e[1] THEN 0 WHEN o_totalprice < e[2] THEN 1 WHEN o_totalprice < e[3] THEN 2 WHEN o_totalprice < e[4] THEN 3 ELSE 4 END AS q FROM orders, (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS e FROM orders)) GROUP BY 1")
 def k22(t, s):
-    e = t("orders").agg(F.percentile("o_totalprice", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("e"))
+    e = rel.quantiles(t("orders"), [], "o_totalprice", (0.2, 0.4, 0.6, 0.8)).withColumnRenamed("q", "e")
     q = F.size(F.filter("e", lambda x: x <= F.col("o_totalprice")))
     d = t("orders").crossJoin(F.broadcast(e)).withColumn("q", q)  # one row of edges
     return d.groupBy("q").agg(F.count("*").alias("n"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")), 6).alias("share"))
@@ -323,17 +369,85 @@ def k27b(t, s):
     return g("lineitem", "l_orderkey", "l_linenumber").unionByName(g("documents", "doc_id"))
 
 
+# what must hold of each row, by table: name, then the condition, in SQL that both engines read alike
+ASSERTIONS = {
+    "region": {"key": "r_regionkey IS NOT NULL", "name": "length(r_name) > 0"},
+    "nation": {"key": "n_nationkey IS NOT NULL", "name": "length(n_name) > 0", "region": "n_regionkey BETWEEN 0 AND 4"},
+    "customer": {"key": "c_custkey > 0", "name": "length(c_name) > 0", "nation": "c_nationkey BETWEEN 0 AND 24", "balance": "c_acctbal BETWEEN -1000 AND 10000", "segment": "c_mktsegment IS NOT NULL", "no_debt": "c_acctbal >= 0"},
+    "supplier": {"key": "s_suppkey > 0", "name": "length(s_name) > 0", "nation": "s_nationkey BETWEEN 0 AND 24", "no_debt": "s_acctbal >= 0"},
+    "part": {"key": "p_partkey > 0", "name": "length(p_name) > 0", "brand": "p_brand IS NOT NULL", "type": "p_type IS NOT NULL", "size": "p_size BETWEEN 1 AND 50", "price": "p_retailprice > 0"},
+    "orders": {"key": "o_orderkey > 0", "customer": "o_custkey > 0", "status": "o_orderstatus IN ('F', 'O', 'P')", "price": "o_totalprice > 0", "date": "o_orderdate IS NOT NULL", "priority": "o_orderpriority IS NOT NULL", "cheap": "o_totalprice < 400000"},
+    "lineitem": {"order": "l_orderkey > 0", "part": "l_partkey > 0", "supplier": "l_suppkey > 0", "number": "l_linenumber BETWEEN 1 AND 7", "quantity": "l_quantity BETWEEN 1 AND 50", "price": "l_extendedprice > 0", "discount": "l_discount BETWEEN 0 AND 0.1", "tax": "l_tax BETWEEN 0 AND 0.08", "flag": "l_returnflag IN ('A', 'N', 'R')", "status": "l_linestatus IN ('F', 'O')", "unit": "l_extendedprice / l_quantity < 100000", "kept": "l_returnflag <> 'R'"},
+    "events": {"key": "event_id IS NOT NULL", "time": "ts IS NOT NULL", "user": "user_id IS NOT NULL", "type": "event_type IS NOT NULL", "value": "value IS NOT NULL", "props": "props LIKE '{%}'"},
+    "documents": {"key": "doc_id IS NOT NULL", "lang": "length(lang) = 2", "source": "source IS NOT NULL", "chars": "n_chars >= 0", "text": "text IS NOT NULL", "length": "length(text) = n_chars", "long": "n_chars >= 100"},
+    "labels": {"key": "doc_id IS NOT NULL", "quality": "quality IN (0, 1)", "toxic": "toxic IN (0, 1)", "good": "quality = 1 OR toxic = 0"},
+    "pages": {"key": "page_id IS NOT NULL", "url": "url LIKE 'http%'", "html": "html IS NOT NULL", "article": "html LIKE '%<article%'"},
+    "benchmark": {"key": "item_id IS NOT NULL", "text": "length(text) > 0"},
+    "conversations": {"key": "conv_id IS NOT NULL", "turn": "turn >= 0", "role": "role IN ('system', 'user', 'assistant', 'tool')", "text": "text IS NOT NULL"},
+    "embeddings": {"key": "vec_id IS NOT NULL", "vector": "embedding IS NOT NULL"},
+}
+
+
+@query("k27c_row_checks", " UNION ALL ".join(f"SELECT '{t} {n}' AS name, count(*) FILTER (WHERE NOT coalesce({c}, false)) AS failed, count(*) AS n FROM {t}" for t, cs in ASSERTIONS.items() for n, c in cs.items()))
+def k27c(t, s):
+    """All conditions of a table in one pass over it."""
+    out = None
+    for table, checks in ASSERTIONS.items():
+        d = rel.failures(t(table), checks).select(F.concat(F.lit(table + " "), "name").alias("name"), "failed", "n")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 @query("k28_g01_chart", "SELECT c_mktsegment AS seg, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer WHERE c_acctbal > 0 GROUP BY 1 HAVING count(*) > 10 ORDER BY n DESC, seg LIMIT 4")
 def k28(t, s):
     spec = {"where": "c_acctbal > 0", "dimensions": ["c_mktsegment AS seg"], "metrics": {"n": "count(*)", "mean": "round(avg(c_acctbal), 4)"}, "having": "n > 10", "order": [("n", "desc"), ("seg", "asc")], "limit": 4}
     return rel.aggregate(t("customer"), spec)
 
 
-@query("k29_g02_metric_check", "SELECT true AS equal")
+CHARTS = {
+    "orders_by_status": ("orders", {"dimensions": ["o_orderstatus AS label"], "metrics": {"amount": "count(*)"}}),
+    "orders_by_priority": ("orders", {"dimensions": ["o_orderpriority AS label"], "metrics": {"amount": "count(*)"}}),
+    "large_orders_by_year": ("orders", {"where": "o_totalprice > 200000", "dimensions": ["cast(year(o_orderdate) AS string) AS label"], "metrics": {"amount": "count(*)"}}),
+    "customers_by_segment": ("customer", {"dimensions": ["c_mktsegment AS label"], "metrics": {"amount": "count(*)"}}),
+    "customers_in_debt": ("customer", {"where": "c_acctbal < 0", "dimensions": ["c_mktsegment AS label"], "metrics": {"amount": "count(*)"}}),
+    "parts_by_brand": ("part", {"dimensions": ["p_brand AS label"], "metrics": {"amount": "count(*)"}}),
+    "sizes_by_type": ("part", {"dimensions": ["p_type AS label"], "metrics": {"amount": "sum(p_size)"}}),
+    "items_by_flag": ("lineitem", {"dimensions": ["l_returnflag AS label"], "metrics": {"amount": "count(*)"}}),
+    "items_by_line": ("lineitem", {"dimensions": ["cast(l_linenumber AS string) AS label"], "metrics": {"amount": "count(DISTINCT l_orderkey)"}}),
+    "events_by_type": ("events", {"dimensions": ["event_type AS label"], "metrics": {"amount": "count(*)"}}),
+    "users_by_type": ("events", {"dimensions": ["event_type AS label"], "metrics": {"amount": "count(DISTINCT user_id)"}}),
+    "documents_by_language": ("documents", {"dimensions": ["lang AS label"], "metrics": {"amount": "count(*)"}}),
+    "characters_by_source": ("documents", {"dimensions": ["source AS label"], "metrics": {"amount": "sum(n_chars)"}}),
+    "pages_by_kind": ("pages", {"dimensions": ["cast(length(html) > 2000 AS string) AS label"], "metrics": {"amount": "count(*)"}}),
+    "turns_by_role": ("conversations", {"dimensions": ["role AS label"], "metrics": {"amount": "count(*)"}}),
+    "labels_by_class": ("labels", {"dimensions": ["concat(cast(quality AS string), '/', cast(toxic AS string)) AS label"], "metrics": {"amount": "count(*)"}}),
+}
+
+
+def _chart_sql(name, table, spec):
+    label = spec["dimensions"][0].removesuffix(" AS label").replace(" AS string)", " AS VARCHAR)")
+    return f"SELECT '{name}' AS chart, {label} AS label, CAST({spec['metrics']['amount']} AS BIGINT) AS amount FROM {table} WHERE {spec.get('where', 'true')} GROUP BY 1, 2"
+
+
+@query("k28_k29_charts", " UNION ALL ".join(_chart_sql(n, *c) for n, c in CHARTS.items()))
 def k29(t, s):
-    a = rel.aggregate(t("orders"), {"metrics": {"x": "sum(o_totalprice)"}})
-    b = t("orders").groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("p")).agg(F.sum("p").alias("y"))
-    return a.crossJoin(b).select((F.abs(F.col("x") - F.col("y")) <= 1e-6 * F.abs("x")).alias("equal"))  # one row each
+    """Every chart by its specification, each against SQL of its own."""
+    out = None
+    for n, (table, spec) in CHARTS.items():
+        d = rel.aggregate(t(table), spec).select(F.lit(n).alias("chart"), "label", F.col("amount").cast("bigint").alias("amount"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("g02_g03_metric_check", "SELECT chart, sum(amount)::BIGINT AS shown, (SELECT count(*) FROM orders) AS counted, sum(amount) = (SELECT count(*) FROM orders) AS equal FROM (SELECT 'orders_by_status' AS chart, count(*) AS amount FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'orders_by_priority', count(*) FROM orders GROUP BY o_orderpriority UNION ALL SELECT 'large_orders_by_year', count(*) FROM orders WHERE o_totalprice > 200000 GROUP BY year(o_orderdate)) GROUP BY 1")
+def g02(t, s):
+    """Charts of a table against the table's own count."""
+    own = t("orders").agg(F.count("*").alias("counted"))
+    out = None
+    for n in ("orders_by_status", "orders_by_priority", "large_orders_by_year"):
+        d = rel.aggregate(t("orders"), CHARTS[n][1]).agg(F.sum("amount").cast("bigint").alias("shown")).crossJoin(own).select(F.lit(n).alias("chart"), "shown", "counted", (F.col("shown") == F.col("counted")).alias("equal"))  # one row each
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @query("k30_k31_findings", "SELECT 'Largest segment: ' || max_by(c_mktsegment, (n, c_mktsegment)) || ' (' || max(n) || ')' AS finding FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)")
@@ -371,9 +485,10 @@ def m04(t, s):
 
 @query("m06_m07_error_quantiles", "SELECT round(quantile_cont(e, 0.9), 4) AS p90, round(avg(CASE WHEN e <= 0.5 THEN 1.0 ELSE 0 END), 6)::DOUBLE AS within FROM (SELECT abs(o_totalprice - m) / o_totalprice AS e FROM orders, (SELECT quantile_cont(o_totalprice, 0.5) AS m FROM orders) WHERE o_totalprice > 0)")
 def m06(t, s):
-    m = t("orders").agg(F.percentile("o_totalprice", F.lit(0.5)).alias("m"))
+    m = rel.quantiles(t("orders"), [], "o_totalprice", (0.5,)).select(F.col("q")[0].alias("m"))
     d = t("orders").where("o_totalprice > 0").crossJoin(F.broadcast(m)).select((F.abs(F.col("o_totalprice") - F.col("m")) / F.col("o_totalprice")).alias("e"))  # one row
-    return d.agg(F.round(F.percentile("e", F.lit(0.9)), 4).alias("p90"), F.round(F.avg((F.col("e") <= 0.5).cast("double")), 6).alias("within"))
+    p90 = rel.quantiles(d, [], "e", (0.9,)).select(F.round(F.col("q")[0], 4).alias("p90"))
+    return p90.crossJoin(d.agg(F.round(F.avg((F.col("e") <= 0.5).cast("double")), 6).alias("within")))  # one row each
 
 
 @query("j09b_title_similarity", "WITH w AS (SELECT doc_id, source, lang, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(strip_accents(text[:200])), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) > 3)) AS k FROM documents WHERE n_chars > 100) SELECT a.doc_id AS a, b.doc_id AS b FROM w a JOIN w b ON a.lang = b.lang AND a.source <> b.source AND a.doc_id < b.doc_id WHERE len(list_intersect(a.k, b.k)) >= 0.6 * len(list_distinct(list_concat(a.k, b.k)))")

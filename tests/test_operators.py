@@ -112,3 +112,30 @@ def test_a_pointer_is_written_once(spark, tmp_path):
     with pytest.raises(ValueError):
         v._point(2, {"version": 2})
     assert v.read().count() == 5 and v.read(1).count() == 3 and v.properties() == {"a": "1", "b": "2"}
+
+
+def test_cross_validation_by_normal_equations(spark):
+    """Coefficients of every fold and ridge against numpy on the rows themselves; predictions and errors follow."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), str(a), str(b), int(f), float(0.3 * a - 0.2 * b + rng.normal())) for i, (a, b, f) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(0, 4, 300), rng.integers(0, 5, 300), strict=True))]
+    d = model.terms(spark.createDataFrame(rows, "id int, a string, b string, fold int, y double"), ["a", "b"])
+    got = model.fit_folds(d, "y", (5.0, 0.1))
+    data = [(r["fold"], r["terms"], r["y"]) for r in d.collect()]
+    names = sorted({t for _, ts, _ in data for t in ts} | {""})
+    x = np.array([[1.0 if n == "" or n in ts else 0.0 for n in names] for _, ts, _ in data])
+    y, fold = np.array([v for *_, v in data]), np.array([f for f, *_ in data])
+    for f in range(5):
+        for k, ridge in enumerate((5.0, 0.1)):
+            a, b = x[fold != f], y[fold != f]
+            want = np.linalg.solve(a.T @ a + np.diag([0.0 if n == "" else ridge for n in names]), a.T @ b)
+            assert np.allclose([got[f][n][k] for n in names], want, atol=1e-9)
+    p = model.predict_folds(d, got, 2).select("fold", "terms", "predictions").collect()
+    assert all(abs(r["predictions"][0] - sum(got[r["fold"]][t][0] for t in ["", *r["terms"]])) < 1e-9 for r in p)
+
+
+def test_choice_and_bootstrap():
+    assert model.chosen([("a", 1.0), ("b", 0.9995), ("c", 0.99), ("d", 0.9895)]) == ("c", 0.99)
+    same = model.paired_bootstrap([(1.0, 1.0, 5)] * 20)
+    assert (same["difference"], same["low"], same["high"]) == (0.0, 0.0, 0.0)
+    better = model.paired_bootstrap([(1.0 + 0.01 * k, 2.0, 10) for k in range(30)])
+    assert better["high"] < 0 and better["not_larger"] == 1.0 and better["low"] <= better["difference"] <= better["high"]
