@@ -216,7 +216,7 @@ class Shard:
 def bounds(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
     """First keys of the shards after the first: the cluster sorts keys and adds up lengths; rows of a key stay together."""
     spark = rows.sparkSession
-    keys = rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"))
+    keys = stored(rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size")), "token-keys")  # texts are read for it once
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     limit = max(shard_bytes, -(-total // MOST_SHARDS))
     if total <= limit:

@@ -57,7 +57,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         tokens = spec.get("added_tokens", []) if added else []
-        self.added = re.compile("|".join(re.escape(x["content"]) for x in tokens)) if tokens else None
+        self.added = [x["content"] for x in tokens]
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -162,7 +162,7 @@ class Encoder:
             return []
         if self.fast is None:
             return self._library(texts)
-        if self.added and (held := [i for i, t in enumerate(texts) if self.added.search(t)]):
+        if held := [i for i, t in enumerate(texts) if any(x in t for x in self.added)]:
             rest = set(range(len(texts))).difference(held)
             out = dict(zip(held, self._library([texts[i] for i in held]), strict=True))
             out |= dict(zip(sorted(rest), self.encode([texts[i] for i in sorted(rest)]), strict=True))
