@@ -31,6 +31,8 @@ from tessera.llm.common import hinted, stored, table, texts
 BLOCK = 4096
 #: Strings that a part of a regex may stand for before it counts as anything.
 MOST = 64
+#: Matches of a text whose spans are appended to one list; such lists are joined at the end.
+RUN = 128
 
 
 @dataclass(frozen=True)
@@ -158,14 +160,21 @@ def matches(text: Column, rule: Rule) -> Column:
     counted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     between = F.split(text, rule.java(), -1)
     steps = F.zip_with(F.slice(between, 1, F.size(whole)), F.arrays_zip(whole.alias("w"), counted.alias("c")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["w"]).alias("n"), F.length(m["c"]).alias("c")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(s, x):
         a = s["at"] + x["gap"]
         span = F.array(F.struct(a.alias("start"), (a + x["n"]).alias("end")))
         return F.struct((a + x["n"]).alias("at"), F.when(x["c"] >= rule.least, F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
 
-    return F.when(F.size(whole) > 0, F.aggregate(steps, start, step)["out"]).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    def run(s, first):
+        """RUN matches from the first on: appending copies what was appended before, so runs are kept apart until the end."""
+        got = F.aggregate(F.slice(steps, first, F.lit(RUN)), F.struct(s["at"].alias("at"), none.alias("out")), step)
+        return F.struct(got["at"].alias("at"), F.concat(s["out"], F.array(got["out"])).alias("out"))
+
+    runs = F.sequence(F.lit(1), F.size(whole), F.lit(RUN))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("out"))
+    return F.when(F.size(whole) > 0, F.flatten(F.aggregate(runs, start, run)["out"])).otherwise(none)
 
 
 def named(spans: Column, number: int, kind: str) -> Column:

@@ -78,6 +78,22 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_op1_columns(spark, tmp_path):
+    """The query's own columns against Python's regexes; texts of one, some and many runs of matches, failing ones among them."""
+    rng = random.Random(3)
+    bit = lambda: rng.choice(["deadbeef" * rng.randint(1, 4) + "é", "token: " + "x" * rng.randint(8, 15), "AKIA" + "Z" * rng.randint(10, 18)])
+    rows = [(i, " ".join(bit() for _ in range(n))) for i, n in enumerate([0, 1, 5, secrets.RUN, secrets.RUN + 1, 3 * secrets.RUN, 2000])] + [(50, None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in secrets.op1(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        kinds = list(PYTHON)
+        want = sorted((m.start(), kinds.index(k), m.end()) for k, (p, g, n) in PYTHON.items() for m in re.finditer(p, t or "") if len(m[g]) >= n)
+        joined = ",".join(f"{kinds[k]}:{a}:{z}" for a, k, z in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in kinds] == [sum(x[1] == n for x in want) for n in range(3)] and got[i]["spans"] == joined
+
+
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r) for r in secrets.RULES}
     assert frozenset({"tok", "oke", "ken"}) in q["assign"] and q["access"] == {frozenset({"aki", "kia"})}
