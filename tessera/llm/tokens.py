@@ -5,10 +5,10 @@ Its own encoder takes more than the time at hand, so the same merges also run
 in tiktoken's faster loop, built from the vocabulary in the tokenizer's file:
 
 * byte-level vocabularies: the whole text at once;
-* vocabularies with word ends: lines of plain words run in the fast loop with
-  a marker byte as word end. Other lines are cut at single spaces, where such a
-  tokenizer certainly starts anew; plain words again take the fast loop, all
-  others the library, and a worker keeps the ids of words that come again.
+* vocabularies with word ends: texts are cut at spaces and line ends, where
+  such a tokenizer starts anew. A worker keeps the ids of words that come again;
+  new plain words take the fast loop with a marker byte as word end, all others
+  the library.
 
 A text that holds the string of an added token goes to the library whole, for
 the loops cannot produce such a token. Each worker first encodes its first texts both ways and stays with the library
@@ -19,18 +19,17 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 from array import array
 from functools import lru_cache
 
 import numpy as np
 
-SPACE = re.compile(r"\s\s|^\s|\s$")
-CUT = re.compile(r"(?<=\S) (?=\S)")
-#: In a line: punctuation that does not end a word, odd spaces, letters whose lower case depends on their place.
-ODD = re.compile(r"[,.](?=[^ ])|(?:^| )[,.]|^ | $|  |[\u03a3\u0130]")
 MARK = "\x00"
+#: What may stand behind a plain word, as one piece; an apostrophe can begin a piece of its own.
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Characters of text that are cut into words at a time.
+SEGMENT = 1 << 20
 #: Words in the young half of a worker's cache; what is used again moves over from the old half.
 WORDS = 250_000
 #: Longer words are encoded each time.
@@ -45,6 +44,15 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
 
 
+def segments(text: str):
+    """The text in parts of some SEGMENT characters, cut at spaces."""
+    at = 0
+    while len(text) - at > SEGMENT and (end := text.find(" ", at + SEGMENT)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:] if at else text
+
+
 class Encoder:
     """texts -> little-endian unsigned 32-bit ids. Strings of special tokens in a text are those tokens with added, else text."""
 
@@ -91,14 +99,14 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
     def _plain(self, word: str) -> str | None:
-        """The word with marks after its parts, if it is letters, perhaps with one comma or full stop behind."""
-        body, tail = (word[:-1], word[-1]) if word[-1:] in (",", ".") else (word, "")
+        """The word with marks after its parts, if it is letters, perhaps with punctuation behind."""
+        body = word.rstrip(PUNCTUATION)
         if not body.isalpha():
             return None
         low = body.lower()
-        if not body.isascii() and (low != body or not unicodedata.is_normalized("NFC", body)):
+        if not body.isascii() and not ((low == body or (max(body) < "\u0250" and "\u0130" not in body)) and unicodedata.is_normalized("NFC", body)):
             return None
-        return f"{low}{MARK}{tail}{MARK}" if tail else low + MARK
+        return f"{low}{MARK}{word[len(body) :]}{MARK}" if len(body) < len(word) else low + MARK
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         marked = [self._plain(x) for x in words] if self.fast else [None] * len(words)
@@ -115,45 +123,39 @@ class Encoder:
                 at = end
         return out
 
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        cut = [CUT.split(t) if SPACE.search(t) else t.split(" ") for t in texts]
+    def _cut(self, segments: list[str]) -> list[bytes]:
+        """The ids of segments, word by word."""
+        cut = [x.split(" ") for x in segments]
         if len(self.young) > WORDS:
             self.young, self.old = {}, self.young
         missing = set().union(*cut).difference(self.young)
-        kept = missing.intersection(self.old)
+        kept = {x for x in missing if x in self.old}  # intersection() would walk through all of old
         self.young.update({x: self.old[x] for x in kept})
         found = self._words(list(missing - kept))
-        self.young.update({k: v for k, v in found.items() if len(k) <= LONGEST})
-        known = self.young if all(len(k) <= LONGEST for k in found) else self.young | found
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
-
-    def _line(self, line: str) -> str | None:
-        """A line of plain words with marks after its parts; None if it needs more care."""
-        if ODD.search(line) or not line.replace(" ", "").replace(",", "").replace(".", "").isalpha():
-            return None
-        if not line.isascii() and not unicodedata.is_normalized("NFC", line):
-            return None
-        return line.lower().replace(",", MARK + ",").replace(".", MARK + ".").replace(" ", MARK) + MARK
-
-    def _by_lines(self, texts: list[str]) -> list[bytes]:
-        """Lines of plain words in the fast loop; the others by words."""
-        marked = [[(line, self._line(line)) for line in t.split("\n") if line] for t in texts]
-        odd = list(dict.fromkeys(line for lines in marked for line, m in lines if m is None))
-        known = dict(zip(odd, self._by_words(odd), strict=True))
-        out = []
-        for lines in marked:
-            parts, run = [], []
-            for line, m in [*lines, ("", None)]:
-                if m is not None:
-                    run.append(m)
-                    continue
-                if run:
-                    parts.append(self.ids[self.fast.encode_to_numpy("".join(run))].tobytes())
-                    run = []
-                parts.append(known.get(line, b""))
-            out.append(b"".join(parts))
+        self.young.update(found)
+        out = [b"".join(map(self.young.__getitem__, c)) for c in cut]
+        for x in [x for x in found if len(x) > LONGEST]:
+            del self.young[x]
         return out
 
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        out, group, size = [[] for _ in texts], [], 0
+
+        def put():
+            for (i, _), ids in zip(group, self._cut([x for _, x in group]), strict=True):
+                out[i].append(ids)
+
+        for i, t in enumerate(texts):
+            for x in segments(t.replace("\n", " ")):
+                group.append((i, x))
+                size += len(x)
+                if size >= SEGMENT:
+                    put()
+                    group, size = [], 0
+        if group:
+            put()
+        return [b"".join(x) for x in out]
+
     def _by_text(self, texts: list[str]) -> list[bytes]:
         return [array("I", self.fast.encode_ordinary(t)).tobytes() for t in texts]
 
@@ -167,7 +169,7 @@ class Encoder:
             out = dict(zip(held, self._library([texts[i] for i in held]), strict=True))
             out |= dict(zip(sorted(rest), self.encode([texts[i] for i in sorted(rest)]), strict=True))
             return [out[i] for i in range(len(texts))]
-        out = (self._by_lines if self.suffix else self._by_text)(texts)
+        out = (self._by_words if self.suffix else self._by_text)(texts)
         if self.tried < TRIED:
             self.tried += len(texts)
             if self._library(texts[:TRIED]) != out[:TRIED]:

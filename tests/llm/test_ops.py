@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import chat, decontaminate, exact_dedup, html_extract, lm, near_dup, packing, ranges, secrets, token_store, toxicity
+from tessera.llm import chat, decontaminate, exact_dedup, html_extract, lm, near_dup, packing, ranges, secrets, token_store, tokens, toxicity
 from tessera.llm.tokens import Encoder, encoder
 
 CLASH = "doc_id long, text string, row_key long, text_key long, sha binary, rules long, shard long, n int, w string, __d long, __n int"
@@ -56,6 +56,19 @@ def test_added_tokens_as_the_library_gives_them(name):
     assert e.fast is not None and max(np.frombuffer(e.encode(texts[:1])[0], "<u4")) == t.token_to_id("<|endoftext|>")
 
 
+def test_words_equal_library_on_random_texts(monkeypatch):
+    """Odd spaces, letters that change with case or NFC, punctuation and added tokens; small segments and a cache that turns over."""
+    monkeypatch.setattr(tokens, "SEGMENT", 40)
+    monkeypatch.setattr(tokens, "WORDS", 500)
+    rng, path = random.Random(5), public_tokenizers.path("word_bpe_49k.json")
+    parts = [*"abcXYZ  \n\n\t ,.'!&*$<|>-_09éÉßẞİıΣσςÀÑñŁĳŉǅ¼²ªḿ中한ก\u0301\u0307\u0327\u0085\u00a0\u2003\u200b\x00\x1c", "'s", "'ll", "<|endoftext|>", "the", "ing", "w" * 70]
+    e, library = Encoder(path, True), Tokenizer.from_file(path)
+    for _ in range(20):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(50)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert e.fast is not None and e.old
+
+
 # ---- 1 secrets ----
 
 PYTHON = {
