@@ -2,7 +2,7 @@
 
 
 def all_queries() -> dict:
-    from tessera.plans import domain, relational, rules, silver, storage  # noqa: F401  they register
+    from tessera.plans import domain, records, relational, rules, silver, storage  # noqa: F401  they register
     from tessera.plans.registry import QUERIES
 
     return QUERIES

@@ -491,19 +491,6 @@ def m06(t, s):
     return p90.crossJoin(d.agg(F.round(F.avg((F.col("e") <= 0.5).cast("double")), 6).alias("within")))  # one row each
 
 
-@query("j09b_title_similarity", "WITH w AS (SELECT doc_id, source, lang, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(strip_accents(text[:200])), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) > 3)) AS k FROM documents WHERE n_chars > 100) SELECT a.doc_id AS a, b.doc_id AS b FROM w a JOIN w b ON a.lang = b.lang AND a.source <> b.source AND a.doc_id < b.doc_id WHERE len(list_intersect(a.k, b.k)) >= 0.6 * len(list_distinct(list_concat(a.k, b.k)))")
-def j09b(t, s):
-    """Titles (the first 200 characters) alike by words; candidates share one of a title's rarest words, by hash order a prefix that a match must touch."""
-    k = F.array_distinct(F.filter(F.split(tx.fold(F.substring("text", 1, 200)), " "), lambda x: F.length(x) > 3))
-    w = t("documents").where("n_chars > 100").select("doc_id", "source", "lang", k.alias("k")).where(F.size("k") > 0)
-    order = F.transform(F.array_sort(F.transform("k", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("w")))), lambda x: x["w"])
-    p = w.withColumn("p", F.explode(F.slice(order, F.lit(1), F.size("k") - F.ceil(F.size("k") * 0.6).cast("int") + 1)))
-    a, b = p.alias("a"), p.alias("b")
-    j = a.join(b, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.source") != F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    both = F.size(F.array_intersect("a.k", "b.k"))
-    return j.where(both >= 0.6 * F.size(F.array_union("a.k", "b.k"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-
-
 @query("j09c_text_similarity")
 def j09c(t, s):
     """Documents of a language and different sources whose sets of words of more than three characters, over whole texts, have a Jaccard

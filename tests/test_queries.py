@@ -63,5 +63,3 @@ def test_text_similarity_over_whole_texts(spark, tmp_path):
     alike = lambda a, b: sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and a[3] != b[3] and alike(a[0], b[0])}
     assert got == want and got
-    cut = {(r["a"], r["b"]) for r in QUERIES["j09b_title_similarity"](spark, str(tmp_path)).collect()}
-    assert want - cut and cut - want  # the beginnings alone lose pairs and report others
