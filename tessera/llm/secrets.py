@@ -167,14 +167,16 @@ def matches(text: Column, rule: Rule) -> Column:
         span = F.array(F.struct(a.alias("start"), (a + x["n"]).alias("end")))
         return F.struct((a + x["n"]).alias("at"), F.when(x["c"] >= rule.least, F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
 
-    def run(s, first):
+    def run(held, s, first):
         """RUN matches from the first on: appending copies what was appended before, so runs are kept apart until the end."""
-        got = F.aggregate(F.slice(steps, first, F.lit(RUN)), F.struct(s["at"].alias("at"), none.alias("out")), step)
+        got = F.aggregate(F.slice(held, first, F.lit(RUN)), F.struct(s["at"].alias("at"), none.alias("out")), step)
         return F.struct(got["at"].alias("at"), F.concat(s["out"], F.array(got["out"])).alias("out"))
 
     runs = F.sequence(F.lit(1), F.size(whole), F.lit(RUN))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("out"))
-    return F.when(F.size(whole) > 0, F.flatten(F.aggregate(runs, start, run)["out"])).otherwise(none)
+    # bound by a lambda: as an expression in the loop the text would be searched again for each run
+    once = F.transform(F.array(steps), lambda held: F.aggregate(runs, start, lambda s, first: run(held, s, first))["out"])
+    return F.when(F.size(whole) > 0, F.flatten(F.get(once, F.lit(0)))).otherwise(none)
 
 
 def named(spans: Column, number: int, kind: str) -> Column:
