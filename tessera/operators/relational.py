@@ -104,6 +104,17 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...
     return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("q"))  # one entry a share
 
 
+def discrete_quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """(by, names): of each name's (value, num, den) the least value with at least num / den of a group's values not above it, exactly;
+    null where a group has none. NaN is the greatest. What moves are counts of different values, ordered within a group."""
+    each = F.array(*[F.struct(F.lit(k).alias("i"), F.col(c).cast("double").alias("x")) for k, (c, _, _) in enumerate(wanted.values())])
+    counts = df.select(*by, F.explode(each).alias("s")).groupBy(*by, F.col("s.i").alias("i"), F.col("s.x").alias("x")).agg(F.count("s.x").alias("k"))
+    w = Window.partitionBy(*by, "i")
+    upto = counts.withColumns({"upto": F.sum("k").over(w.orderBy("x")), "all": F.sum("k").over(w)}).where("k > 0 OR all = 0")
+    least = lambda k, c, num, den: F.min(F.when((F.col("i") == k) & (F.col("upto") * den >= F.col("all") * num), F.col("x"))).cast(df.schema[c].dataType)
+    return upto.groupBy(*by).agg(*[least(k, *q).alias(n) for k, (n, q) in enumerate(wanted.items())])
+
+
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """df with place, from 0, in the whole order: ranges are sorted apart, and a count for each says where it begins."""
     spark = df.sparkSession
