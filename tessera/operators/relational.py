@@ -181,6 +181,53 @@ def mutual_best(pairs: DataFrame, a: str, b: str, source_a: str, source_b: str,
     return pairs.withColumns({"_x": F.row_number().over(one), "_y": F.row_number().over(two)}).where("_x = 1 AND _y = 1").drop("_x", "_y")
 
 
+def nearest(left: DataFrame, right: DataFrame, n: int = 1, digits: int | None = None, other: bool = False) -> DataFrame:
+    """(a, b, gap): for each row of left (g, v, k) candidates of right (g, v, k) in the same g, among them all of the n best by gap = |difference
+    of v|, then by k; missing gaps last. digits rounds gaps before they are compared, other leaves out b = a. One row stands for equal v.
+
+    No pairs within a group: different values in order show the next ones on both sides, values that are no number meet one
+    row for each kind. Values that rounding makes as near as the nearest are found by cells of that width.
+    """
+    depth = n + other
+    odd = lambda c: F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True))
+    left, right = (d.select("g", F.col("v").cast("double").alias("v"), "k").where("g IS NOT NULL" + (" AND k IS NOT NULL" if other else "")) for d in (left, right))
+    copies = right.groupBy("g", "v", "k").agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("c"))
+
+    def smallest(d: DataFrame, v: Column, *by: str) -> DataFrame:
+        """The depth smallest keys of each group, with how often each counts."""
+        first = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("k")))).where(f"_r <= {depth}")
+        return first.groupBy(*by).agg(F.collect_list(F.struct("k", "c")).alias("ks"), v.alias("w"))
+
+    targets = stored(smallest(copies, F.first("v"), "g", "v").select("g", F.col("w").alias("v"), "ks"), "nearest-targets")
+    asked = left.select("g", "v").distinct()
+    # other values in order
+    up, down = Window.partitionBy("g").orderBy("v"), Window.partitionBy("g").orderBy(F.desc("v"))
+    me = F.struct("v", "ks")
+    beside = lambda w: F.filter(F.array(me, *[F.lag(me, i).over(w) for i in range(1, depth)]), lambda x: x.isNotNull())
+    marks = targets.where(~odd(F.col("v"))).select("g", "v", beside(up).alias("low"), beside(down).alias("high"), F.lit(False).alias("ask"))
+    none = F.lit(None).cast(marks.schema["low"].dataType)
+    points = marks.unionByName(asked.where(~odd(F.col("v"))).select("g", "v", none.alias("low"), none.alias("high"), F.lit(True).alias("ask")))
+    points = points.groupBy("g", "v").agg(F.first("low", True).alias("low"), F.first("high", True).alias("high"), F.max("ask").alias("ask"))
+    points = points.withColumns({"low": F.last("low", True).over(up), "high": F.last("high", True).over(down)}).where("ask")
+    found = points.select("g", "v", F.explode(F.array_distinct(F.concat(F.coalesce("low", F.array()), F.coalesce("high", F.array())))).alias("t")).select("g", "v", F.col("t.v").alias("w"), F.col("t.ks").alias("ks"))
+    gap = F.abs(F.col("v") - F.col("w"))
+    gap = gap if digits is None else F.round(gap, digits)
+    if digits is not None:
+        cell = lambda c: F.floor(c * 10.0**digits)
+        best = found.groupBy("g", "v").agg(F.min(gap).alias("best"))
+        cells = F.array_distinct(F.flatten(F.array(*[F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d, x=x: cell(x) + d) for x in (F.col("v") - F.col("best"), F.col("v") + F.col("best"))])))
+        there = targets.where(~odd(F.col("v"))).select(F.col("g").alias("h"), F.col("v").alias("w"), "ks", cell(F.col("v")).alias("at"))
+        also = best.withColumn("cell", F.explode(cells)).join(there, (F.col("g") == F.col("h")) & (F.col("cell") == F.col("at"))).where(gap == F.col("best")).select("g", "v", "w", "ks")
+        found = found.unionByName(also)
+    # kinds of values that are no number, and the numbers as one kind
+    kinds = targets.where(odd(F.col("v"))).select("g", F.col("v").alias("w"), "ks").unionByName(smallest(copies.where(~odd(F.col("v"))), F.first("v"), "g").select("g", "w", "ks"))
+    far = asked.join(kinds, "g").where(odd(F.col("v")) | odd(F.col("w"))).select("g", "v", "w", "ks")
+    each = found.unionByName(far).select("g", "v", "w", gap.alias("gap"), F.explode("ks").alias("s")).distinct()
+    each = each.select(F.col("g").alias("h"), F.col("v").alias("x"), "gap", F.col("s.k").alias("b"), F.explode(F.array_repeat(F.lit(0), F.col("s.c"))).alias("copy"))
+    out = left.join(each, (F.col("g") == F.col("h")) & F.col("v").eqNullSafe(F.col("x"))).select(F.col("k").alias("a"), "b", "gap")
+    return out.where("a <> b") if other else out
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """rows and two order-independent sums of row hashes: equal for equal multisets, whatever the order or partitioning."""
     h = F.conv(F.substring(F.md5(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})), 1, 12), 16, 10).cast("bigint")
