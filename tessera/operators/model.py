@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import quantiles
+
 
 def terms(df: DataFrame, factors: list[str]) -> DataFrame:
     """df with terms: factor=value strings, the most frequent value of each factor (ties by name) left out as reference.
@@ -120,12 +122,18 @@ def predict(df: DataFrame, coefficients: dict[str, tuple[float, float]]) -> Data
     return df.withColumn("predicted", F.aggregate(F.concat(F.array(F.lit("")), "terms"), F.lit(0.0), lambda s, t: s + F.coalesce(of[t], F.lit(0.0))))
 
 
-def metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """n, mae, mape, median_ape and r2_log of positive values."""
-    a, p = F.col(actual), F.col(predicted)
-    la, lp = F.ln(a), F.ln(p)
-    ape = F.abs(p - a) / a
-    return df.agg(F.count("*").alias("n"), F.avg(F.abs(p - a)).alias("mae"), F.avg(ape).alias("mape"), F.percentile(ape, F.lit(0.5)).alias("median_ape"), (1 - F.sum(F.pow(la - lp, 2)) / F.nullif(F.var_pop(la) * F.count("*"), F.lit(0.0))).alias("r2_log"))
+def metrics(df: DataFrame, actual: str, *predicted: str) -> DataFrame:
+    """which, n, mae, mape, median_ape and r2_log of positive values, a row for each prediction; df should be stored. No task holds the errors."""
+    a = F.col(actual)
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("which"), F.col(p).cast("double").alias("p")) for p in predicted]))
+    d = df.select(a.alias("a"), each.alias("s")).select("a", "s.which", "s.p")
+    d = d.withColumn("ape", F.abs(F.col("p") - F.col("a")) / F.col("a"))
+    la, lp = F.ln("a"), F.ln("p")
+    r2 = 1 - F.sum(F.pow(la - lp, 2)) / F.nullif(F.var_pop(la) * F.count("*"), F.lit(0.0))
+    sums = d.groupBy("which").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("p") - F.col("a"))).alias("mae"), F.avg("ape").alias("mape"), r2.alias("r2_log"))
+    every = df.sparkSession.createDataFrame([(p,) for p in predicted], "which string")
+    median = quantiles(d, ["which"], "ape", (0.5,)).select("which", F.col("q")[0].alias("median_ape"))
+    return every.join(F.broadcast(sums), "which", "left").join(F.broadcast(median), "which", "left").select("which", F.coalesce("n", F.lit(0)).alias("n"), "mae", "mape", "median_ape", "r2_log")  # a row a prediction
 
 
 # ---- tests on counts ----

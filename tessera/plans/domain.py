@@ -11,7 +11,7 @@ from tessera.operators import graph, history, model
 from tessera.operators import relational as rel
 from tessera.plans.registry import query
 from tessera.plans.relational import BAND_SQL
-from tessera.sources.tables import Versions, scratch
+from tessera.sources.tables import Versions, scratch, stored
 
 
 def observations(t):
@@ -186,8 +186,8 @@ def fitted(t):
 @query("k12_price_model_metrics")
 def k12(t, s):
     d, beta = fitted(t)
-    out = model.predict(d.where("NOT train"), beta).withColumn("predicted", F.exp("predicted"))
-    return model.metrics(out, "price", "predicted").select("n", *[F.round(c, 4).alias(c) for c in ("mae", "mape", "median_ape", "r2_log")])
+    out = model.predict(d.where("NOT train"), beta).select("price", F.exp("predicted").alias("predicted"))
+    return model.metrics(stored(out, "predicted"), "price", "predicted").select("n", *[F.round(c, 4).alias(c) for c in ("mae", "mape", "median_ape", "r2_log")])
 
 
 @query("k12i_price_model_coefficients")
@@ -209,21 +209,18 @@ def k12c(t, s):
 def k12g(t, s):
     """Test rows by the median of the finest group of training rows with 20 or more, by the model, and by both at weight 0.7."""
     d, beta = fitted(t)
-    d = d.withColumn("key", F.monotonically_increasing_id())
     levels = [["p_brand", "p_type", "size_band"], ["p_brand", "p_type"], ["p_brand"], []]
-    out = d.where("NOT train")
+    rows = stored(d.select("p_brand", "p_type", "size_band", "price", "train", "terms"), "offers")
+    train, out = rows.where("train"), rows.where("NOT train")
     for k, keys in enumerate(levels):
-        m = rel.quantiles(d.where("train"), keys, "price", (0.5,)).select(*keys, F.col("q")[0].alias(f"m{k}"))
-        n = d.where("train").groupBy(*keys).agg(F.count("*").alias(f"n{k}"))
+        m = rel.quantiles(train, keys, "price", (0.5,)).select(*keys, F.col("q")[0].alias(f"m{k}"))
+        n = train.groupBy(*keys).agg(F.count("*").alias(f"n{k}"))
         g = m.join(n, keys) if keys else m.crossJoin(n)  # one row each
         out = out.join(g, keys, "left") if keys else out.crossJoin(F.broadcast(g))
     base = F.coalesce(*[F.when(F.col(f"n{k}") >= 20, F.col(f"m{k}")) for k in range(len(levels))], F.col(f"m{len(levels) - 1}"))
     out = model.predict(out, beta).withColumns({"baseline": base, "model": F.exp("predicted")}).withColumn("blend", model.blended(F.col("model"), F.col("baseline"), 0.7))
-    rows = None
-    for which in ("baseline", "model", "blend"):
-        m = model.metrics(out, "price", which).select(F.lit(which).alias("which"), "n", *[F.round(c, 4).alias(c) for c in ("mae", "mape", "median_ape", "r2_log")])
-        rows = m if rows is None else rows.unionByName(m)
-    return rows
+    three = ("baseline", "model", "blend")
+    return model.metrics(stored(out.select("price", *three), "predicted"), "price", *three).select("which", "n", *[F.round(c, 4).alias(c) for c in ("mae", "mape", "median_ape", "r2_log")])
 
 
 RIDGES, WEIGHTS = (10.0, 1.0, 0.1), (0.0, 0.5, 1.0)
@@ -231,8 +228,6 @@ RIDGES, WEIGHTS = (10.0, 1.0, 0.1), (0.0, 0.5, 1.0)
 
 def cross_validated(t):
     """Offers with out-of-fold predictions for each ridge and their out-of-fold brand mean, terms stored once."""
-    from tessera.sources.tables import stored
-
     d = stored(model.terms(priced(t).withColumn("fold", v.hash_split(F.col("id"), 5)), ["p_brand", "p_type"]), "terms")
     sums = d.groupBy("p_brand", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("c"))
     whole = sums.groupBy(F.col("p_brand").alias("brand")).agg(F.sum("s").alias("all_s"), F.sum("c").alias("all_c"))
