@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import values as v
-from tessera.operators import graph, history, model
+from tessera.operators import graph, history, model, sweep
 from tessera.operators import relational as rel
 from tessera.plans.registry import query
 from tessera.plans.relational import BAND_SQL
@@ -121,10 +121,8 @@ e AS (SELECT a, b FROM m UNION SELECT b, a FROM m), c AS (SELECT a AS node, a AS
 
 
 def duplicate_groups(t):
-    d = t("customer").where("c_acctbal > 0")
-    p = rel.close_pairs(d, "c_custkey", ["c_nationkey"], {"c_acctbal": 0.02}, F.col("l.c_mktsegment") != F.col("r.c_mktsegment"))
-    p = p.select(F.col("l.c_custkey").alias("a"), F.col("r.c_custkey").alias("b"), F.col("l.c_mktsegment").alias("sa"), F.col("r.c_mktsegment").alias("sb"), F.round(F.abs(F.col("l.c_acctbal") - F.col("r.c_acctbal")), 2).alias("gap"))
-    return graph.components(rel.mutual_best(p, "a", "b", "sa", "sb", [F.asc("gap")]))
+    d = t("customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("s"), F.col("c_acctbal").alias("v"))
+    return graph.components(sweep.mutual_close(d, 0.02))
 
 
 @query("k04_duplicate_groups", DUP + " SELECT root, count(*) AS n, CASE WHEN count(DISTINCT c_mktsegment) = count(*) THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status, max_by(c_custkey, (c_acctbal, -c_custkey)) AS representative FROM g JOIN customer ON c_custkey = node GROUP BY 1")
