@@ -499,7 +499,11 @@ def j09c(t, s):
     most = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least(F.col("a.at"), F.col("b.at")) - 1
     fits = (5 * F.least("a.n", "b.n") >= 3 * F.greatest("a.n", "b.n")) & (8 * most >= 3 * (F.col("a.n") + F.col("b.n")))
     j = a.join(b, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.source") != F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id")) & fits)
-    pairs = j.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.col("a.lang").alias("lang")).distinct()
+    # what a pair has in common: the words that both prefixes hold, and at most one side's words after its prefix
+    after = lambda x: F.ceil(F.col(f"{x}.n") * 3 / 5) - 1
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * 3 / 8) - F.greatest(after("a"), after("b"))
+    met = j.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.xxhash64("a.lang").alias("of"), need.cast("int").alias("need"))
+    pairs = stored(met.groupBy("a", "b", "of").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b").distinct(), "pairs")
     l, r = w.select(F.col("doc_id").alias("a"), "lang", F.col("source").alias("sa"), F.col("k").alias("ka")), w.select(F.col("doc_id").alias("b"), "lang", F.col("source").alias("sb"), F.col("k").alias("kb"))
-    whole = pairs.join(l, ["a", "lang"]).join(r, ["b", "lang"]).where("sa <> sb")
+    whole = pairs.join(l, "a").join(r.withColumnRenamed("lang", "lang_b"), "b").where("lang = lang_b AND sa <> sb")
     return whole.where(5 * F.size(F.array_intersect("ka", "kb")) >= 3 * F.size(F.array_union("ka", "kb"))).select("a", "b").distinct()
