@@ -47,8 +47,8 @@ def work(spark: SparkSession):
     with noted() as paths:
         kept: list[DataFrame] = []
 
-        def keep(df: DataFrame, name: str) -> DataFrame:
-            out = stored(df, name)
+        def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+            out = stored(df, name, codec)
             kept.append(paths.pop())
             return out
 

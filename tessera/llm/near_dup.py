@@ -20,7 +20,8 @@ apart by SHA-256.
    inverted lists, counts overlaps exactly and joins what links. Where more sets
    have one such hash than a tile takes, one set of each joined group goes on into
    new tiles, again and again, so a group of near copies comes together in
-   rounds that shrink and not by visits of all to all tiles.
+   rounds that shrink and not by visits of all to all tiles. Tiles are written with
+   their sets; what becomes of chiefs is a narrow table, broadcast while it has few rows.
    Then sets visit tiles with which they share one of the rarest shingles that
    a link must touch (prefix by a fixed-size frequency sketch, an order only)
    and that hold sets of another group: under each shingle the sets of its
@@ -48,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHash, batch, byte_list, hinted, pack, planes, stored, table, texts, tidied, unplanes, work
+from tessera.llm.common import BROADCAST_ROWS, WordHash, batch, byte_list, hinted, pack, planes, stored, table, texts, tidied, unplanes, work
 from tessera.llm.ranges import ASK, Kind, exchange
 from tessera.operators.graph import components
 
@@ -311,13 +312,13 @@ class Groups(dict):
         return x != y
 
 
-HOMES = pa.schema([("set_id", pa.int64()), ("tile", pa.int64()), ("chief", pa.int64())])
-HOMES_DDL = "set_id long, tile long, chief long"
+HOMES = pa.schema([("set_id", pa.int64()), ("n", pa.int32()), ("unit", pa.int64()), ("tile", pa.int64()), ("chief", pa.int64()), ("body", pa.binary())])
+HOMES_DDL = "set_id long, n int, unit long, tile long, chief long, body binary"
 
 
 def settled(batches):
-    """Rows (tile, set_id, body), sorted by tile: each set's chief, the set with most links of its group in the tile."""
-    now, ids, bodies = None, [], []
+    """Rows (tile, set_id, unit, body), sorted by tile: each set with its chief, the set with most links of its group in the tile."""
+    now, ids, units, bodies = None, [], [], []
 
     def settle():
         if not ids:
@@ -334,56 +335,70 @@ def settled(batches):
         chief: dict[int, int] = {}
         for i in sorted(range(len(ids)), key=lambda i: (-links_of[i], ids[i])):
             chief.setdefault(groups.top(i), i)
-        return batch(HOMES, ids, [now] * len(ids), [ids[chief[groups.top(i)]] for i in range(len(ids))])
+        return batch(HOMES, ids, [len(x) // 8 for x in bodies], units, [now] * len(ids), [ids[chief[groups.top(i)]] for i in range(len(ids))], bodies)
 
     for b in batches:
-        for tile, set_id, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for tile, set_id, unit_, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if tile != now:
                 done = settle()
                 if done is not None:
                     yield done
-                now, ids, bodies = tile, [], []
+                now, ids, units, bodies = tile, [], [], []
             ids.append(set_id)
+            units.append(unit_)
             bodies.append(body)
     done = settle()
     if done is not None:
         yield done
 
 
-def homes(sets: DataFrame) -> DataFrame:
-    """(set_id, tile, chief) of sets (set_id, n, unit, body); written."""
+def homes(sets: DataFrame, keep=stored) -> DataFrame:
+    """(set_id, n, unit, tile, chief, body) of sets (set_id, n, unit, body); written."""
     load = sets.groupBy("unit").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
     many = F.greatest(F.ceil(F.col("k") / TILE_SETS), F.ceil(F.col("size") / TILE_TOKENS))
     crowded = stored(load.select(F.col("unit").alias("crowded"), many.alias("many")).where("many > 1"), "near-crowded")
     tile = F.when(F.col("many").isNull(), F.col("unit")).otherwise(F.xxhash64("unit", F.pmod(F.xxhash64("set_id"), F.col("many"))))
-    tiled = sets.join(hinted(crowded), F.col("unit") == F.col("crowded"), "left").select(tile.alias("tile"), "set_id", "body")
-    return stored(_dealt(tiled, "tile").sortWithinPartitions("tile", "set_id").mapInArrow(tidied(settled), HOMES_DDL), "near-homes")
+    tiled = sets.join(hinted(crowded), F.col("unit") == F.col("crowded"), "left").select(tile.alias("tile"), "set_id", "unit", "body")
+    return keep(_dealt(tiled, "tile").sortWithinPartitions("tile", "set_id").mapInArrow(tidied(settled), HOMES_DDL), "near-homes", "lz4")
 
 
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def gathered(sets: DataFrame) -> DataFrame:
-    """(set_id, tile, chief): homes of all sets, and the chief of each one's group after rounds of tiles over the chiefs."""
-    first = homes(sets)
-    out, left = first, first
-    units = sets.select("set_id", "unit")
+def _written(df: DataFrame, by: DataFrame, name: str) -> DataFrame:
+    """df, the join of sets with hinted(by): as it is if that is broadcast, else written, so that sets are shuffled for it once."""
+    return df if by.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else stored(df, name, "lz4")
+
+
+def renamed(housed: DataFrame, moved: DataFrame) -> DataFrame:
+    """housed with other chiefs: those of moved (low, high), which must be stored."""
+    out = housed.join(hinted(moved), F.col("chief") == F.col("low"), "left").select("set_id", "n", "unit", "tile", F.coalesce("high", "chief").alias("chief"), "body")
+    return _written(out, moved, "near-housed")
+
+
+def gathered(first: DataFrame) -> DataFrame:
+    """The homes of all sets, each with the chief of its group after rounds of tiles over the chiefs."""
+    moved, left = None, first
     before = None
     while True:
         # chiefs whose unit fills more than one tile meet again
-        chiefs = left.where("set_id = chief").select("set_id", "tile").join(units, "set_id")
+        chiefs = left.where("set_id = chief")
         apart = stored(chiefs.groupBy("unit").agg(F.min("tile").alias("x"), F.max("tile").alias("y")).where("x <> y").select(F.col("unit").alias("apart")), "near-apart")
         if apart.isEmpty():
-            return out
-        again = stored(sets.join(chiefs.join(hinted(apart), F.col("unit") == F.col("apart"), "left_semi").select("set_id"), "set_id", "left_semi"), "near-chiefs", "lz4")
+            break
+        again = stored(chiefs.join(hinted(apart), F.col("unit") == F.col("apart"), "left_semi").select("set_id", "n", "unit", "body"), "near-chiefs", "lz4")
         n = again.count()
         if before is not None and n > SHRINKS * before:
-            return out
+            break
         before = n
         left = homes(again)
-        higher = left.select(F.col("set_id").alias("low"), F.col("chief").alias("high"))
-        out = stored(out.join(higher, F.col("chief") == F.col("low"), "left").select("set_id", "tile", F.coalesce("high", "chief").alias("chief")), "near-gathered")
+        higher = left.where("set_id <> chief").select(F.col("set_id").alias("low"), F.col("chief").alias("high"))
+        if moved is not None:
+            further = higher.select(F.col("low").alias("was"), F.col("high").alias("now"))
+            higher = higher.unionByName(moved.join(further, F.col("high") == F.col("was"), "left").select("low", F.coalesce("now", "high").alias("high")))
+        moved = stored(higher, "near-moved")
+    return first if moved is None else renamed(first, moved)
 
 
 PREFIXES = pa.schema([("token", pa.int64()), ("tile", pa.int64()), ("chief", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32())])
@@ -440,12 +455,14 @@ def received(batches):
 
 def met(housed: DataFrame, sketched) -> DataFrame:
     """Links (a, b) between chiefs of different groups, found by visits. housed: (set_id, n, tile, chief, body)."""
-    went = stored(visits(housed, sketched), "near-visits")
-    shares = went.groupBy(F.col("tile").alias("host")).agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
-    hosts = housed.join(shares, F.col("tile") == F.col("host")).select("tile", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("visitor"), "chief", "body")
-    guests = went.withColumnRenamed("set_id", "guest").join(shares, F.col("tile") == F.col("host")).select("guest", F.col("tile").alias("to"), F.pmod(F.xxhash64("guest"), F.col("shares")).cast("int").alias("share"))
-    guests = guests.join(housed.select("set_id", "chief", "body"), F.col("guest") == F.col("set_id")).select(F.col("to").alias("tile"), "share", F.lit(1).alias("visitor"), "chief", "body")
-    return stored(_dealt(hosts.unionByName(guests), "tile", "share").sortWithinPartitions("tile", "share", "visitor").mapInArrow(tidied(received), LINKS_DDL), "near-met")
+    with work(housed.sparkSession) as keep:
+        went = stored(visits(housed, sketched), "near-visits")
+        shares = stored(went.groupBy(F.col("tile").alias("host")).agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares")), "near-shares")
+        hosts = housed.join(hinted(shares), F.col("tile") == F.col("host")).select("tile", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("visitor"), "chief", "body")
+        guests = went.withColumnRenamed("set_id", "guest").join(hinted(shares), F.col("tile") == F.col("host"))
+        guests = stored(guests.select("guest", F.col("tile").alias("to"), F.pmod(F.xxhash64("guest"), F.col("shares")).cast("int").alias("share")), "near-guests")
+        guests = housed.select("set_id", "chief", "body").join(hinted(guests), F.col("guest") == F.col("set_id")).select(F.col("to").alias("tile"), "share", F.lit(1).alias("visitor"), "chief", "body")
+        return keep(_dealt(hosts.unionByName(guests), "tile", "share").sortWithinPartitions("tile", "share", "visitor").mapInArrow(tidied(received), LINKS_DDL), "near-met")
 
 
 def heavy_links(sets: DataFrame, freq: np.ndarray, bound: int) -> DataFrame:
@@ -457,12 +474,14 @@ def heavy_links(sets: DataFrame, freq: np.ndarray, bound: int) -> DataFrame:
         for b in batches:
             yield batch(schema, b.column(0), b.column(1), [unit(x, sketched.value) for x in b.column(2).to_pylist()], b.column(2))
 
-    big = stored(sets.where(F.col("n") >= least(bound + 1)).select("set_id", "n", "body").mapInArrow(tidied(units), "set_id long, n int, unit long, body binary"), "near-big", "lz4")
-    housed = stored(big.drop("unit").join(gathered(big), "set_id"), "near-housed", "lz4")
+    with work(sets.sparkSession) as keep:
+        big = stored(sets.where(F.col("n") >= least(bound + 1)).select("set_id", "n", "body").mapInArrow(tidied(units), "set_id long, n int, unit long, body binary"), "near-big", "lz4")
+        first = homes(big, keep)
+    housed = gathered(first)
     # the chiefs meet first, so that of groups which these join no other set needs to go anywhere
     joined = components(met(housed.where("set_id = chief"), sketched))
-    housed = housed.join(joined, F.col("chief") == F.col("node"), "left").select("set_id", "n", "body", "tile", F.coalesce("root", "chief").alias("chief"))
-    housed = stored(housed, "near-housed", "lz4")
+    joined = stored(joined.where("node <> root").select(F.col("node").alias("low"), F.col("root").alias("high")), "near-joined")
+    housed = renamed(housed, joined)
     return housed.where("set_id <> chief").select(F.col("set_id").alias("a"), F.col("chief").alias("b")).unionByName(met(housed, sketched))
 
 
@@ -482,10 +501,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
         left = stored(left.where((F.col("n") > 0) & ((100 * F.col("shared") >= SHARE * F.col("n")) | (F.col("copies") > 1))).select(F.col("text_key").alias("k"), F.col("first_id")), "near-left")
         # one text of each that is left
         picked = rows.join(hinted(left), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-        sets = stored(sets_of(picked), "near-sets", "lz4")
-        classes = sets.select("set_key", "n", "body").dropDuplicates(["set_key"]).withColumn("set_id", F.monotonically_increasing_id())
-        classes = stored(classes, "near-classes", "lz4")
-        names = sets.select("text_key", "set_key").distinct().join(classes.select("set_key", "set_id"), "set_key").select("text_key", "set_id")
+        sets = stored(sets_of(picked).withColumn("set_id", F.monotonically_increasing_id()), "near-sets", "lz4")
+        # of equal sets the first, found by their keys
+        first = sets.groupBy("set_key").agg(F.min("set_id").alias("first"))
+        keys = stored(sets.select("text_key", "set_key", "set_id").join(first, "set_key").select("text_key", "set_id", "first"), "near-keys")
+        names = keys.select("text_key", F.col("first").alias("set_id")).distinct()
+        repeats = stored(keys.where("set_id <> first").select(F.col("set_id").alias("repeat")), "near-repeats")
+        classes = _written(sets.join(hinted(repeats), F.col("set_id") == F.col("repeat"), "left_anti").select("set_id", "n", "body"), repeats, "near-classes")
         freq, mean_list = sketch(classes)
         bound = light_bound(mean_list)
         roots = components(light_links(classes, bound).unionByName(heavy_links(classes, freq, bound)))

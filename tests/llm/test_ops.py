@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import chat, decontaminate, exact_dedup, html_extract, lm, near_dup, packing, ranges, secrets, token_store, tokens, toxicity
+from tessera.llm import chat, common, decontaminate, exact_dedup, html_extract, lm, near_dup, packing, ranges, secrets, token_store, tokens, toxicity
 from tessera.llm.tokens import Encoder, encoder
 
 CLASH = "doc_id long, text string, row_key long, text_key long, sha binary, rules long, shard long, n int, w string, __d long, __n int"
@@ -275,6 +275,43 @@ def test_visits_grow_with_the_rows(spark, monkeypatch):
     assert per_row[-1] <= 2 * max(per_row[0], 0.5), per_row
 
 
+def test_sets_stay_where_they_are(spark, monkeypatch):
+    """Sets' shingles move to tiles only: what is joined by id or key, in rounds of tiles too, is narrow."""
+    monkeypatch.setattr(near_dup, "TILE_SETS", 20)
+    moved, tiles, plain = [], [], near_dup.stored
+
+    def exchanges(plan):
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plan = plan.initialPlan()
+        if plan.getClass().getSimpleName() == "ShuffleExchangeExec" and "body#" in plan.output().mkString(" "):
+            yield plan.shuffleOrigin().toString()
+        for i in range(plan.children().size()):
+            yield from exchanges(plan.children().apply(i))
+
+    def watched(df, name, *args):
+        if name != "near-subsets":
+            (tiles if name in ("near-homes", "near-met") else moved).extend((name, x) for x in exchanges(df._jdf.queryExecution().executedPlan()))
+        return plain(df, name, *args)
+
+    for m in (near_dup, common):
+        monkeypatch.setattr(m, "stored", watched)
+    rng, rows = random.Random(43), []
+    for i, t in enumerate(prose(43, 6, 120)):
+        for k in range(60):
+            w = t.split()
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 50)}"
+            rows += [(1000 * i + 2 * k, " ".join(w)), (1000 * i + 2 * k + 1, "  ".join(w))]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that only joins with a hint are broadcast, as on large tables
+    try:
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_groups(docs(spark, rows)).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(str, got)) == sorted(map(str, components_by_hand(rows)))
+    assert moved == []
+    assert {x for _, x in tiles} <= {"REPARTITION_BY_NUM"}, tiles
+
+
 def test_needed_overlap():
     for a, b in itertools.product(range(1, 40), repeat=2):
         t = min((o for o in range(min(a, b) + 1) if near_dup.links(a, b, o)), default=None)
