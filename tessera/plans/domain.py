@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import values as v
-from tessera.operators import graph, history, model, sweep
+from tessera.operators import graph, history, model, similar, sweep
 from tessera.operators import relational as rel
 from tessera.plans.registry import query
 from tessera.plans.relational import BAND_SQL
@@ -487,23 +487,9 @@ def m06(t, s):
 @query("j09c_text_similarity")
 def j09c(t, s):
     """Documents of a language and different sources whose sets of words of more than three characters, over whole texts, have a Jaccard
-    similarity of 0.6 or more; a document without such words is like none. Exact: with rarest words first, a match shares a word of both
-    prefixes, and the sizes and what follows that word must still allow it."""
+    similarity of 0.6 or more; a document without such words is like none. Exact, with words told apart by 64-bit hashes."""
+    docs = t("documents").where("lang IS NOT NULL")
     k = F.array_distinct(F.filter(F.split(tx.fold(F.col("text")), " "), lambda x: F.length(x) > 3))
-    w = t("documents").select("doc_id", "source", "lang", k.alias("k")).where(F.size("k") > 0)
-    often = w.select("lang", F.explode("k").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("df"))
-    e = w.select("doc_id", "source", "lang", F.xxhash64("k").alias("set"), F.size("k").alias("n"), F.explode("k").alias("w")).join(often, ["lang", "w"])
-    e = e.withColumn("at", F.dense_rank().over(Window.partitionBy("doc_id", "source", "lang", "set").orderBy("df", "w")))
-    p = e.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * 3 / 5) + 1))
-    a, b = p.alias("a"), p.alias("b")
-    most = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least(F.col("a.at"), F.col("b.at")) - 1
-    fits = (5 * F.least("a.n", "b.n") >= 3 * F.greatest("a.n", "b.n")) & (8 * most >= 3 * (F.col("a.n") + F.col("b.n")))
-    j = a.join(b, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.source") != F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id")) & fits)
-    # what a pair has in common: the words that both prefixes hold, and at most one side's words after its prefix
-    after = lambda x: F.ceil(F.col(f"{x}.n") * 3 / 5) - 1
-    need = F.ceil((F.col("a.n") + F.col("b.n")) * 3 / 8) - F.greatest(after("a"), after("b"))
-    met = j.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.xxhash64("a.lang").alias("of"), need.cast("int").alias("need"))
-    pairs = stored(met.groupBy("a", "b", "of").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b").distinct(), "pairs")
-    l, r = w.select(F.col("doc_id").alias("a"), "lang", F.col("source").alias("sa"), F.col("k").alias("ka")), w.select(F.col("doc_id").alias("b"), "lang", F.col("source").alias("sb"), F.col("k").alias("kb"))
-    whole = pairs.join(l, "a").join(r.withColumnRenamed("lang", "lang_b"), "b").where("lang = lang_b AND sa <> sb")
-    return whole.where(5 * F.size(F.array_intersect("ka", "kb")) >= 3 * F.size(F.array_union("ka", "kb"))).select("a", "b").distinct()
+    rows = docs.where("source IS NOT NULL").select(F.col("lang").alias("g"), F.col("doc_id").alias("id"), F.xxhash64("source").alias("side"), F.sort_array(F.transform(k, lambda x: F.xxhash64(x))).alias("tokens"))
+    load = docs.groupBy(F.col("lang").alias("g")).agg((F.sum(F.length("text")) / 12).cast("long").alias("tokens"))  # of a text's characters
+    return similar.like_pairs(rows, load, (3, 5), lambda df: stored(df, "pairs"))
